@@ -184,7 +184,7 @@ def is_valid_email(c: Column) -> Column:
 
 def contact_emails(body: Column) -> Column:
     """E-mail contacts of a security.txt body, in file order."""
-    lines = F.transform(F.split(body, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip)
+    lines = F.transform(F.split(body, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
     contacts = F.filter(lines, lambda x: F.lower(x).startswith("contact:"))
     values = F.transform(contacts, lambda x: strip(F.substring(x, 9, 1_000_000)))
     emails = F.transform(
