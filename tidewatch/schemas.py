@@ -31,12 +31,10 @@ RESCANNABLE_JOB_STATUSES = ("FAILED", "SKIPPED", "COMPLETED")
 
 CONFIDENCE = T.DecimalType(4, 3)
 
+# Table schemas as DDL, which every Spark reader takes.
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
 
-
-DOMAINS = _struct(
+DOMAINS = (
     "domain_id string, domain string, tld string, iocs_score short, status string, "
     "ip_address string, asn string, hosting_provider string, cdn_detected string, "
     "country_code string, signal_whois_in boolean, signal_ip_in boolean, "
@@ -47,7 +45,7 @@ DOMAINS = _struct(
     "created_at timestamp, updated_at timestamp"
 )
 
-FINDINGS = _struct(
+FINDINGS = (
     "finding_id string, domain_id string, url string, url_path string, http_status short, "
     "entity_type string, finding_type string, value_hash string, value_count_estimate int, "
     "severity string, heuristic_confidence decimal(4,3), ml_confidence decimal(4,3), "
@@ -59,36 +57,36 @@ FINDINGS = _struct(
     "false_positive_reason string, created_at timestamp, updated_at timestamp"
 )
 
-SCAN_JOBS = _struct(
+SCAN_JOBS = (
     "job_id string, domain_id string, domain_name string, job_type string, status string, "
     "task_id string, urls_checked int, findings_count int, errors_count int, "
     "duration_ms int, queued_at timestamp, started_at timestamp, completed_at timestamp, "
     "error_message string, created_at timestamp"
 )
 
-AUDIT_LOGS = _struct(
+AUDIT_LOGS = (
     "id long, event_type string, actor string, target_type string, target_id string, "
     "details string, ip_address string, event_at timestamp"
 )
 
-DISCLOSURE_EVENTS = _struct(
+DISCLOSURE_EVENTS = (
     "event_id string, finding_id string, recipient_email string, recipient_type string, "
     "subject string, sent_at timestamp, send_status string, error_message string, "
     "ack_token string, acknowledged_at timestamp, created_at timestamp"
 )
 
-CAPTURES = _struct(
+CAPTURES = (
     "domain string, url string, path string, scheme string, status int, "
     "headers map<string,string>, content_type string, body string, body_bytes long, "
     "fetched_at timestamp"
 )
-CT_ENTRIES = _struct("entry_id long, name_value string")
-FEED_NAMES = _struct("source string, root string, payload string")
-RESOLUTIONS = _struct("name string, ip string")
-IP_GEO = _struct("ip string, asn string, country string")
-BREACHES = _struct("domain string, payload string")
-HOST_VULNS = _struct("ip string, open_ports array<int>, vulns array<string>, org string")
-CONTACT_FILES = _struct("domain string, priority int, status int, body string")
+CT_ENTRIES = ("entry_id long, name_value string")
+FEED_NAMES = ("source string, root string, payload string")
+RESOLUTIONS = ("name string, ip string")
+IP_GEO = ("ip string, asn string, country string")
+BREACHES = ("domain string, payload string")
+HOST_VULNS = ("ip string, open_ports array<int>, vulns array<string>, org string")
+CONTACT_FILES = ("domain string, priority int, status int, body string")
 
 LEDGER = {
     "domains": DOMAINS,

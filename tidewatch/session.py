@@ -48,6 +48,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     table) is returned as it is, without a shuffle. Hashing on the row key
     keeps a recomputed task's rows the same after an executor is lost.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:

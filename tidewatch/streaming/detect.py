@@ -6,13 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.operators.content_scan import DEFAULT_RULES, scan_content
 from tidewatch.rules import ContentRule
 
 
-def arriving(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
+def arriving(spark: SparkSession, path: str, schema: str, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
     """Stream of Parquet files under ``path``."""
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -39,9 +38,8 @@ def detect_available(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         found = detect(batch).dropDuplicates(list(key))
-        spark = batch.sparkSession
         if batch_id > 0:
-            earlier = spark.read.parquet(*[batch_folder(out, i) for i in range(batch_id)])
+            earlier = batch.sparkSession.read.parquet(out).filter(F.col("batch_id") < batch_id)
             found = found.join(earlier.select(*key), list(key), "left_anti")
         found.write.mode("overwrite").parquet(batch_folder(out, batch_id))
 
@@ -55,11 +53,17 @@ def scan_available(
     stream: DataFrame, text: str, *, key: str, salt: str, out: str, checkpoint: str,
     rules: Sequence[ContentRule] = DEFAULT_RULES,
 ) -> DataFrame:
-    """Content scan of everything that has arrived; returns all findings written so far."""
-    detect_available(
-        stream, out, checkpoint, lambda b: scan_content(b, text, key=key, salt=salt, rules=rules), [key, "rule"]
-    )
-    return stream.sparkSession.read.parquet(out).drop("batch_id")
+    """Content scan of everything that has arrived; returns all findings written so far.
+
+    Detection is stateless, so the file sink alone makes each file count once.
+    """
+    found = scan_content(stream, text, key=key, salt=salt, rules=rules)
+    query = (
+        found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(found.schema).parquet(out)
 
 
 def dedup_stream(findings: DataFrame, event_time: str = "fetched_at", delay: str = "1 hour", key: str = "finding_id") -> DataFrame:
