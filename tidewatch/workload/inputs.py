@@ -294,3 +294,8 @@ def augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         f"concat(text, {pick('doc_id', *PLANTED)}, CASE WHEN (doc_id div 12) % 2 = 0 THEN {keyword} ELSE '' END) AS text",
     )
+
+
+def augmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the same planted values."""
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"concat(html, {pick('page_id', *PLANTED)}) AS text")

@@ -206,3 +206,4 @@ _cte(
          CASE WHEN (doc_id // 12) % 2 = 0 THEN {pick("doc_id", *[f"'{k}'" for k in KEYWORDS])} ELSE '' END AS text
   FROM documents""",
 )
+_cte("augmented_pages", f"SELECT page_id, html || {pick('page_id', *_PLANTED)} AS text FROM pages")

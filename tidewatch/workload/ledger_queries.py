@@ -156,13 +156,14 @@ def filtered_domains(spark, sf):
 
 @query(
     "domains_without_findings",
-    "SELECT domain_id, domain FROM domains d WHERE tld = '.gov.in' AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.domain_id = d.domain_id)",
+    "SELECT domain_id, domain FROM domains d WHERE tld = '.gov.in' AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.domain_id = d.domain_id AND f.status = 'NEW')",
     "domains",
     "findings",
 )
 def domains_without_findings(spark, sf):
     found = predicates.domain_filter(I.domains(spark, sf), tld=".GOV.IN")
-    return predicates.with_findings(found, I.findings(spark, sf), False).select("domain_id", "domain")
+    new = predicates.finding_filter(I.findings(spark, sf), status="new")
+    return predicates.with_findings(found, new, False).select("domain_id", "domain")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewatch.workload.corpus_queries import QUERIES as CORPUS
 from tidewatch.workload.ledger_queries import QUERIES as LEDGER
+from tidewatch.workload.text_queries import QUERIES as TEXT
 
-REGISTRY = {**LEDGER}
+REGISTRY = {**TEXT, **CORPUS, **LEDGER}
