@@ -205,6 +205,22 @@ def search(c: Column, term: str) -> Column:
 # -- JSON notes ------------------------------------------------------------
 
 
+def is_json(c: Column) -> Column:
+    """The whole text is one JSON value.
+
+    The readers stop after the first value and ignore what follows, so the text
+    is read inside an array and inside an object: trailing text breaks at least
+    one of the two.
+    """
+    in_array = F.json_array_length(F.concat(F.lit("["), c, F.lit("]")))
+    in_object = F.json_object_keys(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.coalesce((in_array == 1) & in_object.isNotNull(), F.lit(False))
+
+
+def is_json_object(c: Column) -> Column:
+    return is_json(c) & F.json_object_keys(c).isNotNull()
+
+
 def merge_notes(notes: Column, update: Column) -> Column:
     """Merge a JSON object into notes; the update wins, unreadable notes count as empty.
 
@@ -217,9 +233,8 @@ def merge_notes(notes: Column, update: Column) -> Column:
 
 
 def _json_object(text: Column) -> Column:
-    is_object = F.json_object_keys(text).isNotNull()
     empty = F.from_json(F.lit("{}"), "map<string,variant>")
-    return F.coalesce(F.when(is_object, F.from_json(text, "map<string,variant>")), empty)
+    return F.coalesce(F.when(is_json_object(text), F.from_json(text, "map<string,variant>")), empty)
 
 
 def note_int(notes: Column, field: str) -> Column:
