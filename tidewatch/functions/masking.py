@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import context_window
+from tidewatch.functions.text import contains_any, context_window
 from tidewatch.rules import CONTENT_RULES, MASK_OVERRIDES, OPTIONAL_CONTENT_RULES, ContentRule
 
 # Longer and wider shapes first, so that a number inside them is not split.
@@ -39,10 +39,17 @@ def mask_pattern(rule_name: str) -> str:
 
 
 def mask(text: Column) -> Column:
-    """Replace whatever any rule's pattern matches, checksum or not."""
+    """Replace whatever any rule's pattern matches, checksum or not.
+
+    Text without four digits in a row and without any rule's literal has
+    nothing to mask and is passed through.
+    """
+    literals = list(dict.fromkeys(lit for r in _ALL.values() for lit in r.gate_contains))
+    suspect = text.rlike("[0-9]{4}") | contains_any(text, literals) | text.rlike(r"(?i)key|token|secret")
+    masked = text
     for name in _MASK_ORDER:
-        text = F.regexp_replace(text, mask_pattern(name), marker(name))
-    return text
+        masked = F.regexp_replace(masked, mask_pattern(name), marker(name))
+    return F.when(suspect, masked).otherwise(text)
 
 
 def masked_context(masked: Column, rule_name: str, window: int = 250) -> Column:

@@ -94,7 +94,7 @@ def fingerprint(df: DataFrame, html: str, headers: Column | None = None) -> Data
         version = F.nullif(F.regexp_extract(text, sig.version, 1), F.lit("")) if sig.version else F.lit(None).cast("string")
         picks.append(
             F.when(
-                count >= sig.min_signals,
+                contains_any(lowered, sig.gates) & (count >= sig.min_signals),
                 F.struct(
                     F.lit(sig.vendor).alias("name"),
                     version.alias("version"),

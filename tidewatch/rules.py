@@ -506,8 +506,11 @@ DEFAULT_SECTOR = "OTHER"
 # --------------------------------------------------------------------------
 @dataclass(frozen=True)
 class VendorSignature:
+    """``gates`` are lower-case literals, one of which every signal needs."""
+
     vendor: str
     risk: str
+    gates: tuple[str, ...]
     signals: tuple[str, ...]
     version: str | None = None
     min_signals: int = 1
@@ -517,6 +520,7 @@ VENDOR_SIGNATURES = (
     VendorSignature(
         "WordPress",
         "HIGH",
+        ("wordpress", "/wp-content/", "/wp-includes/", "wp-json/wp/v"),
         (
             r"/wp-content/(?:themes|plugins|uploads)/",
             r"/wp-includes/",
@@ -529,6 +533,7 @@ VENDOR_SIGNATURES = (
     VendorSignature(
         "Joomla",
         "HIGH",
+        ("joomla", "/components/com_", "/media/jui/", "/media/system/js/"),
         (
             r"/components/com_[a-z]",
             r"/media/jui/",
@@ -541,6 +546,7 @@ VENDOR_SIGNATURES = (
     VendorSignature(
         "Drupal",
         "MEDIUM",
+        ("drupal", "/sites/"),
         (
             r"Drupal\.settings",
             r"/sites/(?:default|all)/(?:files|modules|themes)/",
@@ -552,6 +558,7 @@ VENDOR_SIGNATURES = (
     VendorSignature(
         "NIC-eGov",
         "MEDIUM",
+        ("national informatics centre", "egov", "portal"),
         (
             r"(?i)National Informatics Centre",
             r"(?iU)eGov(?:ernance)?\s+Framework",
@@ -561,12 +568,14 @@ VENDOR_SIGNATURES = (
     VendorSignature(
         "Spring-Boot",
         "MEDIUM",
+        ("whitelabel error page", "/actuator", "spring framework"),
         (r"Whitelabel Error Page", r"/actuator(?:/health)?", r"(?i)Spring Framework"),
         r"(?i)Spring-Boot[/ ]([0-9.]+)",
     ),
     VendorSignature(
         "Struts",
         "HIGH",
+        (".action", "struts"),
         (r"(?d)\.action(\?|$)", r"(?i)struts", r"(?i)org\.apache\.struts"),
         r"(?i)Struts[/ ]([0-9.]+)",
         min_signals=2,
@@ -574,30 +583,34 @@ VENDOR_SIGNATURES = (
     VendorSignature(
         "Magento",
         "HIGH",
+        ("/skin/frontend/", "mage.", "magento"),
         (r"/skin/frontend/", r"Mage\.", r"(?i)magento"),
         r"(?i)Magento[/ ]([0-9.]+)",
     ),
-    VendorSignature("Django", "LOW", (r"csrfmiddlewaretoken", r"(?i)django"), min_signals=2),
+    VendorSignature("Django", "LOW", ("csrfmiddlewaretoken", "django"), (r"csrfmiddlewaretoken", r"(?i)django"), min_signals=2),
     VendorSignature(
         "Laravel",
         "LOW",
+        ("laravel",),
         (r"laravel_session", r"(?id)X-Powered-By.*Laravel", r"(?i)laravel"),
         r"(?i)Laravel[/ ]([0-9.]+)",
     ),
     VendorSignature(
         "ASP.NET",
         "LOW",
+        ("__viewstate", "__eventvalidation", ".aspx", "x-aspnet-version"),
         (r"__VIEWSTATE", r"__EVENTVALIDATION", r"(?id)\.aspx(\?|$|#)", r"(?i)X-AspNet-Version"),
         r"(?i)ASP\.NET[/ ]([0-9.]+)",
     ),
-    VendorSignature("PHP", "LOW", (r"(?i)PHP/[0-9.]+",), r"(?i)PHP/([0-9.]+)"),
+    VendorSignature("PHP", "LOW", ("php/",), (r"(?i)PHP/[0-9.]+",), r"(?i)PHP/([0-9.]+)"),
     VendorSignature(
         "OpenCart",
         "MEDIUM",
+        ("/catalog/view/theme/", "route=common/home"),
         (r"/catalog/view/theme/", r"route=common/home"),
         r"(?i)OpenCart[/ ]([0-9.]+)",
     ),
-    VendorSignature("TYPO3", "MEDIUM", (r"(?i)typo3", r"/typo3conf/"), r"(?i)TYPO3[/ ]([0-9.]+)"),
+    VendorSignature("TYPO3", "MEDIUM", ("typo3",), (r"(?i)typo3", r"/typo3conf/"), r"(?i)TYPO3[/ ]([0-9.]+)"),
 )
 
 # --------------------------------------------------------------------------
