@@ -10,46 +10,50 @@ from pyspark.sql import functions as F
 
 from tidewatch import rules
 from tidewatch.functions.text import content_hash, contains_any, header_text, in_tlds
-from tidewatch.session import as_of_column
+from tidewatch.session import as_of_column, spread
 
 # --------------------------------------------------------------------------
 # Country-origin score
 # --------------------------------------------------------------------------
 
 
-def origin_signals(domain: Column, html: Column, asn: Column, strict: bool = True) -> dict[str, Column]:
-    """One boolean per signal, in scoring order. ``asn`` is null unless geography says home."""
-    if strict:
-        known = F.substring_index(asn, " ", 1).isin(*rules.HOME_ASNS)
-    else:
-        known = reduce(lambda a, b: a | b, [asn.startswith(a) for a in rules.HOME_ASNS])
-    found = {
-        "tld": in_tlds(domain, rules.COUNTRY_TLDS, strict),
-        "pilot_tld_bonus": in_tlds(domain, rules.PILOT_TLDS, strict),
-        "ip_geo_india": asn.isNotNull(),
-        "indian_asn": known,
-    }
-    for name, pattern in rules.ORIGIN_PATTERNS.items():
-        found[name] = html.rlike(pattern)
-    return {name: F.coalesce(found[name], F.lit(False)) for name in rules.ORIGIN_POINTS}
+def content_signals(html: Column) -> Column:
+    """Struct of the signals a page's text gives; all false for a missing page."""
+    found = {n: html.rlike(pattern) for n, pattern in rules.ORIGIN_PATTERNS.items()}
+    return F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in found.items()])
 
 
-def origin_score(df: DataFrame, domain: str, html: str, asn: str, strict: bool = True) -> DataFrame:
+def origin_score(df: DataFrame, domain: str, content: Column, asn: str, strict: bool = True) -> DataFrame:
     """Add ``iocs_score`` (0..100), ``signal_count`` and ``signal_detail`` (map of points).
 
-    The signals are computed once, as a struct column, before they are added up.
+    ``content`` is the struct of ``content_signals``, null without a page;
+    ``asn`` is null unless geography says home.
     """
-    signals = origin_signals(F.col(domain), F.col(html), F.col(asn), strict)
-    staged = df.withColumn("_sig", F.struct(*[c.alias(n) for n, c in signals.items()]))
-    points = {n: F.when(F.col(f"_sig.{n}"), F.lit(p)).otherwise(F.lit(0)) for n, p in rules.ORIGIN_POINTS.items()}
-    total = reduce(lambda a, b: a + b, points.values())
-    counted = [F.col(f"_sig.{n}").cast("int") for n in signals if n != "pilot_tld_bonus"]
-    detail = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in points]), F.array(*points.values())
+    name, net = F.col(domain), F.col(asn)
+    if strict:
+        known = F.substring_index(net, " ", 1).isin(*rules.HOME_ASNS)
+    else:
+        known = reduce(lambda a, b: a | b, [net.startswith(a) for a in rules.HOME_ASNS])
+    placed = {
+        "tld": in_tlds(name, rules.COUNTRY_TLDS, strict),
+        "pilot_tld_bonus": in_tlds(name, rules.PILOT_TLDS, strict),
+        "ip_geo_india": net.isNotNull(),
+        "indian_asn": known,
+    }
+    staged = df.select(
+        "*",
+        content.alias("_content"),
+        F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in placed.items()]).alias("_placed"),
     )
+    hit = {
+        n: F.coalesce(F.col(f"{'_placed' if n in placed else '_content'}.{n}"), F.lit(False)) for n in rules.ORIGIN_POINTS
+    }
+    points = {n: F.when(hit[n], F.lit(p)).otherwise(F.lit(0)) for n, p in rules.ORIGIN_POINTS.items()}
+    counted = [c.cast("int") for n, c in hit.items() if n != "pilot_tld_bonus"]
+    detail = F.map_from_arrays(F.array(*[F.lit(n) for n in points]), F.array(*points.values()))
     return staged.select(
         *df.columns,
-        F.least(total, F.lit(100)).alias("iocs_score"),
+        F.least(reduce(lambda a, b: a + b, points.values()), F.lit(100)).alias("iocs_score"),
         reduce(lambda a, b: a + b, counted).alias("signal_count"),
         F.map_filter(detail, lambda _k, v: v > 0).alias("signal_detail"),
     )
@@ -123,6 +127,21 @@ def fingerprint(df: DataFrame, html: str, headers: Column | None = None) -> Data
 # --------------------------------------------------------------------------
 
 
+def sector_hits(text: Column) -> Column:
+    """Which sectors have a keyword in the text, as an array in sector order."""
+    found = [F.coalesce(contains_any(text, words), F.lit(False)) for words in rules.SECTOR_KEYWORDS.values()]
+    return F.array(*found)
+
+
+def first_sector(*hits: Column) -> Column:
+    """First sector that any of the hit arrays names."""
+    picks = []
+    for i, sector in enumerate(rules.SECTOR_KEYWORDS):
+        named = reduce(lambda a, b: a | b, [F.coalesce(F.get(h, F.lit(i)), F.lit(False)) for h in hits])
+        picks.append(F.when(named, F.lit(sector)))
+    return F.coalesce(*picks, F.lit(rules.DEFAULT_SECTOR))
+
+
 def infer_sector(domain: Column, html: Column | None = None, head_chars: int | None = None) -> Column:
     """First sector with a keyword in the lower-cased name or the page.
 
@@ -136,6 +155,27 @@ def infer_sector(domain: Column, html: Column | None = None, head_chars: int | N
     return F.coalesce(*picks, F.lit(rules.DEFAULT_SECTOR))
 
 
+# --------------------------------------------------------------------------
+# Page features
+# --------------------------------------------------------------------------
+
+
+def page_features(captures: DataFrame) -> DataFrame:
+    """Everything the corpus needs of a capture's text, without the text.
+
+    Computed where the capture is read, so that only small rows are shuffled
+    when captures are ranked and joined.
+    """
+    rows = fingerprint(spread(captures, "url"), "body", F.col("headers"))
+    return rows.select(
+        "domain", "url", "scheme", "status", "fetched_at",
+        content_signals(F.col("body")).alias("content"),
+        sector_hits(F.col("body")).alias("page_sectors"),
+        content_hash(F.col("body")).alias("content_hash"),
+        "vendor",
+    )
+
+
 # --------------------------------------------------------------------------
 # Change detection and re-fingerprint
 # --------------------------------------------------------------------------

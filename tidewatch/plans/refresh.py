@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import rules
-from tidewatch.functions.text import content_hash, in_tlds, tld_class
-from tidewatch.operators.corpus import fingerprint, infer_sector, origin_score, passes_gate, upsert_domains
+from tidewatch.functions.text import in_tlds, tld_class
+from tidewatch.operators.corpus import (
+    first_sector,
+    origin_score,
+    page_features,
+    passes_gate,
+    sector_hits,
+    upsert_domains,
+)
 from tidewatch.sources.captures import best_capture
 from tidewatch.sources.lookups import home_asn, resolve
 
@@ -34,17 +41,16 @@ def score_names(
     """Score every distinct name and say what becomes of it in ``outcome``.
 
     ``outcome`` is skipped_dns, skipped_iocs or candidate. Names below a country
-    TLD count as located at home without a look-up unless told otherwise.
-    Page text is only carried as far as the derived columns.
+    TLD count as located at home without a look-up unless told otherwise. Page
+    text is reduced to features before anything is shuffled.
     """
     distinct = names.select(F.col("name").alias("domain")).distinct()
     placed = home_asn(resolve(distinct, resolutions, "domain"), ip_geo)
     if assume_home_for_country_tld:
         at_home = in_tlds(F.col("domain"), rules.COUNTRY_TLDS, strict)
         placed = placed.withColumn("asn", F.when(at_home, F.lit("")).otherwise(F.col("asn")))
-    pages = best_capture(captures).select("domain", F.col("body").alias("html"), "headers")
-    joined = placed.join(pages, "domain", "left")
-    scored = fingerprint(origin_score(joined, "domain", "html", "asn", strict), "html", F.col("headers"))
+    pages = best_capture(page_features(captures)).select("domain", "content", "page_sectors", "content_hash", "vendor")
+    scored = origin_score(placed.join(pages, "domain", "left"), "domain", F.col("content"), "asn", strict)
     keeps = passes_gate(F.col("iocs_score"), F.col("signal_count")) if gate else F.lit(True)
     dead = F.col("ip").isNull() if gate else F.lit(False)
     return scored.select(
@@ -55,8 +61,8 @@ def score_names(
         "signal_count",
         "signal_detail",
         F.col("vendor").alias("vendor_fingerprint"),
-        content_hash(F.col("html")).alias("baseline_hash"),
-        infer_sector(F.col("domain"), F.col("html")).alias("sector"),
+        F.col("content_hash").alias("baseline_hash"),
+        first_sector(sector_hits(F.lower("domain")), F.col("page_sectors")).alias("sector"),
         F.lit(discovered_via).alias("discovered_via"),
         F.when(dead, "skipped_dns").when(~keeps, "skipped_iocs").otherwise("candidate").alias("outcome"),
     )

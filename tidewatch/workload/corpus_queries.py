@@ -265,6 +265,12 @@ def resolve_names(spark, sf):
 # --------------------------------------------------------------------------
 
 
+def _origin(spark, sf):
+    """Scores of the sites; the page text is reduced to signals before the join."""
+    signals = spread(I.sites(spark, sf), "page_id").select("domain", "ip", corpus.content_signals(F.col("html")).alias("content"))
+    return corpus.origin_score(lookups.home_asn(signals, I.ip_geo(spark, sf)), "domain", F.col("content"), "asn")
+
+
 @query(
     "origin_score",
     f"""WITH g AS (SELECT ip, min(coalesce(asn, '')) AS asn FROM ip_geo WHERE country = 'India' GROUP BY 1)
@@ -273,8 +279,7 @@ def resolve_names(spark, sf):
     "ip_geo",
 )
 def origin_score(spark, sf):
-    located = lookups.home_asn(spread(I.sites(spark, sf), "page_id"), I.ip_geo(spark, sf))
-    scored = corpus.origin_score(located, "domain", "html", "asn")
+    scored = _origin(spark, sf)
     order = F.array(*[F.lit(n) for n in rules.ORIGIN_POINTS])
     kept = F.filter(order, lambda n: F.map_contains_key("signal_detail", n))
     detail = F.array_join(F.transform(kept, lambda n: F.concat(n, F.lit("="), F.element_at("signal_detail", n).cast("string"))), ",")
@@ -290,8 +295,7 @@ def origin_score(spark, sf):
     "ip_geo",
 )
 def corpus_gate(spark, sf):
-    located = lookups.home_asn(spread(I.sites(spark, sf), "page_id"), I.ip_geo(spark, sf))
-    scored = corpus.origin_score(located, "domain", "html", "asn")
+    scored = _origin(spark, sf)
     return scored.filter(corpus.passes_gate(F.col("iocs_score"), F.col("signal_count"))).select("domain")
 
 
