@@ -191,9 +191,10 @@ def disclosure_notices(queue: DataFrame, domains: DataFrame, settings: Settings,
     columns = ["domain_id", "domain", "contact_email", "contact_source"]
     facts = batch_summary(queue, as_of).join(domains.select(*columns), "domain_id")
     tokened = facts.withColumn("ack_token", ack_token(settings, F.col("domain_id"), as_of))
+    recipient = F.coalesce("contact_email", F.concat(F.lit("security@"), F.col("domain")))
     copies = F.when(is_government(F.col("domain")), F.lit(settings.government_team_email))
     return tokened.select(
-        "domain_id", "domain", F.col("contact_email").alias("recipient_email"), copies.alias("cc_email"),
+        "domain_id", "domain", recipient.alias("recipient_email"), copies.alias("cc_email"),
         "contact_source", "n_findings", F.col("n_CRITICAL").alias("n_critical"), "first_finding_id", "ack_token",
         notice_subject(settings, F.col("domain"), F.col("top_severity")).alias("subject"),
         owner_body(settings, as_of).alias("body"),
