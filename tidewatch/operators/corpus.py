@@ -284,7 +284,7 @@ def delete_domains(
     ``doomed`` is a ``(domain_id)`` table.
     """
     doomed = doomed.select("domain_id").distinct()
-    gone = findings.join(doomed, "domain_id", "left_semi").select("finding_id")
+    gone = findings.join(doomed, "domain_id", "left_semi").select("finding_id").distinct()
     marked = jobs.join(doomed.withColumn("_gone", F.lit(True)), "domain_id", "left")
     return {
         "domains": domains.join(doomed, "domain_id", "left_anti"),

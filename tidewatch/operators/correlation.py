@@ -41,11 +41,12 @@ def match_vendors(vendors: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
     ``vendors(vendor)`` against ``fingerprints(vendor_fingerprint)``. Substring
     search is turned into an equi-join: both sides meet on a gram of up to three
-    characters that starts the word, and only those pairs are compared.
+    characters that starts the word, and only those pairs are compared. Distinct
+    words are compared, not vendors, so many versions of one vendor count once.
     """
     word = F.lower(F.get(F.split(F.trim("vendor"), r"\s+"), F.lit(0)))
-    left = vendors.select("vendor", word.alias("word")).filter(F.length("word") > 0)
-    left = left.withColumn("gram", F.substring("word", 1, 3))
+    worded = vendors.select("vendor", word.alias("word")).filter(F.length("word") > 0)
+    left = worded.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
     distinct = fingerprints.select("vendor_fingerprint").filter(F.col("vendor_fingerprint").isNotNull()).distinct()
     text = F.lower("vendor_fingerprint")
     starts = F.sequence(F.lit(1), F.length("vendor_fingerprint"))
@@ -54,7 +55,8 @@ def match_vendors(vendors: DataFrame, fingerprints: DataFrame) -> DataFrame:
     )
     right = distinct.filter(F.length("vendor_fingerprint") > 0).select("vendor_fingerprint", F.explode(grams).alias("gram"))
     met = left.join(right, "gram").filter(F.contains(F.lower("vendor_fingerprint"), F.col("word")))
-    return met.select("vendor", "vendor_fingerprint").distinct()
+    pairs = met.select("word", "vendor_fingerprint").distinct()
+    return worded.distinct().join(pairs, "word").select("vendor", "vendor_fingerprint")
 
 
 def correlate_vendors(domains: DataFrame, findings: DataFrame, as_of: str) -> DataFrame:

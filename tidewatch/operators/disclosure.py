@@ -57,27 +57,35 @@ def escalation_queue(findings: DataFrame, as_of: str) -> DataFrame:
 def batch_summary(batch: DataFrame, as_of: str, lines: int = 5, types: int = 5) -> DataFrame:
     """One row per domain of a batch: counts, severity text, first types, first finding lines.
 
-    Order inside a batch is most severe first, then finding id. Counts are
-    partial aggregates; the listed types and lines are cut to a few per domain
-    before anything is collected, so a domain with very many findings never
-    gathers in one place.
+    Order inside a batch is most severe first, then finding id. Everything but
+    the lines comes from one aggregate per (domain, type), which Spark computes
+    once and reuses; types and lines are cut to a few per domain before anything
+    is collected, so a domain with very many findings never gathers in one place.
     """
     rank = severity_rank(F.col("severity"))
     order = F.struct(rank.alias("r"), F.col("finding_id").alias("id"))
-    counts = batch.groupBy("domain_id").agg(
-        F.count(F.lit(1)).alias("n_findings"),
+    by_type = batch.groupBy("domain_id", "finding_type").agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES],
-        F.min_by("severity", rank).alias("top_severity"),
-        F.min_by("finding_id", order).alias("first_finding_id"),
-        F.max(F.col("dark_web_confirmed")).alias("any_dark_web"),
-        F.count_if(F.col("disclosure_sla_due") < as_of_column(as_of)).alias("n_overdue"),
+        F.min(F.struct(order.alias("o"), F.col("severity").alias("s"))).alias("first"),
+        F.max(F.col("dark_web_confirmed")).alias("dark"),
+        F.count_if(F.col("disclosure_sla_due") < as_of_column(as_of)).alias("overdue"),
     )
+    counts = by_type.groupBy("domain_id").agg(
+        F.sum("n").alias("n_findings"),
+        *[F.sum(f"n_{s}").alias(f"n_{s}") for s in SEVERITIES],
+        F.min("first").alias("first"),
+        F.max("dark").alias("any_dark_web"),
+        F.sum("overdue").alias("n_overdue"),
+    )
+    counts = counts.withColumns(
+        {"top_severity": F.col("first.s"), "first_finding_id": F.col("first.o.id")}
+    ).drop("first")
     parts = [
         F.when(F.col(f"n_{s}") > 0, F.concat(F.col(f"n_{s}").cast("string"), F.lit(f" {s}"))) for s in SEVERITIES
     ]
 
-    by_type = batch.groupBy("domain_id", "finding_type").agg(F.min(order).alias("o"))
-    w = Window.partitionBy("domain_id").orderBy("o", "finding_type")
+    w = Window.partitionBy("domain_id").orderBy("first.o", "finding_type")
     top_types = (
         by_type.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= types)
         .groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("rn", "finding_type"))).alias("t"))

@@ -15,8 +15,8 @@ def consolidate(names: DataFrame) -> DataFrame:
 
 
 def resolving(names: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Names that resolve."""
-    return names.join(resolutions.select("name"), "name", "left_semi")
+    """Names that resolve; a name with very many addresses is one key."""
+    return names.join(resolutions.select("name").distinct(), "name", "left_semi")
 
 
 def source_stats(names: DataFrame, by_root: bool = True) -> DataFrame:
@@ -43,8 +43,8 @@ def candidate_names(words: DataFrame, roots: DataFrame, resolutions: DataFrame)
         F.array_join(F.slice("p", F.col("i") + 1, F.size("p")), ".").alias("root"),
     )
     return (
-        splits.join(words.select("word"), "word", "left_semi")
-        .join(roots.select("root"), "root", "left_semi")
+        splits.join(words.select("word").distinct(), "word", "left_semi")
+        .join(roots.select("root").distinct(), "root", "left_semi")
         .select("root", "name")
     )
 

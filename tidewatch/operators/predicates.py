@@ -40,10 +40,15 @@ def domain_filter(
 
 
 def with_findings(domains: DataFrame, findings: DataFrame, has_findings: bool | None) -> DataFrame:
-    """Domains that have (or lack) findings; applied before paging, so totals agree."""
+    """Domains that have (or lack) findings; applied before paging, so totals agree.
+
+    Finding keys are made distinct first: partial aggregation turns a domain
+    with very many findings into one row per task before the shuffle.
+    """
     if has_findings is None:
         return domains
-    return domains.join(findings.select("domain_id"), "domain_id", "left_semi" if has_findings else "left_anti")
+    owners = findings.select("domain_id").distinct()
+    return domains.join(owners, "domain_id", "left_semi" if has_findings else "left_anti")
 
 
 def finding_filter(
@@ -70,10 +75,15 @@ def finding_filter(
 
 
 def search_findings(findings: DataFrame, domains: DataFrame, term: str) -> DataFrame:
-    """Findings whose url, type or domain name contains the term."""
-    names = domains.select("domain_id", "domain")
-    hit = search(F.col("url"), term) | search(F.col("finding_type"), term) | search(F.col("domain"), term)
-    return findings.join(names, "domain_id").filter(hit)
+    """Findings whose url, type or domain name contains the term, with the domain name.
+
+    Domains are searched on their own side, so findings meet only the matching
+    ones before most of them are dropped.
+    """
+    matched = domains.filter(search(F.col("domain"), term)).select("domain_id", F.lit(True).alias("_named"))
+    hit = search(F.col("url"), term) | search(F.col("finding_type"), term) | F.col("_named").isNotNull()
+    rows = findings.join(matched, "domain_id", "left").filter(hit).drop("_named")
+    return rows.join(domains.select("domain_id", "domain"), "domain_id")
 
 
 def job_filter(jobs: DataFrame, status: str | None = None, domain: str | None = None) -> DataFrame:

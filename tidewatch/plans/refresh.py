@@ -15,6 +15,7 @@ from tidewatch.operators.corpus import (
     sector_hits,
     upsert_domains,
 )
+from tidewatch.operators.names import resolving
 from tidewatch.sources.captures import best_capture
 from tidewatch.sources.lookups import home_asn, resolve
 
@@ -91,6 +92,6 @@ def add_domains(names: DataFrame, existing: DataFrame, resolutions: DataFrame, i
 
 def ingest_names(names: DataFrame, existing: DataFrame, resolutions: DataFrame, ip_geo: DataFrame, captures: DataFrame) -> DataFrame:
     """On-demand ingest of consolidated, resolving names of a root, without the gate."""
-    live = names.join(resolutions.select("name"), "name", "left_semi")
+    live = resolving(names, resolutions)
     scored = score_names(live, resolutions, ip_geo, captures, discovered_via="SUBDOMAIN_ENUM", gate=False)
     return refresh(scored, existing)

@@ -45,7 +45,11 @@ def _one_row(parts: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
 
 
 def dashboard_summary(domains: DataFrame, findings: DataFrame) -> DataFrame:
-    """Totals and open counts. Ids are keys, so rows are counted instead of distinct ids of a join."""
+    """Totals and open counts.
+
+    Ids are keys and every finding belongs to a domain, so rows of each table
+    are counted instead of distinct ids of their join.
+    """
     open_, severity = is_open(F.col("status")), F.col("severity")
     domain_flags = {"total_domains": F.lit(True), "active_domains": F.col("status") == "ACTIVE"}
     finding_flags = {
@@ -56,8 +60,7 @@ def dashboard_summary(domains: DataFrame, findings: DataFrame) -> DataFrame:
         "resolved_findings": F.col("status") == "RESOLVED",
         "pending_remediation": F.col("status") == "DISCLOSED",
     }
-    owned = findings.join(domains.select("domain_id"), "domain_id", "left_semi")
-    return _one_row([(domains, domain_flags), (owned, finding_flags)])
+    return _one_row([(domains, domain_flags), (findings, finding_flags)])
 
 
 def disclosure_summary(domains: DataFrame, findings: DataFrame, as_of: str) -> DataFrame:
@@ -143,11 +146,11 @@ def list_domains(domains: DataFrame, findings: DataFrame, sort: str = "iocs_desc
 def list_findings(findings: DataFrame, domains: DataFrame, sort: str = "created_desc", page: int = 1, per_page: int = 25) -> DataFrame:
     """A page of (already filtered) findings with the domain name.
 
-    Only findings of known domains count; the page is cut before names are added.
+    Every finding belongs to a domain (its key is checked when it is saved and
+    deletes cascade), so the page is cut first and only its rows are joined.
     """
     order = FINDING_SORTS.get(sort, FINDING_SORTS["created_desc"])()
-    owned = findings.join(domains.select("domain_id"), "domain_id", "left_semi")
-    shown = page_of(owned, [order, F.col("finding_id")], page, per_page)
+    shown = page_of(findings, [order, F.col("finding_id")], page, per_page)
     names = domains.select("domain_id", F.col("domain").alias("domain_name"))
     few = F.broadcast(shown)  # at most MAX_PAGE rows
     return names.join(few, "domain_id").select(
