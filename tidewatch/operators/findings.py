@@ -94,6 +94,23 @@ def audit(
     )
 
 
+def audit_run(counters: DataFrame, event_type: str, as_of: str, *, name: str, value: str = "n", scope: str = "") -> DataFrame:
+    """One audit row for a whole run, its counters as details.
+
+    ``counters`` is a small table of ``(name, value)`` rows, one per outcome.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.col(value).alias("v"))))
+    one = counters.agg(F.to_json(F.map_from_entries(pairs)).alias("counters"))
+    return one.select(
+        F.lit(event_type).alias("event_type"),
+        F.lit("SYSTEM").alias("actor"),
+        F.lit("run").alias("target_type"),
+        F.lit(scope).alias("target_id"),
+        F.col("counters").alias("details"),
+        as_of_column(as_of).alias("event_at"),
+    )
+
+
 def audit_created(rows: DataFrame, as_of: str) -> DataFrame:
     return audit(
         rows, "FINDING_CREATED", "SCANNER", "finding", "finding_id", as_of,

@@ -15,6 +15,7 @@ from tidewatch.operators.corpus import (
     sector_hits,
     upsert_domains,
 )
+from tidewatch.operators.findings import audit_run
 from tidewatch.operators.names import resolving
 from tidewatch.sources.captures import best_capture
 from tidewatch.sources.lookups import home_asn, resolve
@@ -75,13 +76,26 @@ def refresh(scored: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def refresh_counters(scored: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """``(outcome, n)``: new, updated, unchanged, skipped_iocs, skipped_dns."""
+    """``(outcome, n)``: new, updated, unchanged, skipped_iocs, skipped_dns.
+
+    Uses ``scored`` twice; hand over a written table, so that the page text is
+    read and matched once.
+    """
     label = F.when(F.col("action") == "created", "new").otherwise(F.col("action"))
     done = snapshot.filter(F.col("action") != "kept").select(label.alias("outcome"))
     skipped = scored.filter(F.col("outcome") != "candidate").select("outcome")
     return done.unionByName(skipped).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def audit_refresh(counters: DataFrame, as_of: str, scope: str = "all") -> DataFrame:
+    return audit_run(counters, "CORPUS_REFRESH_COMPLETED", as_of, name="outcome", scope=scope)
+
+
+def audit_enumeration(stats: DataFrame, as_of: str, scope: str = "all") -> DataFrame:
+    """``stats`` is ``(source, n_names)`` over the ingested roots."""
+    return audit_run(stats, "SUBDOMAIN_ENUM_COMPLETED", as_of, name="source", value="n_names", scope=scope)
+
+
 def add_domains(names: DataFrame, existing: DataFrame, resolutions: DataFrame, ip_geo: DataFrame, captures: DataFrame) -> DataFrame:
     """Manual additions: scored like a refresh, but neither gate nor resolution is required."""
     scored = score_names(

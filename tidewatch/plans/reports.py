@@ -160,10 +160,10 @@ def list_findings(findings: DataFrame, domains: DataFrame, sort: str = "created_
     )
 
 
-def finding_detail(findings: DataFrame, domains: DataFrame, finding_id: object) -> DataFrame:
-    """All ledger columns of one finding with its domain name; the evidence is the masked one."""
-    one = findings.filter(F.col("finding_id") == F.lit(finding_id))
-    return one.join(domains.select("domain_id", "domain"), "domain_id")
+def finding_detail(findings: DataFrame, domains: DataFrame, finding_id: object = None) -> DataFrame:
+    """All ledger columns of one finding, or of all, with the domain name; the evidence is the masked one."""
+    rows = findings if finding_id is None else findings.filter(F.col("finding_id") == F.lit(finding_id))
+    return rows.join(domains.select("domain_id", "domain"), "domain_id")
 
 
 def list_jobs(jobs: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:

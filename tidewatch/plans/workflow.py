@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Settings
 from tidewatch.operators.correlation import correlate_vendors
 from tidewatch.operators.disclosure import disclosure_plan, escalation_plan
+from tidewatch.operators.findings import audit_run
 from tidewatch.operators.risk import breach_counters, breach_evidence, mark_breached, risk_scores
 from tidewatch.operators.transitions import overlay
 
@@ -53,6 +54,10 @@ def run_ledger(inputs: LedgerInputs, settings: Settings, as_of: str, cut: Callab
     return LedgerRun(risk, final, correlated, plan.events, escalation.events, evidence)
 
 
+def audit_ledger_run(counts: DataFrame, as_of: str) -> DataFrame:
+    return audit_run(counts, "PHASE3_PIPELINE_COMPLETED", as_of, name="step", scope="ledger")
+
+
 def step_counts(run: LedgerRun, domains: DataFrame) -> DataFrame:
     """``(step, metric, n)`` of one run."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return made
 
 
+def handover(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a stage to the shared folder and read it back.
+
+    For a result that several later steps use: it is computed once, later plans
+    start from the written table, and a lost executor rereads it.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a scan that is too coarse to keep the cluster busy.
 
-    Text work costs far more than the scan, so a file with one row group would
-    leave one busy task. A scan that already has enough splits (any large
+    Call it on a scan, before any join. Text work costs far more than the scan,
+    so a file with one row group would leave one busy task. A scan that already has enough splits (any large
     table) is returned as it is, without a shuffle. Hashing on the row key
     keeps a recomputed task's rows the same after an executor is lost.
     """

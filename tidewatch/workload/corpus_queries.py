@@ -8,7 +8,7 @@ from tidewatch import rules
 from tidewatch.functions import text
 from tidewatch.operators import corpus, names
 from tidewatch.plans import refresh as plan
-from tidewatch.session import spread
+from tidewatch.session import handover, spread
 from tidewatch.sources import captures as capture_source
 from tidewatch.sources import feeds, lookups
 from tidewatch.workload import inputs as I
@@ -402,10 +402,24 @@ def corpus_refresh(spark, sf):
     *_SCORED_CTES,
 )
 def refresh_counters(spark, sf):
-    scored = plan.score_names(_names(spark, sf), *_world(spark, sf))
+    scored = handover(plan.score_names(_names(spark, sf), *_world(spark, sf)), "scored")
     return plan.refresh_counters(scored, plan.refresh(scored, I.inventory(spark, sf)))
 
 
+@query(
+    "refresh_audit",
+    f"""WITH {_SCORED}, {_upsert_sql("SELECT * FROM scored WHERE outcome = 'candidate'", 'CT_LOG')},
+        c AS (SELECT CASE WHEN action = 'created' THEN 'new' ELSE action END AS outcome, count(*) AS n FROM up WHERE action <> 'kept' GROUP BY 1
+              UNION ALL SELECT outcome, count(*) FROM scored WHERE outcome <> 'candidate' GROUP BY 1)
+        SELECT 'CORPUS_REFRESH_COMPLETED' AS event_type, 'SYSTEM' AS actor, '{{' || string_agg('"' || outcome || '":' || n, ',' ORDER BY outcome) || '}}' AS details FROM c""",
+    *_SCORED_CTES,
+)
+def refresh_audit(spark, sf):
+    scored = handover(plan.score_names(_names(spark, sf), *_world(spark, sf)), "scored")
+    counters = plan.refresh_counters(scored, plan.refresh(scored, I.inventory(spark, sf)))
+    return plan.audit_refresh(counters, AS_OF).select("event_type", "actor", "details")
+
+
 _UNGATED = _SCORED.replace(
     f"CASE WHEN {_in_tlds('s.domain', rules.COUNTRY_TLDS)} THEN '' ELSE ge.asn END AS asn", "ge.asn AS asn"
 )
@@ -539,6 +553,17 @@ def source_stats(spark, sf):
     return names.source_stats(feeds.parse_feeds(_all_feeds(spark, sf), configured=("Shodan",)))
 
 
+@query(
+    "enumeration_audit",
+    f"""WITH n AS ({_PARSED}), c AS (SELECT source, count(*) AS k FROM (SELECT DISTINCT root, source, name FROM n) GROUP BY 1)
+        SELECT 'SUBDOMAIN_ENUM_COMPLETED' AS event_type, '{{' || string_agg('"' || source || '":' || k, ',' ORDER BY source) || '}}' AS details FROM c""",
+    "sites",
+)
+def enumeration_audit(spark, sf):
+    stats = names.source_stats(feeds.parse_feeds(_all_feeds(spark, sf), configured=("Shodan",)), by_root=False)
+    return plan.audit_enumeration(stats, AS_OF).select("event_type", "details")
+
+
 @query(
     "feed_availability",
     "SELECT source, count(*) AS n_payloads FROM sites, (VALUES "

@@ -13,7 +13,7 @@ from tidewatch.operators import findings as saving
 from tidewatch.operators.corpus import delete_domains
 from tidewatch.plans import reports, workflow
 from tidewatch.schemas import CONFIDENCE, is_open, is_risk_open
-from tidewatch.session import as_of_column, checkpoint_root
+from tidewatch.session import as_of_column, handover
 from tidewatch.sources import lookups
 from tidewatch.workload import inputs as I
 from tidewatch.workload.inputs import AS_OF, SETTINGS
@@ -260,6 +260,35 @@ def list_domains_scanned(spark, sf):
     return found.select("domain_id", ts("last_scanned_at").alias("last_scanned_at"))
 
 
+@query(
+    "list_domains_by_score_asc",
+    "SELECT domain_id, iocs_score FROM domains ORDER BY iocs_score ASC NULLS LAST, domain_id LIMIT 100",
+    "domains",
+)
+def list_domains_by_score_asc(spark, sf):
+    found = reports.list_domains(I.domains(spark, sf), I.findings(spark, sf), sort="iocs_asc", per_page=100)
+    return found.select("domain_id", "iocs_score")
+
+
+@query("list_domains_by_name", "SELECT domain_id, domain FROM domains ORDER BY domain ASC NULLS LAST, domain_id LIMIT 25", "domains")
+def list_domains_by_name(spark, sf):
+    return reports.list_domains(I.domains(spark, sf), I.findings(spark, sf), sort="domain_asc").select("domain_id", "domain")
+
+
+@query(
+    "finding_detail",
+    f"""SELECT finding_id, d.domain, url, url_path, entity_type, finding_type, severity, f.status, heuristic_confidence, dark_web_confirmed,
+        {sql_ts('disclosure_sla_due')} AS sla_due, escalation_level FROM findings f JOIN domains d USING (domain_id)""",
+    "domains",
+    "findings",
+)
+def finding_detail(spark, sf):
+    return reports.finding_detail(I.findings(spark, sf), I.domains(spark, sf)).select(
+        "finding_id", "domain", "url", "url_path", "entity_type", "finding_type", "severity", "status", "heuristic_confidence",
+        "dark_web_confirmed", ts("disclosure_sla_due").alias("sla_due"), "escalation_level",
+    )
+
+
 def _list_findings_sql(order: str) -> str:
     return f"""SELECT f.finding_id, d.domain, f.finding_type, f.severity, f.status, CAST({EFFECTIVE} AS DECIMAL(4,3)) AS confidence,
         {sql_ts('f.disclosure_sla_due')} AS sla_due FROM findings f JOIN domains d USING (domain_id) ORDER BY {order}, f.finding_id LIMIT 25"""
@@ -1033,6 +1062,52 @@ def domain_delete(spark, sf):
     return out
 
 
+_ELIGIBLE = "(SELECT j.job_id FROM scan_jobs j JOIN domains d USING (domain_id) WHERE j.status IN ('FAILED','SKIPPED','COMPLETED'))"
+
+
+@query(
+    "audit_trail",
+    f"""WITH {_EMAILS}, {_CHANGES}, ESC AS (WITH {_ESCALATE} SELECT DISTINCT domain_id FROM q SEMI JOIN domains USING (domain_id)),
+        DIS AS (WITH {_QUEUE} SELECT DISTINCT domain_id FROM q SEMI JOIN domains USING (domain_id))
+        SELECT 'FINDING_STATUS_UPDATED' AS event_type, 'finding' AS target_type, count(*) AS n FROM ch
+          WHERE s IN ('CONFIRMED','FALSE_POSITIVE','RESOLVED','ESCALATED') AND (v IS NULL OR v = 'LOW')
+        UNION ALL SELECT 'DISCLOSURE_ACKNOWLEDGED', 'finding', count(*) FROM disclosure_events WHERE finding_id % 5 < 2 AND acknowledged_at IS NULL
+        UNION ALL SELECT 'RESCAN_TRIGGERED', 'scan_job', count(*) FROM {_ELIGIBLE}
+        UNION ALL SELECT 'JOB_RETRIED', 'job', count(*) FROM {_ELIGIBLE}
+        UNION ALL SELECT 'CONTACT_EMAIL_UPDATED', 'domain', count(*) FROM domains WHERE contact_email IS NULL
+        UNION ALL SELECT 'CONTACT_EMAIL_DISCOVERED', 'domain', count(*) FROM domains WHERE contact_email IS NULL
+        UNION ALL SELECT 'DOMAIN_DELETED', 'domain', count(*) FROM domains WHERE status = 'INACTIVE'
+        UNION ALL SELECT 'DISCLOSURE_SENT', 'domain', count(*) FROM DIS
+        UNION ALL SELECT 'CERTIN_ESCALATION', 'domain', count(*) FROM ESC""",
+    "domains",
+    "findings",
+    "scan_jobs",
+    "disclosure_events",
+    "contact_files",
+)
+def audit_trail(spark, sf):
+    """Audit rows of every state change, counted by type."""
+    d, f, e = I.domains(spark, sf), I.findings(spark, sf), I.disclosure_events(spark, sf)
+    contacts = names.security_contacts(d, I.contact_files(spark, sf))
+    rescans = transitions.rescan_eligible(I.scan_jobs(spark, sf), d)
+    bare = d.filter("contact_email IS NULL").selectExpr("domain_id", "concat('x@', domain) AS email")
+    logs = [
+        transitions.audit_reviews(transitions.apply_reviews(f, _changes(spark, sf), AS_OF), AS_OF),
+        transitions.audit_acknowledged(transitions.acknowledge_events(e, _acks(spark, sf), AS_OF), f, AS_OF),
+        transitions.audit_rescans(rescans, AS_OF),
+        transitions.audit_rescans(rescans, AS_OF, retry=True),
+        transitions.audit_contacts(transitions.set_contacts(d, bare), AS_OF),
+        transitions.audit_discovered(transitions.discover_contacts(d, contacts), AS_OF),
+        transitions.audit_deleted(d.filter("status = 'INACTIVE'"), AS_OF),
+        disclosure.disclosure_plan(f, disclosure.stored_or_found(d, contacts), SETTINGS, AS_OF).audit,
+        disclosure.escalation_plan(f, d, SETTINGS, AS_OF).audit,
+    ]
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return out.groupBy("event_type", "target_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- the whole run ---------------------------------------------------------
 
 
@@ -1058,18 +1133,9 @@ def domain_delete(spark, sf):
     "host_vulns",
 )
 def workflow_steps(spark, sf):
-    import uuid
-
     d = _contacts(spark, sf)
-    folder = f"{checkpoint_root(spark)}/ledger-run-{uuid.uuid4().hex}"
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     rows = I.findings(spark, sf).withColumn("finding_id", F.col("finding_id").cast("string"))
     run = workflow.run_ledger(
-        workflow.LedgerInputs(d, rows, I.breaches(spark, sf), I.host_vulns(spark, sf)), SETTINGS, AS_OF, cut
+        workflow.LedgerInputs(d, rows, I.breaches(spark, sf), I.host_vulns(spark, sf)), SETTINGS, AS_OF, handover
     )
     return workflow.step_counts(run, d)

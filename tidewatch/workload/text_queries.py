@@ -220,6 +220,19 @@ def verhoeff_check(spark, sf):
     return _numbers(spark, sf).select("doc_id", F.sha2("x", 256).alias("number_hash"), checks.verhoeff_check(F.col("x")).alias("valid"))
 
 
+@query(
+    "sql_checks",
+    f"{_DIGITS} SELECT doc_id, sha256(x) AS number_hash, {verhoeff_sql('x')} AS verhoeff, {luhn_sql('x')} AS luhn, CAST(round({entropy_sql('x')} * 1000000) AS BIGINT) AS micro_bits, sha256('{SALT}' || x) AS value_hash FROM t",
+)
+def sql_checks(spark, sf):
+    """The checks as SQL functions."""
+    checks.register_sql_functions(spark, SALT)
+    return _numbers(spark, sf).selectExpr(
+        "doc_id", "sha2(x, 256) AS number_hash", "verhoeff_check(x) AS verhoeff", "luhn_check(x) AS luhn",
+        "CAST(round(shannon_entropy(x) * 1000000) AS BIGINT) AS micro_bits", "hash_value(x) AS value_hash",
+    )
+
+
 def _numbers(spark, sf):
     found = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{12,}"), F.lit(0)))
     return spread(_docs(spark, sf), "doc_id").select("doc_id", found.alias("x"))
