@@ -85,6 +85,13 @@ def test_optional_rules_are_off_by_default(spark):
     assert {k[1] for k in scan(spark, [card], ALL_RULES)} == {"CREDIT_CARD", "EMAIL", "UPI_ID", "BANK_ACCOUNT"}
 
 
+def test_low_entropy_tokens_are_dropped(spark):
+    low, high = "aaaabbbbccccdddd", "a8Fk2Lq9Zx7Wm4Tn"
+    texts = [f'token = "{low}"', f'token = "{high}"', f'token = "{low}" token = "{high}"']
+    found = scan(spark, texts, ALL_RULES)
+    assert {(i, r.value_count_estimate) for (i, name), r in found.items() if name == "GENERIC_API_KEY"} == {(1, 1), (2, 1)}
+
+
 # -- validators ------------------------------------------------------------
 
 

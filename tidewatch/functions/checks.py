@@ -87,7 +87,8 @@ def hash_value(value: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), stripped), 256)
 
 
-CHECKS = {"verhoeff": verhoeff_check, "luhn": luhn_check, "entropy": high_entropy}
+# One-argument functions: Spark hands a second parameter of a filter the index.
+CHECKS = {"verhoeff": verhoeff_check, "luhn": luhn_check, "entropy": lambda value: high_entropy(value)}
 
 
 def register_sql_functions(spark: SparkSession, salt: str) -> None:
