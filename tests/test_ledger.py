@@ -193,3 +193,21 @@ def test_spread_leaves_fine_scans_alone(spark):
     assert spread(fine, "id") is fine
     assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 16
     assert checkpoint_root(spark)
+
+
+def test_correlating_twice_adds_nothing(spark):
+    sf = "/root/testdata/sf0.001"
+    domains, found = I.domains(spark, sf), I.findings(spark, sf).withColumn("vendor_fingerprint", F.lit(None).cast("string"))
+    first = correlation.correlate_vendors(domains, found, AS_OF)
+    assert first.count() == first.select("finding_id").distinct().count() > 0
+    both = found.withColumn("finding_id", F.col("finding_id").cast("string")).unionByName(first, allowMissingColumns=True)
+    assert correlation.correlate_vendors(domains, both, AS_OF).count() == 0
+
+
+def test_a_finding_keeps_its_own_vendor(spark):
+    domains = spark.createDataFrame([(1, "Joomla 4"), (2, None)], "domain_id int, vendor_fingerprint string")
+    rows = [(10, 1, "HIGH", "NEW", "A", None), (11, 1, "CRITICAL", "NEW", "B", "Drupal 9"), (12, 2, "CRITICAL", "NEW", "C", None),
+            (13, 1, "CRITICAL", "RESOLVED", "D", None)]
+    found = spark.createDataFrame(rows, "finding_id int, domain_id int, severity string, status string, finding_type string, vendor_fingerprint string")
+    got = {r.vendor: (r.severity, r.finding_type) for r in correlation.vendor_representatives(found, domains).collect()}
+    assert got == {"Joomla 4": ("HIGH", "A"), "Drupal 9": ("CRITICAL", "B")}

@@ -26,14 +26,22 @@ def with_domain_vendor(findings: DataFrame, domains: DataFrame) -> DataFrame:
     return findings.join(vendors, "domain_id", "left").select(*kept, F.coalesce(own, "_v").alias("vendor_fingerprint"))
 
 
-def vendor_representatives(findings: DataFrame) -> DataFrame:
-    """Most severe risky finding per vendor: ``(vendor, severity, finding_type)``."""
-    order = F.struct(severity_rank(F.col("severity")), F.col("finding_id"))
-    best = F.min_by(F.struct("severity", "finding_type"), order)
-    return (
-        risky_findings(findings).groupBy(F.col("vendor_fingerprint").alias("vendor"))
-        .agg(best.alias("b")).select("vendor", "b.severity", "b.finding_type")
-    )
+def vendor_representatives(findings: DataFrame, domains: DataFrame) -> DataFrame:
+    """Most severe risky finding per vendor: ``(vendor, severity, finding_type)``.
+
+    A finding without a vendor takes its domain's. The best finding per domain
+    is found first, so domains with very many findings join as one row.
+    """
+    own = F.col("vendor_fingerprint") if "vendor_fingerprint" in findings.columns else F.lit(None).cast("string")
+    risky = findings.filter(F.col("severity").isin("CRITICAL", "HIGH") & is_open(F.col("status")))
+    rows = risky.select("domain_id", own.alias("own"), "finding_id", "severity", "finding_type")
+    order = F.struct(severity_rank(F.col("severity")).alias("rank"), F.col("finding_id").alias("id"))
+    best = F.min(F.struct(order.alias("order"), F.col("severity"), F.col("finding_type"))).alias("b")
+    vendors = domains.select("domain_id", "vendor_fingerprint")
+    per_domain = rows.groupBy("domain_id", "own").agg(best).join(vendors, "domain_id", "left")
+    vendor = F.coalesce("own", "vendor_fingerprint")
+    per_vendor = per_domain.select(vendor.alias("vendor"), "b").filter(F.length("vendor") > 0)
+    return per_vendor.groupBy("vendor").agg(F.min("b").alias("b")).select("vendor", "b.severity", "b.finding_type")
 
 
 def match_vendors(vendors: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -61,12 +69,12 @@ def match_vendors(vendors: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 def correlate_vendors(domains: DataFrame, findings: DataFrame, as_of: str) -> DataFrame:
     """New VENDOR_CORRELATION findings, one per ACTIVE domain and matching risky vendor."""
-    known = with_domain_vendor(findings, domains)
-    templates = vendor_representatives(known)
+    templates = vendor_representatives(findings, domains)
     active = domains.filter(F.col("status") == "ACTIVE")
     pairs = match_vendors(templates.select("vendor"), active).join(templates, "vendor")
     affected = active.select("domain_id", "domain", "vendor_fingerprint").join(pairs, "vendor_fingerprint")
-    existing = known.filter(F.col("finding_type") == "VENDOR_CORRELATION").select(
+    raised = findings.filter(F.col("finding_type") == "VENDOR_CORRELATION")
+    existing = with_domain_vendor(raised, domains).select(
         "domain_id", F.col("vendor_fingerprint").alias("vendor")
     )
     fresh = affected.join(existing, ["domain_id", "vendor"], "left_anti")

@@ -623,7 +623,7 @@ def risky_vendors(spark, sf):
 
 @query("vendor_representative", f"WITH {_TEMPLATES} SELECT vendor, severity, finding_type FROM t", "domains", "findings")
 def vendor_representative(spark, sf):
-    return correlation.vendor_representatives(correlation.with_domain_vendor(I.findings(spark, sf), I.domains(spark, sf)))
+    return correlation.vendor_representatives(I.findings(spark, sf), I.domains(spark, sf))
 
 
 @query(
