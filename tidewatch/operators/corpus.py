@@ -92,34 +92,39 @@ def fingerprint(df: DataFrame, html: str, headers: Column | None = None) -> Data
     combined = page if headers is None else F.concat(page, F.lit("\n"), F.coalesce(header_text(headers), F.lit("")))
     staged = df.withColumn("_page", combined).withColumn("_lower", F.lower("_page"))
     text, lowered = F.col("_page"), F.col("_lower")
-    picks = []
-    for sig in rules.VENDOR_SIGNATURES:
+    table = rules.VENDOR_SIGNATURES
+    counts = []
+    for sig in table:
         count = reduce(lambda a, b: a + b, [_signal(p, text, lowered).cast("int") for p in sig.signals])
-        version = F.nullif(F.regexp_extract(text, sig.version, 1), F.lit("")) if sig.version else F.lit(None).cast("string")
-        picks.append(
-            F.when(
-                contains_any(lowered, sig.gates) & (count >= sig.min_signals),
-                F.struct(
-                    F.lit(sig.vendor).alias("name"),
-                    version.alias("version"),
-                    F.lit(sig.risk).alias("risk"),
-                    count.alias("signals"),
-                ),
-            )
-        )
-    found = staged.withColumn("_fp", F.coalesce(*picks))
-    return found.select(
-        *df.columns,
-        F.concat_ws(" ", "_fp.name", "_fp.version").alias("_vendor"),
-        F.col("_fp.name").alias("vendor_name"),
-        F.col("_fp.version").alias("vendor_version"),
-        F.col("_fp.risk").alias("vendor_risk"),
-        F.col("_fp.signals").alias("vendor_signals"),
-    ).select(
-        *df.columns,
-        F.when(F.col("vendor_name").isNotNull(), F.col("_vendor")).alias("vendor"),
-        "vendor_name", "vendor_version", "vendor_risk", "vendor_signals",
-    )
+        counts.append(F.when(contains_any(lowered, sig.gates), count).otherwise(F.lit(0)))
+    # Signals are counted once, as an array; the rest works on its position.
+    counted = staged.withColumn("_n", F.array(*counts))
+    least = F.array(*[F.lit(sig.min_signals) for sig in table])
+    enough = F.zip_with("_n", least, lambda n, m: n >= m)
+    placed = counted.withColumn("_i", F.array_position(enough, F.lit(True)).cast("int"))
+    at = F.col("_i")
+    version = F.coalesce(
+        *[
+            F.when(at == i, F.nullif(F.regexp_extract(text, sig.version, 1), F.lit("")))
+            for i, sig in enumerate(table, 1)
+            if sig.version
+        ]
+    )
+    name = F.element_at(F.array(*[F.lit(sig.vendor) for sig in table]), at)
+    found = F.struct(
+        F.concat_ws(" ", name, version).alias("vendor"),
+        name.alias("vendor_name"),
+        version.alias("vendor_version"),
+        F.element_at(F.array(*[F.lit(sig.risk) for sig in table]), at).alias("vendor_risk"),
+        F.element_at("_n", at).alias("vendor_signals"),
+    )
+    # Exploding one struct per row keeps a later filter on these columns from
+    # being pushed below and matching every signal a second time.
+    empty = F.lit(None).cast(
+        "struct<vendor:string,vendor_name:string,vendor_version:string,vendor_risk:string,vendor_signals:int>"
+    )
+    one = F.explode(F.array(F.when(at > 0, found).otherwise(empty))).alias("_f")
+    return placed.select(*df.columns, one).select(*df.columns, "_f.*")
 
 
 # --------------------------------------------------------------------------
