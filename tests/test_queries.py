@@ -6,12 +6,14 @@ import duckdb
 import pytest
 from conftest import SF_DIR
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tidewatch.workload.registry import REGISTRY
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES = {name: fn for name, (fn, _) in REGISTRY.items()}
+SQL = {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
 @pytest.fixture(scope="module")

@@ -30,12 +30,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and hand-over tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) is a fresh folder made.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one
+    machine may leave it unset; then a fresh folder is made. On a cluster a
+    machine-local folder would lose rows, so a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
