@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import packing, sharding, simhash, token_counts, url_filter
+from tidewatch.llm import packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ URL_RULES = (
 )
 
 
+def op1_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
@@ -33,6 +39,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=1024)
 
 
+def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, scale=64)
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -42,12 +53,55 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(table(spark, sf_dir, "documents"), TOKENIZER, capacity=1024, end_id=2)
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0).drop("payload")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_histogram_shards, op4_simhash_bk_trees, op5_token_counts, op8_url_rules, op9_best_fit)
+    f.__name__: f
+    for f in (
+        op1_phrase_automata,
+        op3_histogram_shards,
+        op4_simhash_bk_trees,
+        op5_token_counts,
+        op7_bit_sliced_top_k,
+        op8_url_rules,
+        op9_best_fit,
+        op10_warc_segments,
+    )
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {
+    "op7_bit_sliced_top_k": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+            WHERE q.vec_id % 20 = 0),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op10_warc_segments": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+        coded AS (
+            SELECT page_id, payload, list_aggregate(list_transform(range(32), lambda i:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              CAST((CAST('0x' || substr(hex, CAST(i // 8 * 10 + 1 AS BIGINT), 10) AS UBIGINT)
+                                    >> CAST(35 - 5 * (i % 8) AS UBIGINT)) & 31 AS BIGINT) + 1, 1)),
+                       'string_agg', '') AS payload_digest
+            FROM payloads),
+        last AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last_page FROM coded)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = last_page THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last_page THEN last_page END AS refers_to
+        FROM last""",
     "op8_url_rules": f"""
         WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
         parts AS (
