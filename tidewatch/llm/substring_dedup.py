@@ -7,15 +7,16 @@ document with a smaller doc_id.
    window's anchor, so equal windows have equal anchors; about one word in
    twenty starts an anchor. Anchors that occur in two different texts recur. Exact
    copies of a text need nothing more: the first stands for all.
-2. Confirmation. Windows whose anchor recurs are counted by hash, with partial
-   sums before the shuffle; those in two documents are recurring passages, owned
-   by the smallest doc_id. The owner's words around each anchor become pieces.
-3. Automata. All documents are dealt to shards of bounded text. A shard gets the pieces its documents may hold, compiles their anchor
-   phrases into one Aho-Corasick automaton over words, and streams its documents
-   through it once. Each occurrence is extended word by word on both sides
-   against the owner's words; 50 or more in common are removed.
-
-Nothing rests on a hash alone but the equality of single words (64 bits).
+2. Confirmation. All documents are dealt to shards of bounded text. A shard
+   counts its windows whose anchor recurs, and sums over the shards find those in
+   two documents: recurring passages, owned by the smallest doc_id. Each shard is
+   told the owners of its own windows only.
+3. Automata. A shard compiles its recurring phrases into one Aho-Corasick
+   automaton over words and streams its documents through it once. The windows
+   around each occurrence are looked up among the confirmed ones; where the owner
+   is a smaller doc_id, their words are removed.
+
+Windows are told apart by 64 bits within a shard's few hundred thousand.
 """
 
 from __future__ import annotations
@@ -84,145 +85,134 @@ def _profiles(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(by_batch(make), schema)
 
 
-def _regions(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, region, words): stretches of each document whose windows all have a recurring anchor."""
+def _spans(starts: np.ndarray, length: int, count: int) -> np.ndarray:
+    """Which of ``count`` places lie in a span of ``length`` from one of ``starts``."""
+    steps = np.zeros(count + 1, np.int64)
+    np.add.at(steps, np.maximum(starts, 0), 1)
+    np.add.at(steps, np.minimum(starts + length, count), -1)
+    return np.cumsum(steps[:-1]) > 0
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc_ids, numbers, stretches = [], [], []
-            rows = zip(batch.column("doc").to_pylist(), texts_of(batch, "text"), batch.column("recurring"), strict=True)
-            for doc, text, recurring in rows:
-                hashes = word_hashes(text)
-                at = anchors(hashes, window)
-                known = recurring.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                hit = np.isin(run_hashes(hashes, PHRASE)[at], known)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-                for number, (begin, end) in enumerate(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)):
-                    doc_ids.append(doc)
-                    numbers.append(number)
-                    stretches.append(hashes[begin : end - 1 + window].tobytes())
-            arrays = [pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(stretches, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["doc", "region", "words"])
-
-        return step
 
-    return docs.mapInArrow(by_batch(make), "doc long, region int, words binary")
-
-
-def _windows(regions: DataFrame, window: int) -> DataFrame:
-    """(window, doc): the distinct windows of each region."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            docs = batch.column("doc").to_numpy()
-            each = [np.unique(run_hashes(np.frombuffer(w, np.uint64), window)) for w in texts_of(batch, "words")]
-            owners = np.repeat(docs, [len(x) for x in each])
-            arrays = [pa.array(np.concatenate(each).view(np.int64)), pa.array(owners)]
-            return pa.RecordBatch.from_arrays(arrays, ["window", "doc"])
-
-        return step
-
-    return regions.mapInArrow(by_batch(make), "window long, doc long")
-
-
-def _pieces(owned: DataFrame, window: int) -> DataFrame:
-    """(anchor, owner, at, words): the owner's words around each anchor that its recurring windows need."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[tuple[int, int, int, bytes]] = []
-            rows = zip(batch.column("doc").to_pylist(), texts_of(batch, "words"), batch.column("windows"), strict=True)
-            for doc, stretch, windows in rows:
-                hashes = np.frombuffer(stretch, np.uint64)
-                known = windows.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                hit = np.flatnonzero(np.isin(run_hashes(hashes, window), known))
-                if not len(hit):
-                    continue
-                at = anchors(hashes, window)[hit]
-                phrases = run_hashes(hashes, PHRASE).view(np.int64)
-                cuts = np.flatnonzero((np.diff(hit) != 1) | (np.diff(at) != 0)) + 1
-                for run in np.split(np.arange(len(hit)), cuts):
-                    begin, end, anchor = int(hit[run[0]]), int(hit[run[-1]]) + window, int(at[run[0]])
-                    out.append((int(phrases[anchor]), doc, anchor - begin, hashes[begin:end].tobytes()))
-            if not out:
-                return None
-            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, ["anchor", "owner", "at", "words"])
-
-        return step
-
-    return owned.mapInArrow(by_batch(make), "anchor long, owner long, at int, words binary")
+def _shard_windows(stream: DataFrame, window: int) -> DataFrame:
+    """What each shard holds: its distinct windows with a recurring anchor (window, least and most doc), and their phrases.
 
+    In the stream, sorted by shard and document, a document's recurring anchors
+    come before its text.
+    """
+    schema = "shard int, window long, least long, most long, letters binary"
 
-_PIECE_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, recurring, windows, docs, phrases = None, None, [], [], {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if windows:
+                every, by = np.concatenate(windows), np.concatenate(docs)
+                order = np.lexsort((by, every))
+                every, by = every[order], by[order]
+                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                last = np.append(first[1:], len(every)) - 1
+                nothing = pa.nulls(len(first), pa.binary())
+                arrays = [pa.array(np.full(len(first), shard, np.int32)), pa.array(every[first].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(by[first]), pa.array(by[last]), nothing], names)
+                none = pa.nulls(len(phrases), pa.int64())
+                arrays = [pa.array(np.full(len(phrases), shard, np.int32)), none, none, none]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(phrases.values()), pa.binary())], names)
+            windows.clear()
+            docs.clear()
+            phrases.clear()
+
+        names = ["shard", "window", "least", "most", "letters"]
+        for batch in batches:
+            rows = zip(
+                batch.column("shard").to_pylist(),
+                batch.column("doc").to_pylist(),
+                batch.column("text_hash").to_pylist(),
+                batch.column("recurring"),
+                texts_of(batch, "text"),
+                strict=True,
+            )
+            for at_shard, doc, text_hash, anchor_list, text in rows:
+                if at_shard != shard:
+                    yield from flush()
+                    shard = at_shard
+                if anchor_list.is_valid:
+                    recurring = (doc, text_hash, anchor_list.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                elif recurring is not None and recurring[:2] == (doc, text_hash):
+                    hashes = word_hashes(text)
+                    at = anchors(hashes, window)
+                    all_phrases = run_hashes(hashes, PHRASE)
+                    hit = np.flatnonzero(np.isin(all_phrases[at], recurring[2]))
+                    windows.append(np.unique(run_hashes(hashes, window)[hit]))
+                    docs.append(np.full(len(windows[-1]), doc, np.int64))
+                    letters = (hashes & _LETTER).astype(np.uint32)
+                    for p in np.unique(at[hit]).tolist():
+                        phrases[int(all_phrases[p])] = letters[p : p + PHRASE].tobytes()
+                    recurring = None
+        yield from flush()
+
+    return stream.mapInArrow(run, schema)
 
 
 class PhraseAutomaton:
-    """The anchor phrases of a shard's pieces; a word's letter is the low half of its hash."""
+    """A shard's recurring phrases and confirmed windows; a word's letter is the low half of its hash."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], window: int) -> None:
-        self.window = window
-        self.pieces: list[list[tuple[int, int, np.ndarray]]] = []
-        numbers: dict[tuple[int, ...], int] = {}
+    def __init__(self, phrases: list[bytes], windows: np.ndarray, owners: np.ndarray, window: int) -> None:
+        order = np.argsort(windows)
+        self.window, self.windows, self.owners = window, windows[order], owners[order]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for owner, at, words in pieces:
-            hashes = np.frombuffer(words, np.uint64)
-            letters = tuple((hashes[at : at + PHRASE] & _LETTER).tolist())
-            if (number := numbers.setdefault(letters, len(self.pieces))) == len(self.pieces):
-                self.machine.add_word(letters, number)
-                self.pieces.append([])
-            self.pieces[number].append((owner, at, hashes))
-        for own in self.pieces:
-            own.sort(key=lambda piece: piece[0])
+        for letters in phrases:
+            self.machine.add_word(tuple(np.frombuffer(letters, np.uint32).tolist()), 1)
         self.machine.make_automaton()
 
     def removed(self, doc: int, hashes: np.ndarray) -> np.ndarray:
         """Which words lie in a passage of a smaller doc_id."""
         gone = np.zeros(len(hashes), bool)
-        for last, number in self.machine.iter(tuple((hashes & _LETTER).tolist())):
-            start = last - PHRASE + 1
-            for owner, at, words in self.pieces[number]:
-                if owner >= doc:
-                    break
-                left, right = min(at, start), min(len(words) - at, len(hashes) - start)
-                if left + right < self.window:
-                    continue
-                same = words[at - left : at + right] == hashes[start - left : start + right]
-                wrong = np.flatnonzero(~same)
-                before, after = wrong[wrong < left], wrong[wrong >= left]
-                begin = int(before[-1]) + 1 if len(before) else 0
-                end = int(after[0]) if len(after) else left + right
-                if end - begin >= self.window:
-                    gone[start - left + begin : start - left + end] = True
-        return gone
+        count = len(hashes) - self.window + 1
+        if count <= 0:
+            return gone
+        ends = np.fromiter((end for end, _ in self.machine.iter(tuple((hashes & _LETTER).tolist()))), np.int64)
+        if not len(ends):
+            return gone
+        reach = self.window - PHRASE + 1
+        near = np.flatnonzero(_spans(ends - self.window + 1, reach, len(hashes))[:count])
+        own = run_hashes(hashes, self.window)[near]
+        at = np.searchsorted(self.windows, own)
+        at[at == len(self.windows)] = 0
+        found = near[(self.windows[at] == own) & (self.owners[at] < doc)]
+        return _spans(found, self.window, len(hashes)) if len(found) else gone
 
 
 def _located(stream: DataFrame, window: int) -> DataFrame:
-    """Run a stream sorted by shard, pieces before documents, through the shard's automaton."""
+    """Run a stream sorted by shard and kind (0 phrases, 1 confirmed windows, 2 documents) through each shard's automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, pieces, machine, before = None, [], None, None
+        shard, phrases, windows, owners, machine, before = None, [], [], [], None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("shard", "doc", "text_hash", "owner", "at")]
-            rows = zip(*columns, texts_of(batch, "words"), texts_of(batch, "text"), strict=True)
-            for at_shard, doc, text_hash, owner, at, words, text in rows:
-                if at_shard != shard:
-                    shard, pieces, machine = at_shard, [], None
-                if owner is not None:
-                    pieces.append((owner, at, words))
-                    continue
-                if (doc, text_hash) == before:  # a repeated row
-                    continue
-                before = (doc, text_hash)
-                if machine is None and pieces:
-                    machine = PhraseAutomaton(pieces, window)
-                if machine is not None and (gone := machine.removed(doc, word_hashes(text))).any():
-                    kept = b" ".join(w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g)
-                    out.append((doc, text_hash, int(gone.sum()), sha256(kept).hexdigest(), kept.decode()))
+            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)], strict=True):
+                part, kind = batch.slice(begin, end - begin), int(kinds[begin])
+                if int(shards[begin]) != shard:
+                    shard, phrases, windows, owners, machine = int(shards[begin]), [], [], [], None
+                if kind == 0:
+                    phrases.extend(part.column("letters").to_pylist())
+                elif kind == 1:
+                    windows.append(part.column("window").to_numpy().view(np.uint64))
+                    owners.append(part.column("owner").to_numpy())
+                elif windows:
+                    machine = machine or PhraseAutomaton(phrases, np.concatenate(windows), np.concatenate(owners), window)
+                    ids = zip(part.column("doc").to_pylist(), part.column("text_hash").to_pylist(), strict=True)
+                    for row, text in zip(ids, texts_of(part, "text"), strict=True):
+                        if row != before and (gone := machine.removed(row[0], word_hashes(text))).any():
+                            kept = b" ".join(w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g)
+                            out.append((*row, int(gone.sum()), sha256(kept).hexdigest(), kept.decode()))
+                        before = row  # equal rows have one result
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "removed", "kept_sha", "kept"])
 
     return stream.mapInArrow(run, "doc long, text_hash long, removed long, kept_sha string, kept string")
@@ -269,27 +259,34 @@ def remove_repeats(
         .agg(F.collect_list("anchor").alias("recurring")),
         "involved",
     )
-    texts = read.filter("doc IS NOT NULL AND text IS NOT NULL").join(involved, ["doc", "text_hash"])
-    regions = keep(_regions(texts.select("doc", "text", "recurring"), window), "regions")
-    confirmed = (
-        _windows(regions, window)
-        .groupBy("window")
-        .agg(F.min("doc").alias("doc"), F.max("doc").alias("b"))
-        .filter("doc < b")
-        .groupBy("doc")
-        .agg(F.collect_list("window").alias("windows"))
-    )
-    pieces = keep(_pieces(regions.join(confirmed, "doc").select("doc", "words", "windows"), window).distinct(), "pieces")
-
     total = profiles.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-total // shard_bytes)))).cast("int").alias("shard")
-    wanted = involved.select(shard, F.explode("recurring").alias("anchor")).distinct()
-    told = wanted.join(pieces, "anchor").select("shard", "owner", "at", "words")
-    streamed = read.filter("doc IS NOT NULL AND text IS NOT NULL").select(shard, "doc", "text_hash", "text")
+    texts = read.filter("doc IS NOT NULL AND text IS NOT NULL").select(shard, "doc", "text_hash", "text")
+    marked = texts.unionByName(involved.select(shard, "*"), allowMissingColumns=True)
+    held = keep(
+        _shard_windows(
+            marked.repartition("shard").sortWithinPartitions("shard", "doc", "text_hash", F.col("recurring").isNull()),
+            window,
+        ),
+        "shard-windows",
+    )
+    confirmed = keep(
+        held.filter("window IS NOT NULL")
+        .groupBy("window")
+        .agg(F.min("least").alias("owner"), F.max("most").alias("last"))
+        .filter("owner < last")
+        .select("window", "owner"),
+        "confirmed",
+    )
+    told = held.join(confirmed, "window").filter("most > owner")
     stream = (
-        told.unionByName(streamed, allowMissingColumns=True)
+        texts.withColumn("kind", F.lit(2))
+        .unionByName(told.select("shard", "window", "owner", F.lit(1).alias("kind")), allowMissingColumns=True)
+        .unionByName(
+            held.filter("letters IS NOT NULL").select("shard", "letters", F.lit(0).alias("kind")), allowMissingColumns=True
+        )
         .repartition("shard")
-        .sortWithinPartitions("shard", F.col("owner").isNull(), "doc", "text_hash")
+        .sortWithinPartitions("shard", "kind", "doc", "text_hash")
     )
     located = _located(stream, window)
     return (
