@@ -32,15 +32,21 @@ def _ship_package(spark: SparkSession) -> None:
         context._tidewatch_shipped = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ready(spark: SparkSession) -> SparkSession:
+    """Bound the batches that Python workers get, and give the workers this package."""
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
     _ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and safe when an executor is lost."""
+    ready(df.sparkSession)
     return handover(df, f"llm-{name}")
 
 

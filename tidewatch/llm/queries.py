@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc
+from tidewatch.llm import decontamination, langid, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def op1_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
@@ -39,6 +44,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=1024)
 
 
+def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, scale=64)
@@ -61,9 +74,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_phrase_automata,
+        op2_string_tiling,
         op3_histogram_shards,
         op4_simhash_bk_trees,
         op5_token_counts,
+        op6_byte_gru,
         op7_bit_sliced_top_k,
         op8_url_rules,
         op9_best_fit,

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_batch, texts_of
+from tidewatch.llm.common import by_batch, ready, texts_of
 from tidewatch.llm.transducer import compiled
 
 
@@ -24,7 +24,7 @@ def token_counts(
     kept as rows of their own; other columns are not read; no rows give no rows.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
+        source = ready(docs.sparkSession).sparkContext.broadcast(f.read())
     kind = docs.schema[key].dataType
 
     def make():
