@@ -5,10 +5,11 @@ id is written as a response and the others as revisits of it. A response's block
 HTTP message in chunked transfer framing; a block longer than ``segment_bytes``
 goes into a first segment and continuation records, which may lie in any file.
 
-Files are written and read by Spark's text source with the record borders as
-line ends, so they can be split at any record and lie in any store. To make that
-safe for every payload, a chunk ends inside each place of the payload that looks like
-a border; a record's length is still checked against its header. Readers group
+Files are written by Spark's text source with the end of a record as line end,
+and read by it with a record's first line as line end, so they lie in any store.
+To make that safe for every payload, a chunk ends inside each place of the
+payload that looks like such a line; a record's length is still checked against
+its header. Readers group
 segments by their origin's identifier, order them by number, verify the total
 length, undo the framing and check the payload's digest.
 """
@@ -32,7 +33,7 @@ from tidewatch.session import checkpoint_root
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
-BORDER = END + VERSION
+MARK = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -50,7 +51,7 @@ def payload_digest(payload: Column) -> Column:
 
 def chunked(payload: bytes) -> bytes:
     """Chunked transfer framing; no chunk holds what could be taken for a record border."""
-    cuts = {m.start() + 2 for m in re.finditer(re.escape(END + b"WARC/"), payload)}
+    cuts = {m.start() + 5 for m in re.finditer(re.escape(MARK), payload)}
     cuts |= {*range(CHUNK_BYTES, len(payload), CHUNK_BYTES), len(payload)}
     out, start = [], 0
     for cut in sorted(cuts - {0}):
@@ -78,8 +79,9 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def _one_line(value: str | None) -> str | None:
-    """White space can't stand in a header; it is written as in a URL."""
-    return value and re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+    """White space and what looks like a record's first line can't stand in a header; they are written as in a URL."""
+    coded = value and re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+    return coded and coded.replace(MARK.decode(), "WARC%2F1.1")
 
 
 def _records(pages: DataFrame, segment_bytes: int) -> DataFrame:
@@ -137,14 +139,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Every record below ``path``: origin, segment, total, page, refers, type, digest, length, block."""
 
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rows = []
             for raw in texts_of(batch, "value"):
-                head, _, rest = raw.removeprefix(VERSION).partition(END)
+                if not raw:  # before a file's first record
+                    continue
+                head, _, rest = raw.partition(END)
                 fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n"))
                 size = int(fields["Content-Length"])
                 block = rest[:size]
-                if len(block) != size or rest[size:] not in (b"", END):
+                if len(block) != size or rest[size:] != END:
                     raise ValueError(f"record {fields['WARC-Record-ID']} has not the length it states")
                 number = lambda name, f=fields: int(f[name]) if name in f else None
                 kept = re.search(rb"\r\nX-Payload-Length: (\d+)\r\n", block) if fields["WARC-Type"] == "revisit" else None
@@ -159,12 +163,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     int(kept[1]) if kept else None,
                     block,
                 ))
+            if not rows:
+                return None
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
         return step
 
-    raw = spark.read.option("lineSep", BORDER.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    raw = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
     return raw.mapInArrow(by_batch(make), _RECORD)
 
 
