@@ -40,7 +40,17 @@ def test_saving_twice_adds_nothing(spark, candidates):
     again, _ = saving.save_findings(candidates, first, AS_OF)
     assert again.count() == 0
     closed = first.withColumn("status", F.lit("RESOLVED"))
-    assert saving.save_findings(candidates, closed, AS_OF)[0].count() == 2
+    reopened, _ = saving.save_findings(candidates, closed, AS_OF)
+    assert reopened.count() == 2
+    assert reopened.unionByName(closed).select("finding_id").distinct().count() == 4
+    assert saving.save_findings(candidates, closed.unionByName(reopened), AS_OF)[0].count() == 0
+
+
+def test_findings_of_unknown_domains_are_quarantined(spark, candidates):
+    none = spark.createDataFrame([], "domain_id int, url string, finding_type string, status string")
+    rows, bad = saving.save_findings(candidates, none, AS_OF, spark.createDataFrame([(1,)], "domain_id int"))
+    assert {r.domain_id for r in rows.collect()} == {1}
+    assert "unknown domain" in {r.problem for r in bad.collect()}
 
 
 def test_audit_details_are_json(spark, candidates):
@@ -188,11 +198,14 @@ def test_stream_writes_each_key_once_over_batches(spark):
     assert sorted(r.id for r in spark.read.parquet(f"{base}/out").select("id").collect()) == [1, 2, 3]
 
 
-def test_spread_leaves_fine_scans_alone(spark):
-    fine = spark.range(0, 1000, 1, 64)
-    assert spread(fine, "id") is fine
-    assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 16
-    assert checkpoint_root(spark)
+def test_spread_shuffles_only_when_the_session_asks(spark):
+    coarse = spark.range(0, 10, 1, 1)
+    assert spread(coarse, "id") is coarse
+    spark.conf.set("tidewatch.scanPartitions", "16")
+    try:
+        assert spread(coarse, "id").rdd.getNumPartitions() == 16
+    finally:
+        spark.conf.unset("tidewatch.scanPartitions")
 
 
 def test_correlating_twice_adds_nothing(spark):

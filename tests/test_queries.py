@@ -55,4 +55,4 @@ def test_evidence_cards_hold_no_planted_value(spark):
     assert len(text) > 100
     for value in planted:
         assert not text.str.contains(value, regex=False).any(), value
-    assert text.str.contains("--- CONTEXT ---", regex=False).all()
+    assert text.str.contains('"masked_context":"', regex=False).all()

@@ -186,10 +186,10 @@ def contact_emails(body: Column) -> Column:
     """E-mail contacts of a security.txt body, in file order."""
     lines = F.transform(F.split(body, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
     contacts = F.filter(lines, lambda x: F.lower(x).startswith("contact:"))
-    values = F.transform(contacts, lambda x: strip(F.substring(x, 9, 1_000_000)))
+    values = F.transform(contacts, lambda x: strip(F.substr(x, F.lit(9))))
     emails = F.transform(
         values,
-        lambda v: F.when(F.lower(v).startswith("mailto:"), strip(F.substring(v, 8, 1_000_000))).otherwise(v),
+        lambda v: F.when(F.lower(v).startswith("mailto:"), strip(F.substr(v, F.lit(8)))).otherwise(v),
     )
     return F.filter(emails, is_valid_email)
 

@@ -140,15 +140,11 @@ def scan_content(
 
 def evidence_card(hits: DataFrame, url: str = "url") -> DataFrame:
     """Add the evidence text of a content finding; needs ``with_context=True`` hits."""
-    card = F.concat(
-        F.lit("FINDING TYPE : "), F.col("finding_type"),
-        F.lit("\nURL          : "), F.col(url),
-        F.lit("\nOCCURRENCES  : "), F.col("value_count_estimate").cast("string"),
-        F.lit("\nKEYWORD MATCH: "), F.when(F.col("has_keyword"), F.lit("Yes")).otherwise(F.lit("No")),
-        F.lit("\nCONFIDENCE   : "), (F.col("confidence") * 100).cast("int").cast("string"), F.lit("%"),
-        F.lit("\n\n--- CONTEXT ---\n"), F.col("context"),
+    card = F.struct(
+        "finding_type", F.col(url).alias("url"), F.col("value_count_estimate").alias("found"),
+        F.col("has_keyword").alias("keyword_near"), "confidence", F.col("context").alias("masked_context"),
     )
-    return hits.withColumn("context_snippet_safe", card).drop("context")
+    return hits.withColumn("context_snippet_safe", F.to_json(card)).drop("context")
 
 
 def scan_summary(captures: DataFrame, hits: DataFrame, by: str, rules_checked: int) -> DataFrame:

@@ -206,12 +206,13 @@ def refingerprint(domains: DataFrame, pages: DataFrame, as_of: str) -> DataFrame
     )
     joined = domains.join(fresh, "domain", "left")
     hit = F.col("_hit").isNotNull()
+    before = F.col("updated_at") if "updated_at" in domains.columns else F.lit(None).cast("timestamp")
     return joined.select(
         *[c for c in domains.columns if c not in ("vendor_fingerprint", "baseline_hash", "updated_at")],
         F.coalesce("_vendor", "vendor_fingerprint").alias("vendor_fingerprint"),
         F.when(hit, F.col("_hash")).otherwise(F.col("baseline_hash")).alias("baseline_hash"),
         (hit & content_changed(F.col("baseline_hash"), F.col("_hash"))).alias("content_changed"),
-        F.when(hit, as_of_column(as_of)).alias("updated_at"),
+        F.when(hit, as_of_column(as_of)).otherwise(before).alias("updated_at"),
     )
 
 

@@ -39,6 +39,20 @@ def split_valid(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.col("problem").isNull()).drop("problem"), marked.filter(F.col("problem").isNotNull())
 
 
+def with_closed_before(candidates: DataFrame, findings: DataFrame) -> DataFrame:
+    """Add ``closed_before``: how many closed findings of the ledger have this key."""
+    closed = findings.filter(~is_open(F.col("status"))).groupBy(*DEDUP_KEY).agg(F.count("*").alias("closed_before"))
+    return candidates.join(closed, DEDUP_KEY, "left").withColumn("closed_before", F.coalesce("closed_before", F.lit(0)))
+
+
+def split_known(candidates: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(known, quarantined)``: a finding needs a domain of the inventory."""
+    known = domains.select(F.col("domain_id").alias("_known")).distinct()
+    marked = candidates.join(known, candidates["domain_id"] == known["_known"], "left")
+    unknown = marked.filter(F.col("_known").isNull()).drop("_known")
+    return marked.filter(F.col("_known").isNotNull()).drop("_known"), unknown.withColumn("problem", F.lit("unknown domain"))
+
+
 def new_findings(candidates: DataFrame, as_of: str | Column, detected_by: str = "HEURISTIC") -> DataFrame:
     """Ledger rows for valid candidates: key, entity fallback, both confidences, SLA, defaults."""
     now = as_of_column(as_of)
@@ -52,7 +66,12 @@ def new_findings(candidates: DataFrame, as_of: str | Column, detected_by: str =
     }
     given = {n: F.col(n) if n in candidates.columns else default for n, default in optional.items()}
     return candidates.select(
-        finding_key(F.col("domain_id").cast("string"), F.col("url"), F.col("finding_type")).alias("finding_id"),
+        finding_key(
+            F.col("domain_id").cast("string"),
+            F.col("url"),
+            F.col("finding_type"),
+            F.col("closed_before") if "closed_before" in candidates.columns else None,
+        ).alias("finding_id"),
         "domain_id",
         "url",
         "finding_type",
@@ -71,10 +90,18 @@ def new_findings(candidates: DataFrame, as_of: str | Column, detected_by: str =
     )
 
 
-def save_findings(candidates: DataFrame, findings: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """``(rows to append, quarantined rows)``. Appending the same batch twice adds nothing."""
+def save_findings(
+    candidates: DataFrame, findings: DataFrame, as_of: str, domains: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows to append, quarantined rows)``. Appending the same batch twice adds nothing.
+
+    With ``domains``, findings of domains outside that inventory are quarantined.
+    """
     valid, bad = split_valid(candidates)
-    fresh = not_already_open(dedup_in_run(valid), findings)
+    if domains is not None:
+        valid, orphans = split_known(valid, domains)
+        bad = bad.unionByName(orphans)
+    fresh = with_closed_before(not_already_open(dedup_in_run(valid), findings), findings)
     return new_findings(fresh, as_of), bad
 
 

@@ -108,8 +108,8 @@ def disclosure_filter(events: DataFrame, status: str | None = None) -> DataFrame
     return events.filter(F.col("send_status") == status.upper()) if status else events
 
 
-def due_by_time(domains: DataFrame, as_of: str, batch: int | None = 100) -> DataFrame:
-    """ACTIVE domains whose next scan is due, longest waiting first; one batch, or all."""
+def due_by_time(domains: DataFrame, as_of: str, batch: int | None = None) -> DataFrame:
+    """ACTIVE domains whose next scan is due, all, or the ``batch`` longest waiting."""
     due = domains.filter((F.col("status") == "ACTIVE") & (F.col("next_scan_due_at") <= as_of_column(as_of)))
     return due if batch is None else due.orderBy("next_scan_due_at", "domain_id").limit(batch)
 

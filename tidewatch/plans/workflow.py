@@ -46,7 +46,7 @@ def run_ledger(inputs: LedgerInputs, settings: Settings, as_of: str, cut: Callab
     evidence = breach_evidence(inputs.domains, inputs.breaches, inputs.host_vulns, as_of)
     marked = cut(mark_breached(inputs.findings, evidence, as_of))
     correlated = cut(correlate_vendors(inputs.domains, marked, as_of))
-    state = marked.unionByName(correlated.select(*[c for c in correlated.columns if c in marked.columns]), allowMissingColumns=True)
+    state = marked.unionByName(correlated, allowMissingColumns=True)
     plan = disclosure_plan(state, inputs.domains, settings, as_of)
     disclosed = cut(overlay(state, plan.findings, "finding_id"))
     escalation = escalation_plan(disclosed, inputs.domains, settings, as_of)

@@ -59,17 +59,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a scan that is too coarse to keep the cluster busy.
 
     Call it on a scan, before any join. Text work costs far more than the scan,
-    so a file with one row group would leave one busy task. A scan that already has enough splits (any large
-    table) is returned as it is, without a shuffle. Hashing on the row key
-    keeps a recomputed task's rows the same after an executor is lost.
+    so a file with one row group would leave one busy task. Nothing is shuffled
+    unless the session asks for it with ``tidewatch.scanPartitions``. Hashing on
+    the row key keeps a recomputed task's rows the same after an executor is lost.
     """
-    if df.isStreaming:
+    partitions = df.sparkSession.conf.get("tidewatch.scanPartitions", None)
+    if df.isStreaming or not partitions:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, *keys)
+    return df.repartition(int(partitions), *keys)
 
 
 def as_of_column(as_of: str | Column) -> Column:

@@ -25,9 +25,14 @@ def read_jdbc(
     )
 
 
-def finding_key(domain: Column, url: Column, finding_type: Column) -> Column:
-    """Deterministic finding id: the dedup key, hashed, so that re-runs agree."""
-    return F.sha2(F.concat_ws("|", domain, url, finding_type), 256)
+def finding_key(domain: Column, url: Column, finding_type: Column, closed_before: Column | None = None) -> Column:
+    """Deterministic finding id: the dedup key, hashed, so that re-runs agree.
+
+    An exposure found again after it was closed is a finding of its own: how often
+    it was closed before is part of the key, unless that is 0.
+    """
+    again = F.when(closed_before > 0, closed_before.cast("string")) if closed_before is not None else F.lit(None)
+    return F.sha2(F.concat_ws("|", domain, url, finding_type, again), 256)
 
 
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.rules import HOME_COUNTRY
@@ -44,12 +44,16 @@ def breach_counts(breaches: DataFrame) -> DataFrame:
     )
 
 
-def host_vulnerabilities(host_vulns: DataFrame) -> DataFrame:
-    """First 20 ports, vulnerability count, first 10 vulnerabilities, organisation."""
+def host_vulnerabilities(host_vulns: DataFrame, max_ports: int | None = None, max_vulns: int | None = None) -> DataFrame:
+    """Ports, vulnerability count, vulnerabilities (all, or the first so many), organisation."""
+
+    def first(name: str, most: int | None) -> Column:
+        return F.col(name) if most is None else F.slice(name, 1, most).alias(name)
+
     return host_vulns.select(
         "ip",
-        F.slice("open_ports", 1, 20).alias("open_ports"),
+        first("open_ports", max_ports),
         F.coalesce(F.size("vulns"), F.lit(0)).alias("vuln_count"),
-        F.slice("vulns", 1, 10).alias("vulns"),
+        first("vulns", max_vulns),
         "org",
     )
