@@ -297,7 +297,9 @@ def test_gradients_equal_differences():
         assert abs((sides[0] - sides[1]) / 2e-3 - g[at]) < 1e-2 * max(1, abs(g[at])), k
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_top_k(spark, coalesced):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
     rng = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)], 0) for i in range(300)]
     vectors += [(300 + i, [0.5] * 8, 0) for i in range(60)] + [(0, [0.1] * 8, 0)]
@@ -315,6 +317,7 @@ def test_top_k(spark):
     for r in got:
         found[r.query_id].append((r["rank"], r.vec_id, r.score))
     assert {q: sorted(v) for q, v in found.items()} == whole
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert topk.top_k(table.limit(0), asked).count() == 0 and topk.top_k(table, asked.limit(0)).count() == 0
 
 

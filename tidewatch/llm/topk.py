@@ -145,8 +145,9 @@ def top_k(
     rows, asked = keep(whole(vectors), "vectors"), keep(whole(queries), "queries")
     blocks = max(1, -(-rows.count() // block_rows))
     groups = max(1, -(-asked.count() // group_queries))
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks))
-    group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))
+    # Both sides need keys of one type: cogrouped rows meet by the hash of the typed key.
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
+    group = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
