@@ -209,6 +209,33 @@ def test_near_duplicates(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_group_larger_than_a_tree(spark, monkeypatch):
+    """A third of the rows are near copies of one text; trees are cut to blocks, components are those of brute force."""
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    monkeypatch.setattr(simhash, "HEADS", 4)
+    rng = random.Random(8)
+    base, rows = _words(rng, 120, 5000).split(), []
+    for i in range(400):
+        if i % 3 == 0:
+            words = base.copy()
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        elif i % 7 == 1:
+            words = [*rows[-1][1].split(), "end"] if rows else base
+        else:
+            words = _words(rng, rng.randrange(3, 60), 5000).split()
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
 def test_transducer_equals_the_library(monkeypatch):
     with open(PATH, encoding="utf-8") as f:
         machine = Transducer(f.read())

@@ -9,24 +9,29 @@ blocks are equal, so each fingerprint goes to one tree for each pair of blocks.
 A tree that would hold too many, as in a large group of near copies, is split
 once more by quarters of the remaining bits, of which at least one must be equal.
 A tree emits only edges that join two parts of it, never all pairs.
+
+Near duplicates by similarity meet in trees dealt by minimum hashes. Such a tree
+can't be split by its members' values when a third of all documents are near
+copies; it is cut into blocks that share some heads (see ``_blocks``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import by_batch, keep, texts_of
 from tidewatch.llm.components import components
-from tidewatch.llm.words import mixed
+from tidewatch.llm.words import mixed, run_hashes, word_hashes
 
 BITS = 64
+MASK = (1 << BITS) - 1
 SLICE = 1 << 15
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = 3
@@ -34,6 +39,13 @@ RADIUS = 3
 # the fingerprints differ in about 10 bits, seldom in over 16.
 NEAR_RADIUS = 16
 MINIMA = 8
+# A sketch of that many bytes estimates the similarity of a pair with a standard
+# deviation of about 0.05; pairs estimated at less than half alike are not compared.
+SKETCH = 64
+LEAST_ALIKE = 0.5
+# Members of a block of an overfull tree, and heads that all its blocks hold.
+BLOCK = 256
+HEADS = 32
 
 
 def shingle_hashes(text: bytes, length: int, seed: int = 42) -> np.ndarray:
@@ -103,18 +115,6 @@ class BKTree:
             low, high = distance - radius, distance + radius
             todo.extend(child for edge, child in self.children[at].items() if low <= edge <= high)
 
-    def nearest(self, value: int, radius: int) -> tuple[int, int] | None:
-        """(distance, number) of the nearest member within the radius, the first added of equals."""
-        todo, best = [0] if self.values else [], None
-        while todo:
-            at = todo.pop()
-            distance = (value ^ self.values[at]).bit_count()
-            if distance <= radius and (best is None or (distance, at) < best):
-                best, radius = (distance, at), distance
-            low, high = distance - radius, distance + radius
-            todo.extend(child for edge, child in self.children[at].items() if low <= edge <= high)
-        return best
-
 
 def _spanning(values: list[int], nodes: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """Edges between members within the radius, enough to connect all that are connected."""
@@ -136,50 +136,93 @@ def _spanning(values: list[int], nodes: list[int], radius: int) -> Iterator[tupl
         tree.add(value)
 
 
-def _nearest(values: list[int], nodes: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """An edge from each member to the nearest one before it within the radius."""
-    tree = BKTree()
-    for i, value in enumerate(values):
-        if (hit := tree.nearest(value, radius)) is not None:
-            yield nodes[i], nodes[hit[1]]
-        tree.add(value)
+def _alike(values: list[int], nodes: list[int], sketches: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(a, b, matches): each member's two most alike before it, and those that join further parts of the tree."""
+    tree, root = BKTree(), list(range(len(values)))
 
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-def tree_edges(dealt: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
+    for i, value in enumerate(values):
+        near = np.array(sorted(j for _, j in tree.within(value, NEAR_RADIUS)), np.int64)
+        tree.add(value)
+        if not len(near):
+            continue
+        matches = ((sketches[near] == sketches[i]) & (sketches[i] > 0)).sum(axis=1)
+        filled = ((sketches[near] > 0) | (sketches[i] > 0)).sum(axis=1)
+        fine = np.flatnonzero((matches >= LEAST_ALIKE * filled) & (filled > 0))
+        fine = fine[np.argsort(-matches[fine], kind="stable")]
+        own = find(i)
+        for place, at in enumerate(fine.tolist()):
+            j = int(near[at])
+            other = find(j)
+            if place < 2 or other != own:
+                yield nodes[i], nodes[j], int(matches[at])
+            if other != own:
+                root[other] = own
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of one shard after the other, from batches in the order of ``shard``, the first column."""
+    shard, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if row[0] != shard:
+                if len(rows) > 1:
+                    yield rows
+                shard, rows = row[0], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _packed(edges: Iterator[tuple[int, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(edges, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names)
+
+
+def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
     """(a, b) found by one tree for each value of ``shard``; ``dealt`` has (shard, fp, node).
 
     A partition is a sorted stream of shards; one shard is in memory at a time.
     """
-    edges_of = _nearest if nearest else _spanning
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, values, nodes = None, [], []
-        out: list[tuple[int, int]] = []
-
-        def packed() -> pa.RecordBatch:
-            a, b = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "fp", "node")), strict=True)
-            for at, fp, node in rows:
-                if at != shard:
-                    if len(values) > 1:
-                        out.extend(edges_of(values, nodes, radius))
-                    shard, values, nodes = at, [], []
-                values.append(fp & 0xFFFFFFFFFFFFFFFF)
-                nodes.append(node)
-            if len(out) > 10_000:
-                yield packed()
-        if len(values) > 1:
-            out.extend(edges_of(values, nodes, radius))
-        if out:
-            yield packed()
+        edges = (
+            edge
+            for rows in _by_shard(batches, ["shard", "fp", "node"])
+            for edge in _spanning([r[1] & MASK for r in rows], [r[2] for r in rows], radius)
+        )
+        yield from _packed(edges, ["a", "b"])
 
     return dealt.repartition("shard").sortWithinPartitions("shard", "node", "fp").mapInArrow(run, "a long, b long")
 
 
+def _alike_pairs(dealt: DataFrame) -> DataFrame:
+    """(a, b, matches) found by one tree for each value of ``shard``; ``dealt`` has (shard, member, fp, node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = (
+            edge
+            for rows in _by_shard(batches, ["shard", "fp", "node", "sketch"])
+            for edge in _alike(
+                [r[1] & MASK for r in rows],
+                [r[2] for r in rows],
+                np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), SKETCH),
+            )
+        )
+        yield from _packed(edges, ["a", "b", "matches"])
+
+    return (
+        dealt.repartition("shard")
+        .sortWithinPartitions("shard", "member", "node")
+        .mapInArrow(run, "a long, b long, matches long")
+    )
+
+
 def _bits(start: int, count: int) -> Column:
     return F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << count) - 1))
 
@@ -235,6 +278,12 @@ def simhash_components(
     )
 
 
+def _runs(text: bytes, length: int) -> np.ndarray:
+    """A hash of each shingle of lower-cased (A-Z) words; of all words if they are fewer."""
+    words = word_hashes(text.lower())
+    return run_hashes(words, min(length, len(words))) if len(words) else np.zeros(0, np.uint64)
+
+
 def _minima(hashes: np.ndarray) -> np.ndarray:
     """The least of each of MINIMA re-hashings: two texts agree in one with the probability of their similarity."""
     out = np.zeros(MINIMA, np.uint64)
@@ -243,41 +292,95 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """A byte of the least hash of each of SKETCH bins, 0 for an empty bin."""
+    least = np.full(SKETCH, MASK, np.uint64)
+    places = (hashes >> np.uint64(58)).astype(np.int64)
+    np.minimum.at(least, places, hashes)
+    marks = (mixed(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    marks[np.bincount(places, minlength=SKETCH) == 0] = 0
+    return marks.tobytes()
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc, text_hash, same, fp, minima): ``same`` is equal for texts with equal words."""
+    """(doc, text_hash, same, fp, minima, sketch): ``same`` is equal for texts with equal words."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            same, marks, minima = [], [], []
+            same, marks, minima, sketches = [], [], [], []
             for text in texts_of(batch, "text"):
-                hashes = shingle_hashes(text, shingle)
-                same.append(xxhash.xxh3_128_hexdigest(b" ".join(text.lower().split())))
+                hashes = _runs(text, shingle)
+                same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
                 marks.append(fingerprint(hashes))
                 minima.append(_minima(hashes).view(np.int64))
+                sketches.append(_sketch(hashes))
             arrays = [batch.column("doc"), batch.column("text_hash"), pa.array(same), pa.array(marks, pa.int64())]
-            arrays.append(pa.array(minima, pa.list_(pa.int64())))
-            return pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "same", "fp", "minima"])
+            arrays += [pa.array(minima, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "same", "fp", "minima", "sketch"])
 
         return step
 
-    return docs.mapInArrow(by_batch(make), "doc long, text_hash long, same string, fp long, minima array<long>")
+    return docs.mapInArrow(
+        by_batch(make), "doc long, text_hash long, same binary, fp long, minima array<long>, sketch binary"
+    )
+
+
+def _blocks(classes: DataFrame) -> DataFrame:
+    """(shard, member, fp, node, sketch): a tree for each value of each minimum hash, overfull ones in blocks.
+
+    A tree of over BLOCK classes is dealt to blocks at random, anew for each
+    minimum hash; all blocks of a tree also hold its HEADS first classes by hash,
+    so that near copies in different blocks meet through these. The work grows
+    with the number of classes, however many of them are near copies.
+    """
+    dealt = classes.select("fp", "node", "sketch", F.posexplode("minima").alias("place", "least")).select(
+        F.xxhash64("place", "least").alias("tree"), "fp", "node", "sketch"
+    )
+    sizes = dealt.groupBy("tree").count().filter(F.col("count") > BLOCK)
+    overfull = keep(sizes.select("tree", F.ceil(F.col("count") / BLOCK).alias("blocks")), "overfull-trees")
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("node", "tree"), "node")
+    heads = keep(
+        dealt.select("tree", "node")
+        .join(overfull, "tree")
+        .withColumn("number", F.row_number().over(order))
+        .filter(F.col("number") <= HEADS)
+        .select("tree", "node", "blocks"),
+        "heads",
+    )
+    own = dealt.join(overfull, "tree", "left").select(
+        F.xxhash64("tree", F.pmod(F.xxhash64("tree", "node"), F.coalesce("blocks", F.lit(1)))).alias("shard"),
+        F.lit(1).alias("member"),
+        "fp",
+        "node",
+        "sketch",
+    )
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    shared = heads.join(classes.select("fp", "node", "sketch"), "node").withColumn("block", block)
+    shared = shared.select(F.xxhash64("tree", "block").alias("shard"), F.lit(0).alias("member"), "fp", "node", "sketch")
+    return own.unionByName(shared)
 
 
-def _similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs of texts with at least that part of their shingles in common."""
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose texts have at least that part of their shingles in common."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             kept = []
             for one, other in zip(texts_of(batch, "one"), texts_of(batch, "other"), strict=True):
-                a, b = (np.unique(shingle_hashes(t, shingle)) for t in (one, other))
+                a, b = (np.unique(_runs(t, shingle)) for t in (one, other))
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 kept.append(common >= similarity * (len(a) + len(b) - common))
             return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
         return step
 
-    return pairs.mapInArrow(by_batch(make), "a long, b long")
+    return (
+        pairs.select("a", "b")
+        .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("one")), "a")
+        .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("other")), "b")
+        .select("a", "b", "one", "other")
+        .mapInArrow(by_batch(make), "a long, b long")
+    )
 
 
 def near_duplicates(
@@ -288,10 +391,12 @@ def near_duplicates(
     Texts with equal words (A-Z lowered) are one class. Classes meet in BK-trees
     over fingerprints of ``shingle`` words, one tree for each value of each of
     eight minimum hashes: two texts of similarity 0.8 share none of them in fewer
-    than three of a million cases. Each class is paired with its nearest
-    neighbour in every tree, within 16 bits, and the pair's similarity (shared by
-    all distinct shingles) is computed exactly; pairs below ``similarity`` are no
-    links. component_id is the smallest doc_id that links reach.
+    than three of a million cases. Within 16 bits, each tree pairs a class with
+    the two that are most alike by their sketches and with those that join other
+    parts of the tree. The similarity of pairs (shared by all distinct shingles)
+    is computed exactly, first of each class's most alike pair, then of all pairs
+    that the links found so far do not join already; pairs below ``similarity``
+    are no links. component_id is the smallest doc_id that links reach.
 
     Texts without words are one class. Rows with a null key link nothing and have
     a null component_id. Rows that share a key count as one document. Other
@@ -301,23 +406,38 @@ def near_duplicates(
         F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")
     )
     sketches = keep(_sketches(read, shingle), "sketches")
+    first = F.min(F.struct("doc", "text_hash", "fp", "minima", "sketch")).alias("first")
     classes = keep(
         sketches.filter("doc IS NOT NULL")
         .groupBy("same")
-        .agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("minima").alias("minima")),
+        .agg(first)
+        .select("same", F.col("first.doc").alias("node"), "first.text_hash", "first.fp", "first.minima", "first.sketch"),
         "classes",
     )
-    dealt = classes.select("fp", "node", F.posexplode("minima").alias("place", "least")).select(
-        F.xxhash64("place", "least").alias("shard"), "fp", "node"
+    pairs = keep(
+        _alike_pairs(_blocks(classes)).filter("a <> b").groupBy("a", "b").agg(F.max("matches").alias("matches")), "pairs"
     )
-    found = tree_edges(dealt, NEAR_RADIUS, nearest=True).distinct()
-    texts = read.filter("doc IS NOT NULL").select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = (
-        found.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("one")), "a")
-        .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("other")), "b")
-        .select("a", "b", "one", "other")
+    # One text for each class that has a pair, of all its rows the one whose sketch was taken.
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = classes.select("node", "text_hash").join(paired, "node", "left_semi")
+    texts = keep(
+        read.filter("doc IS NOT NULL")
+        .join(wanted.withColumnRenamed("node", "doc"), ["doc", "text_hash"])
+        .dropDuplicates(["doc", "text_hash"])
+        .select("doc", F.coalesce("text", F.lit("")).alias("text")),
+        "paired-texts",
     )
-    roots = components(_similar(pairs, shingle, similarity))
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
+    links = keep(_similar(best, texts, shingle, similarity), "links")
+    roots = components(links)
+
+    def rooted(edges: DataFrame, side: str) -> DataFrame:
+        named = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        return edges.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+
+    rest = rooted(rooted(pairs, "a"), "b").filter("root_a <> root_b").join(best, ["a", "b"], "left_anti")
+    links = links.unionByName(_similar(rest, texts, shingle, similarity))
+    roots = components(links)
     by_class = keep(
         classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "by-class"
     )
