@@ -17,18 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that isn't the smallest of its component; ``edges`` has (a, b).
 
     Each round is two joins over the edges that are left; the number of rounds
-    grows with the logarithm of the longest chain. Only a count and a checksum of
-    each round reach the driver.
+    grows with the logarithm of the longest chain. The rounds end when the edges
+    are stars: each node has one lower neighbour, which has none itself. Only
+    counts reach the driver.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges, before = keep(edges, "edges"), None
+    edges = keep(edges, "edges")
     while True:
-        found = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first()
-        if found == before:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        before = found
+        least = _least(edges)
+        deeper = least.join(least.select(F.col("node").alias("least")), "least", "left_semi")
+        if edges.count() == least.count() and deeper.isEmpty():
+            return least.select("node", F.col("least").alias("root"))
         large = (
-            edges.join(_least(edges), F.col("lo") == F.col("node"), "left")
+            edges.join(least, F.col("lo") == F.col("node"), "left")
             .select("hi", F.coalesce("least", "lo").alias("lo"))
             .distinct()
         )

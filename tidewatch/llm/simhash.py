@@ -428,16 +428,16 @@ def near_duplicates(
         "paired-texts",
     )
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
-    links = keep(_similar(best, texts, shingle, similarity), "links")
-    roots = components(links)
+    roots = components(_similar(best, texts, shingle, similarity))
 
     def rooted(edges: DataFrame, side: str) -> DataFrame:
         named = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         return edges.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
 
     rest = rooted(rooted(pairs, "a"), "b").filter("root_a <> root_b").join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(rest, texts, shingle, similarity))
-    roots = components(links)
+    # The links found so far go on as stars, which join the same classes.
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.unionByName(_similar(rest, texts, shingle, similarity)))
     by_class = keep(
         classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "by-class"
     )
