@@ -173,7 +173,7 @@ def page_features(captures: DataFrame) -> DataFrame:
     """
     rows = fingerprint(spread(captures, "url"), "body", F.col("headers"))
     return rows.select(
-        "domain", "url", "scheme", "status", "fetched_at",
+        "domain", "url", "path", "scheme", "status", "fetched_at",
         content_signals(F.col("body")).alias("content"),
         sector_hits(F.col("body")).alias("page_sectors"),
         content_hash(F.col("body")).alias("content_hash"),

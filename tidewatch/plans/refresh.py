@@ -17,7 +17,7 @@ from tidewatch.operators.corpus import (
 )
 from tidewatch.operators.findings import audit_run
 from tidewatch.operators.names import resolving
-from tidewatch.sources.captures import best_capture
+from tidewatch.sources.captures import best_capture, home_captures
 from tidewatch.sources.lookups import home_asn, resolve
 
 
@@ -44,14 +44,15 @@ def score_names(
 
     ``outcome`` is skipped_dns, skipped_iocs or candidate. Names below a country
     TLD count as located at home without a look-up unless told otherwise. Page
-    text is reduced to features before anything is shuffled.
+    text of home pages, and of no other captures, is reduced to features before
+    anything is shuffled.
     """
     distinct = names.select(F.col("name").alias("domain")).distinct()
     placed = home_asn(resolve(distinct, resolutions, "domain"), ip_geo)
     if assume_home_for_country_tld:
         at_home = in_tlds(F.col("domain"), rules.COUNTRY_TLDS, strict)
         placed = placed.withColumn("asn", F.when(at_home, F.lit("")).otherwise(F.col("asn")))
-    pages = best_capture(page_features(captures)).select("domain", "content", "page_sectors", "content_hash", "vendor")
+    pages = best_capture(page_features(home_captures(captures))).select("domain", "content", "page_sectors", "content_hash", "vendor")
     scored = origin_score(placed.join(pages, "domain", "left"), "domain", F.col("content"), "asn", strict)
     keeps = passes_gate(F.col("iocs_score"), F.col("signal_count")) if gate else F.lit(True)
     dead = F.col("ip").isNull() if gate else F.lit(False)

@@ -21,16 +21,23 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", max_char
     return df.withColumn("body", F.substring("body", 1, max_chars))
 
 
+def home_captures(captures: DataFrame) -> DataFrame:
+    """Usable captures of home pages: the root path, a status below 500, http or https."""
+    root = F.coalesce("path", F.lit("")).isin("", "/")
+    return captures.filter(root & (F.col("status") < 500) & F.col("scheme").isin("https", "http"))
+
+
 def best_capture(captures: DataFrame) -> DataFrame:
-    """One usable capture per domain: status below 500, https before http, then newest.
+    """One home page per domain: status below 500, https before http, then newest.
+
+    Captures at other paths, such as those of path rules, never stand for the domain.
 
     ``row_number() = 1`` is planned as a per-partition limit before the
     shuffle, so a domain with very many captures sends few rows.
     """
     rank = F.when(F.col("scheme") == "https", 0).otherwise(1)
     order = Window.partitionBy("domain").orderBy(rank, F.col("fetched_at").desc_nulls_last(), F.col("url"))
-    usable = captures.filter((F.col("status") < 500) & F.col("scheme").isin("https", "http"))
-    return usable.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    return home_captures(captures).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
 def base_urls(captures: DataFrame) -> DataFrame:

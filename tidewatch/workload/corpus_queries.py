@@ -109,7 +109,7 @@ def _vendor_sql(t: str) -> str:
 
 # The best capture per domain and the full refresh, shared by several queries.
 _BEST = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN scheme = 'https' THEN 0 ELSE 1 END,
-    fetched_at DESC NULLS LAST, url) AS rn FROM captures WHERE status < 500 AND scheme IN ('https','http')) WHERE rn = 1)"""
+    fetched_at DESC NULLS LAST, url) AS rn FROM captures WHERE path = '/' AND status < 500 AND scheme IN ('https','http')) WHERE rn = 1)"""
 _SCORED = f"""{_BEST}, rs AS (SELECT name, min(ip) AS ip FROM resolutions GROUP BY 1), ge AS (SELECT ip, min(coalesce(asn, '')) AS asn FROM ip_geo WHERE country = 'India' GROUP BY 1),
     j AS (SELECT DISTINCT s.domain, rs.ip, CASE WHEN {_in_tlds("s.domain", rules.COUNTRY_TLDS)} THEN '' ELSE ge.asn END AS asn, b.body AS html, b.header_text
        FROM sites s LEFT JOIN rs ON rs.name = s.domain LEFT JOIN ge ON ge.ip = rs.ip LEFT JOIN best b ON b.domain = s.domain),

@@ -228,7 +228,7 @@ def ip_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two captures per site: the page, and an http one that loses against https."""
+    """Three captures per site: the page, an http one that loses against https, and a newer one at a rule path."""
     rows = sites(spark, sf_dir)
     scheme = "CASE WHEN page_id % 3 = 0 THEN 'http' ELSE 'https' END"
     page = rows.selectExpr(
@@ -246,8 +246,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     other = rows.selectExpr(
         "domain",
-        "concat('http://', domain, '/old') AS url",
-        "'/old' AS path",
+        "concat('http://', domain, '/') AS url",
+        "'/' AS path",
         "'http' AS scheme",
         "200 AS status",
         "map('server', 'old') AS headers",
@@ -256,7 +256,19 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "10L AS body_bytes",
         f"{NOW} - make_dt_interval(30) AS fetched_at",
     )
-    return page.unionByName(other)
+    probe = rows.selectExpr(
+        "domain",
+        "concat('https://', domain, '/.env') AS url",
+        "'/.env' AS path",
+        "'https' AS scheme",
+        "200 AS status",
+        "map('server', 'probe') AS headers",
+        "'text/plain' AS content_type",
+        "concat('APP_NAME=', domain) AS body",
+        "10L AS body_bytes",
+        f"{NOW} AS fetched_at",
+    )
+    return page.unionByName(other).unionByName(probe)
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,10 @@ _cte(
          html AS body, {_NOW} - to_minutes(CAST(page_id % 10000 AS INTEGER)) AS fetched_at
   FROM sites
   UNION ALL
-  SELECT domain, 'http://' || domain || '/old', '/old', 'http', 200, 'server: old', 'old page of ' || domain, {_NOW} - to_days(30)
+  SELECT domain, 'http://' || domain || '/', '/', 'http', 200, 'server: old', 'old page of ' || domain, {_NOW} - to_days(30)
+  FROM sites
+  UNION ALL
+  SELECT domain, 'https://' || domain || '/.env', '/.env', 'https', 200, 'server: probe', 'APP_NAME=' || domain, {_NOW}
   FROM sites""",
     "sites",
 )
