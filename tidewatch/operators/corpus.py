@@ -226,19 +226,21 @@ UPSERT_COLUMNS = (
 )
 
 
-def upsert_domains(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merge scored domains into the inventory; adds ``action``.
+def upsert_domains(existing: DataFrame, incoming: DataFrame, as_of: str | Column) -> DataFrame:
+    """Merge scored domains into the inventory, whose columns all stay; adds ``action``.
 
     Existing: ip only if missing, score only if higher, vendor and hash if given
     and different, PENDING becomes ACTIVE at the threshold. New: ACTIVE at the
     threshold else PENDING. ``action`` is created / updated / unchanged, or
-    kept for rows the batch does not name. The result is a full snapshot.
+    kept for rows the batch does not name. The result is a full snapshot. A new
+    row gets an id made from its name, is due at once, and has null in columns
+    that nothing is known of; ``updated_at`` changes only with created and updated.
     """
     candidate = F.struct(*[c for c in UPSERT_COLUMNS if c not in ("status", "domain")])
     best = incoming.groupBy("domain").agg(
         F.max_by(candidate, F.struct("iocs_score", F.coalesce("baseline_hash", F.lit("")))).alias("n")
     )
-    old = existing.select(F.col("domain"), F.struct(*[c for c in UPSERT_COLUMNS if c != "domain"]).alias("o"))
+    old = existing.select(F.col("domain"), F.struct(*[c for c in existing.columns if c != "domain"]).alias("o"))
     both = old.join(best, "domain", "full_outer")
     is_new, is_named = F.col("o").isNull(), F.col("n").isNotNull()
 
@@ -268,18 +270,38 @@ def upsert_domains(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         .when(same, F.lit("unchanged"))
         .otherwise(F.lit("updated"))
     )
-    return both.select(
-        "domain",
-        F.when(is_new, F.col("n.tld")).otherwise(F.col("o.tld")).alias("tld"),
-        F.when(is_named, score).otherwise(F.col("o.iocs_score")).alias("iocs_score"),
-        status.alias("status"),
-        F.when(is_named, ip).otherwise(F.col("o.ip_address")).alias("ip_address"),
-        F.when(is_new, F.col("n.discovered_via")).otherwise(F.col("o.discovered_via")).alias("discovered_via"),
-        F.when(is_new, F.col("n.sector")).otherwise(F.col("o.sector")).alias("sector"),
-        vendor.alias("vendor_fingerprint"),
-        digest.alias("baseline_hash"),
-        action.alias("action"),
-    )
+    now = as_of_column(as_of)
+    text_key = dict(existing.dtypes).get("domain_id") == "string"
+    created = {
+        "tld": F.col("n.tld"),
+        "discovered_via": F.col("n.discovered_via"),
+        "sector": F.col("n.sector"),
+        "domain_id": F.sha2("domain", 256) if text_key else F.xxhash64("domain"),
+        "signal_whois_in": in_tlds(F.col("domain"), rules.COUNTRY_TLDS),
+        "scan_count": F.lit(0),
+        "next_scan_due_at": now,
+        "created_at": now,
+    }
+    merged = {
+        "iocs_score": F.when(is_named, score).otherwise(F.col("o.iocs_score")),
+        "status": status,
+        "ip_address": F.when(is_named, ip).otherwise(F.col("o.ip_address")),
+        "vendor_fingerprint": vendor,
+        "baseline_hash": digest,
+        "updated_at": F.when(is_new | (is_named & ~same), now).otherwise(F.col("o.updated_at"))
+        if "updated_at" in existing.columns
+        else None,
+    }
+
+    def value(name: str, kind: str) -> Column:
+        if name == "domain":
+            return F.col("domain")
+        if name in merged:
+            return merged[name].cast(kind).alias(name)
+        kept = F.col(f"o.{name}")
+        return (F.when(is_new, created[name].cast(kind)).otherwise(kept) if name in created else kept).alias(name)
+
+    return both.select(*[value(n, kind) for n, kind in existing.dtypes], action.alias("action"))
 
 
 def delete_domains(

@@ -71,9 +71,9 @@ def score_names(
     )
 
 
-def refresh(scored: DataFrame, existing: DataFrame) -> DataFrame:
+def refresh(scored: DataFrame, existing: DataFrame, as_of: str) -> DataFrame:
     """New inventory snapshot with an ``action`` per domain."""
-    return upsert_domains(existing, scored.filter(F.col("outcome") == "candidate"))
+    return upsert_domains(existing, scored.filter(F.col("outcome") == "candidate"), as_of)
 
 
 def refresh_counters(scored: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -97,16 +97,20 @@ def audit_enumeration(stats: DataFrame, as_of: str, scope: str = "all") -> DataF
     return audit_run(stats, "SUBDOMAIN_ENUM_COMPLETED", as_of, name="source", value="n_names", scope=scope)
 
 
-def add_domains(names: DataFrame, existing: DataFrame, resolutions: DataFrame, ip_geo: DataFrame, captures: DataFrame) -> DataFrame:
+def add_domains(
+    names: DataFrame, existing: DataFrame, resolutions: DataFrame, ip_geo: DataFrame, captures: DataFrame, as_of: str
+) -> DataFrame:
     """Manual additions: scored like a refresh, but neither gate nor resolution is required."""
     scored = score_names(
         names, resolutions, ip_geo, captures, discovered_via="MANUAL", gate=False, assume_home_for_country_tld=False
     )
-    return refresh(scored, existing)
+    return refresh(scored, existing, as_of)
 
 
-def ingest_names(names: DataFrame, existing: DataFrame, resolutions: DataFrame, ip_geo: DataFrame, captures: DataFrame) -> DataFrame:
+def ingest_names(
+    names: DataFrame, existing: DataFrame, resolutions: DataFrame, ip_geo: DataFrame, captures: DataFrame, as_of: str
+) -> DataFrame:
     """On-demand ingest of consolidated, resolving names of a root, without the gate."""
     live = resolving(names, resolutions)
     scored = score_names(live, resolutions, ip_geo, captures, discovered_via="SUBDOMAIN_ENUM", gate=False)
-    return refresh(scored, existing)
+    return refresh(scored, existing, as_of)

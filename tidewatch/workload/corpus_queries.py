@@ -14,7 +14,7 @@ from tidewatch.sources import feeds, lookups
 from tidewatch.workload import inputs as I
 from tidewatch.workload.inputs import AS_OF
 from tidewatch.workload.inputs_sql import with_ctes
-from tidewatch.workload.ledger_queries import Query
+from tidewatch.workload.ledger_queries import NOW, Query, sql_ts, ts
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
@@ -120,28 +120,42 @@ _SCORED = f"""{_BEST}, rs AS (SELECT name, min(ip) AS ip FROM resolutions GROUP
        CASE WHEN vendor_name IS NOT NULL THEN rtrim(vendor_name || ' ' || vendor_version) END AS vendor_fingerprint, CASE WHEN length(html) > 0 THEN sha256(html) END AS baseline_hash,
        {_sector_sql("(lower(domain) || ' ' || coalesce(html, ''))")} AS sector,
        CASE WHEN ip IS NULL THEN 'skipped_dns' WHEN NOT (iocs_score >= 50 AND signal_count >= 2) THEN 'skipped_iocs' ELSE 'candidate' END AS outcome FROM fp)"""
+# Columns of the inventory that an upsert leaves as they are, and its times.
+_CARRIED = (
+    "asn", "hosting_provider", "cdn_detected", "country_code", "contact_email", "notes",
+    "signal_ip_in", "signal_payment_gw", "signal_gst_number", "signal_lang_in", "signal_registry",
+)
+_TIMES = ("last_scanned_at", "next_scan_due_at", "created_at", "updated_at")
 _SCORED_CTES = ("sites", "resolutions", "ip_geo", "captures", "inventory")
 
 
 def _upsert_sql(incoming: str, via: str) -> str:
     return f"""u AS (SELECT coalesce(o.domain, n.domain) AS domain, o.domain IS NULL AS is_new, n.domain IS NOT NULL AS is_named,
-      o.status AS ostatus, o.ip_address AS oip, o.iocs_score AS oscore, o.vendor_fingerprint AS ovendor, o.baseline_hash AS ohash, o.tld AS otld, o.sector AS osector, o.discovered_via AS ovia,
+      o.status AS ostatus, o.ip_address AS oip, o.iocs_score AS oscore, o.vendor_fingerprint AS ovendor, o.baseline_hash AS ohash, o.tld AS otld, o.sector AS osector, o.discovered_via AS ovia, o.domain_id AS oid, o.signal_whois_in AS owhois, o.scan_count AS oscans,
+      o.next_scan_due_at AS onext, o.created_at AS ocreated, o.updated_at AS oupdated, {', '.join(f'o.{c}' for c in _CARRIED)}, o.last_scanned_at,
       n.tld AS ntld, n.sector AS nsector, coalesce(nullif(o.ip_address, ''), n.ip_address) AS ip, greatest(coalesce(o.iocs_score, 0), coalesce(n.iocs_score, 0)) AS score,
       coalesce(n.vendor_fingerprint, o.vendor_fingerprint) AS vendor, coalesce(n.baseline_hash, o.baseline_hash) AS hash,
       CASE WHEN o.domain IS NULL THEN CASE WHEN n.iocs_score >= 50 THEN 'ACTIVE' ELSE 'PENDING' END WHEN o.status = 'PENDING' AND n.iocs_score >= 50 THEN 'ACTIVE' ELSE o.status END AS st
       FROM inventory o FULL OUTER JOIN ({incoming}) n ON o.domain = n.domain),
-    up AS (SELECT domain, CASE WHEN is_new THEN ntld ELSE otld END AS tld, CASE WHEN is_named THEN score ELSE oscore END AS iocs_score, st AS status, CASE WHEN is_named THEN ip ELSE oip END AS ip_address,
+    up0 AS (SELECT *, CASE WHEN is_new THEN ntld ELSE otld END AS tld, CASE WHEN is_named THEN score ELSE oscore END AS iocs_score, st AS status, CASE WHEN is_named THEN ip ELSE oip END AS ip_address,
       CASE WHEN is_new THEN '{via}' ELSE ovia END AS discovered_via, CASE WHEN is_new THEN nsector ELSE osector END AS sector, vendor AS vendor_fingerprint, hash AS baseline_hash,
       CASE WHEN NOT is_named THEN 'kept' WHEN is_new THEN 'created' WHEN ip IS NOT DISTINCT FROM oip AND score IS NOT DISTINCT FROM coalesce(oscore, 0) AND vendor IS NOT DISTINCT FROM ovendor
-        AND hash IS NOT DISTINCT FROM ohash AND st IS NOT DISTINCT FROM ostatus THEN 'unchanged' ELSE 'updated' END AS action FROM u)"""
+        AND hash IS NOT DISTINCT FROM ohash AND st IS NOT DISTINCT FROM ostatus THEN 'unchanged' ELSE 'updated' END AS action FROM u),
+    up AS (SELECT *, CASE WHEN is_new THEN sha256(domain) ELSE oid END AS domain_id, CASE WHEN is_new THEN {_in_tlds('domain', rules.COUNTRY_TLDS)} ELSE owhois END AS signal_whois_in,
+      CASE WHEN is_new THEN 0 ELSE oscans END AS scan_count, CASE WHEN is_new THEN {NOW} ELSE onext END AS next_scan_due_at,
+      CASE WHEN is_new THEN {NOW} ELSE ocreated END AS created_at, CASE WHEN action IN ('created', 'updated') THEN {NOW} ELSE oupdated END AS updated_at FROM up0)"""
 
 
-_UP_OUT = """SELECT domain, tld, iocs_score, status, coalesce(ip_address, '') AS ip_address, discovered_via, sector, coalesce(vendor_fingerprint, '') AS vendor_fingerprint, coalesce(baseline_hash, '') AS baseline_hash, action FROM up"""
+_UP_OUT = f"""SELECT domain_id, signal_whois_in, scan_count, {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in _CARRIED)},
+    {', '.join(f"coalesce({sql_ts(c)}, '') AS {c}" for c in _TIMES)}, domain, tld, iocs_score, status, coalesce(ip_address, '') AS ip_address, discovered_via, sector, coalesce(vendor_fingerprint, '') AS vendor_fingerprint, coalesce(baseline_hash, '') AS baseline_hash, action FROM up"""
 
 
 def _up_out(df):
     filled = [F.coalesce(c, F.lit("")).alias(c) for c in ("ip_address", "vendor_fingerprint", "baseline_hash")]
-    return df.select("domain", "tld", "iocs_score", "status", "discovered_via", "sector", "action", *filled)
+    filled += [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in _CARRIED]
+    filled += [F.coalesce(ts(c), F.lit("")).alias(c) for c in _TIMES]
+    same = ("domain_id", "domain", "tld", "iocs_score", "status", "discovered_via", "sector", "signal_whois_in", "scan_count")
+    return df.select(*same, "action", *filled)
 
 
 def _names(spark, sf):
@@ -357,18 +371,18 @@ def refingerprint(spark, sf):
 # Upsert and refresh
 # --------------------------------------------------------------------------
 
-_HALF = """SELECT domain, '.co.in' AS tld, CAST(page_id * 7 % 101 AS INTEGER) AS iocs_score, ip AS ip_address, 'FINANCE' AS sector,
-    CASE WHEN page_id % 4 = 3 THEN 'Drupal 10' END AS vendor_fingerprint, CASE WHEN page_id % 8 <> 1 THEN sha256(html) END AS baseline_hash FROM sites WHERE page_id % 2 = 1"""
+_INCOMING = """SELECT domain, '.co.in' AS tld, CAST(page_id * 7 % 101 AS INTEGER) AS iocs_score, ip AS ip_address, 'FINANCE' AS sector,
+    CASE WHEN page_id % 4 = 3 THEN 'Drupal 10' END AS vendor_fingerprint, CASE WHEN page_id % 8 <> 1 THEN sha256(html) END AS baseline_hash FROM sites"""
 
 
-@query("corpus_upsert", f"WITH {_upsert_sql(_HALF, 'CT_LOG')} {_UP_OUT}", "sites", "inventory")
+@query("corpus_upsert", f"WITH {_upsert_sql(_INCOMING, 'CT_LOG')} {_UP_OUT}", "sites", "inventory")
 def corpus_upsert(spark, sf):
-    incoming = I.sites(spark, sf).filter("page_id % 2 = 1").selectExpr(
+    incoming = I.sites(spark, sf).selectExpr(
         "domain", "'.co.in' AS tld", "CAST(page_id * 7 % 101 AS INT) AS iocs_score", "ip AS ip_address", "'CT_LOG' AS discovered_via",
         "'FINANCE' AS sector", "CASE WHEN page_id % 4 = 3 THEN 'Drupal 10' END AS vendor_fingerprint",
         "CASE WHEN page_id % 8 <> 1 THEN sha2(html, 256) END AS baseline_hash",
     )
-    return _up_out(corpus.upsert_domains(I.inventory(spark, sf), incoming))
+    return _up_out(corpus.upsert_domains(I.inventory(spark, sf), incoming, AS_OF))
 
 
 @query(
@@ -391,7 +405,7 @@ def score_names(spark, sf):
 )
 def corpus_refresh(spark, sf):
     scored = plan.score_names(_names(spark, sf), *_world(spark, sf))
-    return _up_out(plan.refresh(scored, I.inventory(spark, sf)))
+    return _up_out(plan.refresh(scored, I.inventory(spark, sf), AS_OF))
 
 
 @query(
@@ -403,7 +417,7 @@ def corpus_refresh(spark, sf):
 )
 def refresh_counters(spark, sf):
     scored = handover(plan.score_names(_names(spark, sf), *_world(spark, sf)), "scored")
-    return plan.refresh_counters(scored, plan.refresh(scored, I.inventory(spark, sf)))
+    return plan.refresh_counters(scored, plan.refresh(scored, I.inventory(spark, sf), AS_OF))
 
 
 @query(
@@ -416,7 +430,7 @@ def refresh_counters(spark, sf):
 )
 def refresh_audit(spark, sf):
     scored = handover(plan.score_names(_names(spark, sf), *_world(spark, sf)), "scored")
-    counters = plan.refresh_counters(scored, plan.refresh(scored, I.inventory(spark, sf)))
+    counters = plan.refresh_counters(scored, plan.refresh(scored, I.inventory(spark, sf), AS_OF))
     return plan.audit_refresh(counters, AS_OF).select("event_type", "actor", "details")
 
 
@@ -427,7 +441,7 @@ _UNGATED = _SCORED.replace(
 
 @query("add_domains", f"WITH {_UNGATED}, {_upsert_sql('SELECT * FROM scored', 'MANUAL')} {_UP_OUT}", *_SCORED_CTES)
 def add_domains(spark, sf):
-    return _up_out(plan.add_domains(_names(spark, sf), I.inventory(spark, sf), *_world(spark, sf)))
+    return _up_out(plan.add_domains(_names(spark, sf), I.inventory(spark, sf), *_world(spark, sf), AS_OF))
 
 
 @query(
@@ -436,7 +450,7 @@ def add_domains(spark, sf):
     *_SCORED_CTES,
 )
 def ingest_names(spark, sf):
-    return _up_out(plan.ingest_names(_names(spark, sf), I.inventory(spark, sf), *_world(spark, sf)))
+    return _up_out(plan.ingest_names(_names(spark, sf), I.inventory(spark, sf), *_world(spark, sf), AS_OF))
 
 
 # --------------------------------------------------------------------------

@@ -271,6 +271,11 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.unionByName(other).unionByName(probe)
 
 
+SIGNALS = (
+    "signal_whois_in", "signal_ip_in", "signal_payment_gw", "signal_gst_number", "signal_lang_in", "signal_registry",
+)
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An existing inventory that holds two of three sites, older."""
     return sites(spark, sf_dir).filter("page_id % 3 <> 2").selectExpr(
@@ -283,6 +288,19 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'OTHER' AS sector",
         "CASE WHEN page_id % 4 = 1 THEN 'WordPress' END AS vendor_fingerprint",
         "CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 6 = 1 THEN sha2(html, 256) ELSE sha2(concat(html, 'x'), 256) END AS baseline_hash",
+        "concat('d', page_id) AS domain_id",
+        "concat('AS', page_id % 90) AS asn",
+        "concat('host', page_id % 5) AS hosting_provider",
+        "CASE WHEN page_id % 4 = 2 THEN 'cdn' END AS cdn_detected",
+        "'IN' AS country_code",
+        *[f"page_id % {n} = 0 AS {c}" for n, c in enumerate(SIGNALS, 2)],
+        f"{NOW} - make_dt_interval(CAST(page_id % 40 AS INT)) AS last_scanned_at",
+        f"{NOW} + make_dt_interval(CAST(page_id % 31 AS INT)) AS next_scan_due_at",
+        "CAST(page_id % 9 AS INT) AS scan_count",
+        "CASE WHEN page_id % 3 = 0 THEN concat('security@s', page_id, '.example') END AS contact_email",
+        "concat('{\"owner\":\"team', page_id, '\"}') AS notes",
+        f"{NOW} - make_dt_interval(400) AS created_at",
+        f"{NOW} - make_dt_interval(50) AS updated_at",
     )
 
 

@@ -179,12 +179,19 @@ _cte(
 )
 _cte(
     "inventory",
-    """
+    f"""
   SELECT domain, '.in' AS tld, CAST(page_id % 70 AS INTEGER) AS iocs_score,
          CASE WHEN page_id % 2 = 0 THEN 'PENDING' ELSE 'ACTIVE' END AS status,
          CASE WHEN page_id % 5 <> 0 THEN ip END AS ip_address, 'SEED' AS discovered_via, 'OTHER' AS sector,
          CASE WHEN page_id % 4 = 1 THEN 'WordPress' END AS vendor_fingerprint,
-         CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 6 = 1 THEN sha256(html) ELSE sha256(html || 'x') END AS baseline_hash
+         CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 6 = 1 THEN sha256(html) ELSE sha256(html || 'x') END AS baseline_hash,
+         'd' || page_id AS domain_id, 'AS' || (page_id % 90) AS asn, 'host' || (page_id % 5) AS hosting_provider,
+         CASE WHEN page_id % 4 = 2 THEN 'cdn' END AS cdn_detected, 'IN' AS country_code,
+         page_id % 2 = 0 AS signal_whois_in, page_id % 3 = 0 AS signal_ip_in, page_id % 4 = 0 AS signal_payment_gw,
+         page_id % 5 = 0 AS signal_gst_number, page_id % 6 = 0 AS signal_lang_in, page_id % 7 = 0 AS signal_registry,
+         {_NOW} - to_days(CAST(page_id % 40 AS INTEGER)) AS last_scanned_at, {_NOW} + to_days(CAST(page_id % 31 AS INTEGER)) AS next_scan_due_at,
+         CAST(page_id % 9 AS INTEGER) AS scan_count, CASE WHEN page_id % 3 = 0 THEN 'security@s' || page_id || '.example' END AS contact_email,
+         '{{"owner":"team' || page_id || '"}}' AS notes, {_NOW} - to_days(400) AS created_at, {_NOW} - to_days(50) AS updated_at
   FROM sites WHERE page_id % 3 <> 2""",
     "sites",
 )
