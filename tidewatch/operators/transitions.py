@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import next_scan_at, sla_due, strip
@@ -21,39 +21,50 @@ def overlay(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
+def _order(changes: DataFrame, *tie: str) -> Column:
+    """Order of changes: by ``changed_at``, then ``sequence``, where they are given; then by content."""
+    return F.struct(*[c for c in ("changed_at", "sequence") if c in changes.columns], *tie)
+
+
 def split_reviews(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(valid, quarantined)`` rows of ``(finding_id, new_status, new_severity, reason, analyst)``."""
+    """``(valid, quarantined)`` rows of ``(finding_id, new_status, new_severity, reason, analyst)``.
+
+    The rows may also have ``changed_at`` and ``sequence``, which order them.
+    """
     status_ok = F.coalesce(F.upper("new_status").isin(*REVIEW_STATUSES), F.lit(False))
     severity_ok = F.col("new_severity").isNull() | F.upper("new_severity").isin(*SEVERITIES)
     good = status_ok & severity_ok
     return changes.filter(good), changes.filter(~good)
 
 
-def apply_reviews(findings: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
-    """Changed findings only. One valid change per finding is applied."""
+def _reviews(changes: DataFrame) -> DataFrame:
     valid, _ = split_reviews(changes)
+    named = valid.withColumns(
+        {"s": F.upper("new_status"), "v": F.upper("new_severity"), "who": F.coalesce("analyst", F.lit("ANALYST"))}
+    )
+    return named.select("finding_id", "s", "v", "reason", "who", _order(named, "s", "v", "reason", "who").alias("at"))
+
+
+def apply_reviews(findings: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
+    """Changed findings only, after all their valid changes in order: the last status and the last severity given."""
     now = as_of_column(as_of)
-    one = valid.groupBy("finding_id").agg(
-        F.max(
-            F.struct(
-                F.upper("new_status").alias("s"),
-                F.upper("new_severity").alias("v"),
-                F.col("reason").alias("reason"),
-                F.coalesce("analyst", F.lit("ANALYST")).alias("who"),
-            )
-        ).alias("ch")
+    one = _reviews(changes).groupBy("finding_id").agg(
+        F.max_by(F.struct("s", "reason", "who"), "at").alias("ch"),
+        F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("v"),
+        F.max(F.col("s") == "RESOLVED").alias("was_resolved"),
+        F.max_by("reason", F.when(F.col("s") == "FALSE_POSITIVE", F.col("at"))).alias("fp_reason"),
     )
     joined = findings.join(one, "finding_id")
     new = {
         "status": F.col("ch.s"),
-        "severity": F.coalesce("ch.v", "severity"),
-        "disclosure_sla_due": F.when(F.col("ch.v").isNotNull(), sla_due(now, F.col("ch.v"))).otherwise(
+        "severity": F.coalesce("v", "severity"),
+        "disclosure_sla_due": F.when(F.col("v").isNotNull(), sla_due(now, F.col("v"))).otherwise(
             F.col("disclosure_sla_due")
         ),
     }
     before = {
-        "resolved_at": F.when(F.col("ch.s") == "RESOLVED", now),
-        "false_positive_reason": F.when(F.col("ch.s") == "FALSE_POSITIVE", F.col("ch.reason")),
+        "resolved_at": F.when(F.col("was_resolved"), now),
+        "false_positive_reason": F.col("fp_reason"),
     }
     for name, value in before.items():
         new[name] = F.coalesce(value, name) if name in findings.columns else value
@@ -69,6 +80,18 @@ def apply_reviews(findings: DataFrame, changes: DataFrame, as_of: str) -> DataFr
     )
 
 
+def review_steps(findings: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per valid change, with the severity before and after it; for ``audit_reviews``."""
+    order = Window.partitionBy("finding_id").orderBy("at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    old = F.coalesce(F.last("v", ignorenulls=True).over(before), F.col("severity"))
+    steps = _reviews(changes).join(findings.select("finding_id", "severity"), "finding_id").withColumn("old_severity", old)
+    return steps.select(
+        "finding_id", F.col("s").alias("status"), "old_severity", F.coalesce("v", "old_severity").alias("severity"),
+        "reason", F.col("who").alias("reviewed_by"),
+    )
+
+
 def audit_reviews(reviewed: DataFrame, as_of: str) -> DataFrame:
     return audit(
         reviewed, "FINDING_STATUS_UPDATED", F.col("reviewed_by"), "finding", "finding_id", as_of,
@@ -193,8 +216,8 @@ def scanned_domains(domains: DataFrame, finished: DataFrame, as_of: str) -> Data
 
 
 def set_contacts(domains: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changed domains only; ``changes`` is ``(domain_id, email)``."""
-    one = changes.groupBy("domain_id").agg(F.max(strip(F.col("email"))).alias("_new"))
+    """Changed domains only; ``changes`` is ``(domain_id, email)``, in order as reviews; the last one wins."""
+    one = changes.groupBy("domain_id").agg(F.max_by(strip(F.col("email")), _order(changes, "email")).alias("_new"))
     return domains.join(one, "domain_id").select(
         *[c for c in domains.columns if c != "contact_email"],
         F.col("_new").alias("contact_email"),
