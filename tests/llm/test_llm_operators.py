@@ -209,6 +209,25 @@ def test_near_duplicates(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _paired(rng, shared, one, other):
+    """Two texts of the shared shingles' words and as many further words each."""
+    words = _words(rng, shared + 4, 10**6)
+    return words + " " + _words(rng, one, 10**6), words + " " + _words(rng, other, 10**6)
+
+
+def test_near_duplicates_at_the_limit_and_with_repeated_lines(spark):
+    """Similarity 0.80 to 0.82, and equal distinct shingles with a line that one text repeats far more often."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        rows += zip((4 * i, 4 * i + 1), _paired(rng, 82 - i % 2, 9 + i % 2, 9), strict=True)
+        if i < 20:
+            text, line = _words(rng, 300, 10**6), _words(rng, 12, 10**6)
+            rows += [(4 * i + 2, f"{text} {line} {line}"), (4 * i + 3, " ".join([text] + [line] * 22))]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_near_duplicates_of_a_group_larger_than_a_tree(spark, monkeypatch):
     """A third of the rows are near copies of one text; trees are cut to blocks, components are those of brute force."""
     monkeypatch.setattr(simhash, "BLOCK", 20)

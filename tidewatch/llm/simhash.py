@@ -10,8 +10,10 @@ A tree that would hold too many, as in a large group of near copies, is split
 once more by quarters of the remaining bits, of which at least one must be equal.
 A tree emits only edges that join two parts of it, never all pairs.
 
-Near duplicates by similarity meet in trees dealt by minimum hashes. Such a tree
-can't be split by its members' values when a third of all documents are near
+Near duplicates by similarity meet in trees dealt by minimum hashes, where sketches
+and not fingerprints decide which pairs are compared: about one of a hundred pairs
+with a similarity of 0.8 differs in over 16 bits, and most whose repeats differ. Such
+a tree can't be split by its members' values when a third of all documents are near
 copies; it is cut into blocks that share some heads (see ``_blocks``).
 """
 
@@ -35,9 +37,6 @@ MASK = (1 << BITS) - 1
 SLICE = 1 << 15
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = 3
-# Near duplicates: of two texts with a similarity of 0.8 over 64 minimum hashes
-# the fingerprints differ in about 10 bits, seldom in over 16.
-NEAR_RADIUS = 16
 MINIMA = 8
 # A sketch of that many bytes estimates the similarity of a pair with a standard
 # deviation of about 0.05; pairs estimated at less than half alike are not compared.
@@ -136,9 +135,9 @@ def _spanning(values: list[int], nodes: list[int], radius: int) -> Iterator[tupl
         tree.add(value)
 
 
-def _alike(values: list[int], nodes: list[int], sketches: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _alike(nodes: list[int], sketches: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(a, b, matches): each member's two most alike before it, and those that join further parts of the tree."""
-    tree, root = BKTree(), list(range(len(values)))
+    root = list(range(len(nodes)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -146,21 +145,16 @@ def _alike(values: list[int], nodes: list[int], sketches: np.ndarray) -> Iterato
             i = root[i]
         return i
 
-    for i, value in enumerate(values):
-        near = np.array(sorted(j for _, j in tree.within(value, NEAR_RADIUS)), np.int64)
-        tree.add(value)
-        if not len(near):
-            continue
-        matches = ((sketches[near] == sketches[i]) & (sketches[i] > 0)).sum(axis=1)
-        filled = ((sketches[near] > 0) | (sketches[i] > 0)).sum(axis=1)
+    for i in range(1, len(nodes)):
+        matches = ((sketches[:i] == sketches[i]) & (sketches[i] > 0)).sum(axis=1)
+        filled = ((sketches[:i] > 0) | (sketches[i] > 0)).sum(axis=1)
         fine = np.flatnonzero((matches >= LEAST_ALIKE * filled) & (filled > 0))
         fine = fine[np.argsort(-matches[fine], kind="stable")]
         own = find(i)
         for place, at in enumerate(fine.tolist()):
-            j = int(near[at])
-            other = find(j)
+            other = find(at)
             if place < 2 or other != own:
-                yield nodes[i], nodes[j], int(matches[at])
+                yield nodes[i], nodes[at], int(matches[at])
             if other != own:
                 root[other] = own
 
@@ -202,16 +196,15 @@ def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
 
 
 def _alike_pairs(dealt: DataFrame) -> DataFrame:
-    """(a, b, matches) found by one tree for each value of ``shard``; ``dealt`` has (shard, member, fp, node, sketch)."""
+    """(a, b, matches) found by one tree for each value of ``shard``; ``dealt`` has (shard, member, node, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (
             edge
-            for rows in _by_shard(batches, ["shard", "fp", "node", "sketch"])
+            for rows in _by_shard(batches, ["shard", "node", "sketch"])
             for edge in _alike(
-                [r[1] & MASK for r in rows],
-                [r[2] for r in rows],
-                np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), SKETCH),
+                [r[1] for r in rows],
+                np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH),
             )
         )
         yield from _packed(edges, ["a", "b", "matches"])
@@ -303,38 +296,37 @@ def _sketch(hashes: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc, text_hash, same, fp, minima, sketch): ``same`` is equal for texts with equal words."""
+    """(doc, text_hash, same, minima, sketch): ``same`` is equal for texts with equal words."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            same, marks, minima, sketches = [], [], [], []
+            same, minima, sketches = [], [], []
             for text in texts_of(batch, "text"):
                 hashes = _runs(text, shingle)
                 same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
-                marks.append(fingerprint(hashes))
                 minima.append(_minima(hashes).view(np.int64))
                 sketches.append(_sketch(hashes))
-            arrays = [batch.column("doc"), batch.column("text_hash"), pa.array(same), pa.array(marks, pa.int64())]
+            arrays = [batch.column("doc"), batch.column("text_hash"), pa.array(same)]
             arrays += [pa.array(minima, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "same", "fp", "minima", "sketch"])
+            return pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "same", "minima", "sketch"])
 
         return step
 
     return docs.mapInArrow(
-        by_batch(make), "doc long, text_hash long, same binary, fp long, minima array<long>, sketch binary"
+        by_batch(make), "doc long, text_hash long, same binary, minima array<long>, sketch binary"
     )
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
-    """(shard, member, fp, node, sketch): a tree for each value of each minimum hash, overfull ones in blocks.
+    """(shard, member, node, sketch): a tree for each value of each minimum hash, overfull ones in blocks.
 
     A tree of over BLOCK classes is dealt to blocks at random, anew for each
     minimum hash; all blocks of a tree also hold its HEADS first classes by hash,
     so that near copies in different blocks meet through these. The work grows
     with the number of classes, however many of them are near copies.
     """
-    dealt = classes.select("fp", "node", "sketch", F.posexplode("minima").alias("place", "least")).select(
-        F.xxhash64("place", "least").alias("tree"), "fp", "node", "sketch"
+    dealt = classes.select("node", "sketch", F.posexplode("minima").alias("place", "least")).select(
+        F.xxhash64("place", "least").alias("tree"), "node", "sketch"
     )
     sizes = dealt.groupBy("tree").count().filter(F.col("count") > BLOCK)
     overfull = keep(sizes.select("tree", F.ceil(F.col("count") / BLOCK).alias("blocks")), "overfull-trees")
@@ -350,13 +342,12 @@ def _blocks(classes: DataFrame) -> DataFrame:
     own = dealt.join(overfull, "tree", "left").select(
         F.xxhash64("tree", F.pmod(F.xxhash64("tree", "node"), F.coalesce("blocks", F.lit(1)))).alias("shard"),
         F.lit(1).alias("member"),
-        "fp",
         "node",
         "sketch",
     )
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    shared = heads.join(classes.select("fp", "node", "sketch"), "node").withColumn("block", block)
-    shared = shared.select(F.xxhash64("tree", "block").alias("shard"), F.lit(0).alias("member"), "fp", "node", "sketch")
+    shared = heads.join(classes.select("node", "sketch"), "node").withColumn("block", block)
+    shared = shared.select(F.xxhash64("tree", "block").alias("shard"), F.lit(0).alias("member"), "node", "sketch")
     return own.unionByName(shared)
 
 
@@ -388,12 +379,12 @@ def near_duplicates(
 ) -> DataFrame:
     """Return ``key``, text_hash and component_id of every row, by similarity of whole texts.
 
-    Texts with equal words (A-Z lowered) are one class. Classes meet in BK-trees
-    over fingerprints of ``shingle`` words, one tree for each value of each of
-    eight minimum hashes: two texts of similarity 0.8 share none of them in fewer
-    than three of a million cases. Within 16 bits, each tree pairs a class with
-    the two that are most alike by their sketches and with those that join other
-    parts of the tree. The similarity of pairs (shared by all distinct shingles)
+    Texts with equal words (A-Z lowered) are one class. Classes meet in trees of
+    one level, one for each value of each of eight minimum hashes over distinct
+    runs of ``shingle`` words: two texts of similarity 0.8 share none of them in
+    fewer than three of a million cases. No fingerprint is asked: how often a
+    shingle is repeated doesn't count. Each tree pairs a class with the two that
+    are most alike by their sketches and with those that join other parts of it. The similarity of pairs (shared by all distinct shingles)
     is computed exactly, first of each class's most alike pair, then of all pairs
     that the links found so far do not join already; pairs below ``similarity``
     are no links. component_id is the smallest doc_id that links reach.
@@ -406,12 +397,12 @@ def near_duplicates(
         F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")
     )
     sketches = keep(_sketches(read, shingle), "sketches")
-    first = F.min(F.struct("doc", "text_hash", "fp", "minima", "sketch")).alias("first")
+    first = F.min(F.struct("doc", "text_hash", "minima", "sketch")).alias("first")
     classes = keep(
         sketches.filter("doc IS NOT NULL")
         .groupBy("same")
         .agg(first)
-        .select("same", F.col("first.doc").alias("node"), "first.text_hash", "first.fp", "first.minima", "first.sketch"),
+        .select("same", F.col("first.doc").alias("node"), "first.text_hash", "first.minima", "first.sketch"),
         "classes",
     )
     pairs = keep(
