@@ -14,7 +14,8 @@ Near duplicates by similarity meet in trees dealt by minimum hashes, where sketc
 and not fingerprints decide which pairs are compared: about one of a hundred pairs
 with a similarity of 0.8 differs in over 16 bits, and most whose repeats differ. Such
 a tree can't be split by its members' values when a third of all documents are near
-copies; it is cut into blocks that share some heads (see ``_blocks``).
+copies; a first round cuts it into blocks that share some heads (see ``_blocks``),
+later ones bring those members together that no link joins yet (see ``_crossing``).
 """
 
 from __future__ import annotations
@@ -42,9 +43,15 @@ MINIMA = 8
 # deviation of about 0.05; pairs estimated at less than half alike are not compared.
 SKETCH = 64
 LEAST_ALIKE = 0.5
-# Members of a block of an overfull tree, and heads that all its blocks hold.
+FIRST_ALIKE = 0.85
+# Members of a block of an overfull tree, and heads that all its blocks hold in the first round.
 BLOCK = 256
 HEADS = 32
+# Sides of a shard: pairs are those of two sides, or of side OWN.
+SHARED, OWN, UPPER = 0, 1, 2
+# Pairs a member may name in the second round; the last names all.
+FEW = 4
+ALL = -1
 
 
 def shingle_hashes(text: bytes, length: int, seed: int = 42) -> np.ndarray:
@@ -135,28 +142,32 @@ def _spanning(values: list[int], nodes: list[int], radius: int) -> Iterator[tupl
         tree.add(value)
 
 
-def _alike(nodes: list[int], sketches: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(a, b, matches): each member's two most alike before it, and those that join further parts of the tree."""
-    root = list(range(len(nodes)))
+def _named(sides: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a shard's members with different roots that their sketches call alike.
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(1, len(nodes)):
-        matches = ((sketches[:i] == sketches[i]) & (sketches[i] > 0)).sum(axis=1)
-        filled = ((sketches[:i] > 0) | (sketches[i] > 0)).sum(axis=1)
-        fine = np.flatnonzero((matches >= LEAST_ALIKE * filled) & (filled > 0))
-        fine = fine[np.argsort(-matches[fine], kind="stable")]
-        own = find(i)
-        for place, at in enumerate(fine.tolist()):
-            other = find(at)
-            if place < 2 or other != own:
-                yield nodes[i], nodes[at], int(matches[at])
-            if other != own:
-                root[other] = own
+    ``most`` 0: each member's most alike, and the first that is estimated at FIRST_ALIKE;
+    above 0: the most alike of each of so many other roots; ALL: every pair. Pairs of a
+    shard are those of two sides, or of side OWN.
+    """
+    held = sketches > 0
+    for i in np.flatnonzero(sides == OWN) if most != ALL else range(1, len(nodes)):
+        upto = i if most == ALL else len(nodes)
+        other = (roots[:upto] != roots[i]) & ((sides[:upto] != sides[i]) | (sides[i] == OWN))
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        matches = ((sketches[at] == sketches[i]) & held[i]).sum(axis=1)
+        filled = (held[at] | held[i]).sum(axis=1)
+        fine = (matches >= LEAST_ALIKE * filled) & (filled > 0)
+        at, matches, filled = at[fine], matches[fine], filled[fine]
+        if most == 0 and len(at):
+            first = at[matches >= FIRST_ALIKE * filled][:1].tolist()
+            at = np.array(sorted({int(at[np.argmax(matches)]), *first}))
+        elif most != ALL:
+            at = at[np.argsort(-matches, kind="stable")]
+            at = at[np.sort(np.unique(roots[at], return_index=True)[1])[:most]]
+        for j in at.tolist():
+            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
@@ -195,27 +206,34 @@ def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard", "node", "fp").mapInArrow(run, "a long, b long")
 
 
-def _alike_pairs(dealt: DataFrame) -> DataFrame:
-    """(a, b, matches) found by one tree for each value of ``shard``; ``dealt`` has (shard, member, node, sketch)."""
+def _named_pairs(shards: DataFrame, classes: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
+    """(a, b) named in each shard (see ``_named``); ``shards`` has (shard, side, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (
-            edge
-            for rows in _by_shard(batches, ["shard", "node", "sketch"])
-            for edge in _alike(
-                [r[1] for r in rows],
-                np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH),
+        pairs = (
+            (int(a), int(b))
+            for rows in _by_shard(batches, ["shard", "side", "node", "root", "sketch"])
+            for a, b in _named(
+                *(np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3)),
+                np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), SKETCH),
+                most,
             )
         )
-        yield from _packed(edges, ["a", "b", "matches"])
+        yield from _packed(pairs, ["a", "b"])
 
+    full = shards.join(_rooted(classes.select("node", "sketch"), roots), "node")
     return (
-        dealt.repartition("shard")
-        .sortWithinPartitions("shard", "member", "node")
-        .mapInArrow(run, "a long, b long, matches long")
+        full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(run, "a long, b long").distinct()
     )
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """With the root of each node, itself if no link has it."""
+    if roots is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def _bits(start: int, count: int) -> Column:
     return F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << count) - 1))
 
@@ -317,38 +335,76 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     )
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """(shard, member, node, sketch): a tree for each value of each minimum hash, overfull ones in blocks.
+def _trees(classes: DataFrame) -> DataFrame:
+    """(tree, node): a tree for each value of each minimum hash."""
+    return classes.select("node", F.posexplode("minima").alias("place", "least")).select(
+        F.xxhash64("place", "least").alias("tree"), "node"
+    )
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("other")
+
+
+def _blocks(trees: DataFrame) -> DataFrame:
+    """(shard, side, node): trees of up to BLOCK members as they are, others in random blocks that share HEADS heads.
+
+    A first round only, of linear work: it finds most links of a large group of
+    near copies, through the heads those in different blocks.
+    """
+    sizes = trees.groupBy("tree").count().filter(F.col("count") > 1)
+    sizes = keep(sizes.select("tree", F.ceil(F.col("count") / BLOCK).alias("blocks")), "tree-sizes")
+    dealt = trees.join(sizes, "tree")
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("node", "tree"), "node")
+    heads = dealt.filter("blocks > 1").withColumn("number", F.row_number().over(order)).filter(F.col("number") <= HEADS)
+    own = dealt.select(
+        F.xxhash64("tree", F.pmod(F.xxhash64("tree", "node"), "blocks")).alias("shard"), F.lit(OWN).alias("side"), "node"
+    )
+    shared = heads.select("tree", "node", _every(F.col("blocks")))
+    return own.unionByName(shared.select(F.xxhash64("tree", "other").alias("shard"), F.lit(SHARED).alias("side"), "node"))
+
+
+def _mixed_trees(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees that hold several roots: (tree, members, strays, most), and their rows (tree, node, root).
 
-    A tree of over BLOCK classes is dealt to blocks at random, anew for each
-    minimum hash; all blocks of a tree also hold its HEADS first classes by hash,
-    so that near copies in different blocks meet through these. The work grows
-    with the number of classes, however many of them are near copies.
+    ``most`` is the root of most members, strays are the members with another.
     """
-    dealt = classes.select("node", "sketch", F.posexplode("minima").alias("place", "least")).select(
-        F.xxhash64("place", "least").alias("tree"), "node", "sketch"
+    rooted = keep(_rooted(trees, roots), "rooted-trees")
+    parts = rooted.groupBy("tree", "root").count()
+    sizes = parts.groupBy("tree").agg(
+        F.sum("count").alias("members"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts")
     )
-    sizes = dealt.groupBy("tree").count().filter(F.col("count") > BLOCK)
-    overfull = keep(sizes.select("tree", F.ceil(F.col("count") / BLOCK).alias("blocks")), "overfull-trees")
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("node", "tree"), "node")
-    heads = keep(
-        dealt.select("tree", "node")
-        .join(overfull, "tree")
-        .withColumn("number", F.row_number().over(order))
-        .filter(F.col("number") <= HEADS)
-        .select("tree", "node", "blocks"),
-        "heads",
+    mixed_ = keep(
+        sizes.filter("parts > 1").select(
+            "tree", "members", (F.col("members") - F.col("top.count")).alias("strays"), F.col("top.root").alias("most")
+        ),
+        "mixed-trees",
+    )
+    return mixed_, rooted
+
+
+def _crossing(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shard, side, node): shards in which any two members of a tree with different roots meet.
+
+    A tree of up to BLOCK members is a shard. A larger one is dealt to random
+    blocks that all hold its strays, if these are up to BLOCK; otherwise any two
+    of its blocks are a shard. No shard has over about two blocks.
+    """
+    mixed_, rooted = _mixed_trees(trees, roots)
+    dealt = rooted.join(mixed_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "tree").withColumn(
+        "block", F.pmod(F.xxhash64("tree", "node"), "blocks")
     )
-    own = dealt.join(overfull, "tree", "left").select(
-        F.xxhash64("tree", F.pmod(F.xxhash64("tree", "node"), F.coalesce("blocks", F.lit(1)))).alias("shard"),
-        F.lit(1).alias("member"),
-        "node",
-        "sketch",
+    few = F.col("strays") <= BLOCK
+    own = dealt.filter(few | (F.col("blocks") == 1))
+    strays = own.filter("blocks > 1 AND root <> most").select("tree", "node", _every(F.col("blocks")))
+    grid = dealt.filter(~few & (F.col("blocks") > 1)).select("tree", "node", "block", _every(F.col("blocks")))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), OWN).when(F.col("block") < F.col("other"), SHARED).otherwise(UPPER)
+    return (
+        own.select(F.xxhash64("tree", "block").alias("shard"), F.lit(OWN).alias("side"), "node")
+        .unionByName(strays.select(F.xxhash64("tree", "other").alias("shard"), F.lit(SHARED).alias("side"), "node"))
+        .unionByName(grid.select(F.xxhash64("tree", low, high).alias("shard"), side.alias("side"), "node"))
     )
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    shared = heads.join(classes.select("node", "sketch"), "node").withColumn("block", block)
-    shared = shared.select(F.xxhash64("tree", "block").alias("shard"), F.lit(0).alias("member"), "node", "sketch")
-    return own.unionByName(shared)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -405,30 +461,32 @@ def near_duplicates(
         .select("same", F.col("first.doc").alias("node"), "first.text_hash", "first.minima", "first.sketch"),
         "classes",
     )
-    pairs = keep(
-        _alike_pairs(_blocks(classes)).filter("a <> b").groupBy("a", "b").agg(F.max("matches").alias("matches")), "pairs"
-    )
-    # One text for each class that has a pair, of all its rows the one whose sketch was taken.
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.select("node", "text_hash").join(paired, "node", "left_semi")
-    texts = keep(
-        read.filter("doc IS NOT NULL")
-        .join(wanted.withColumnRenamed("node", "doc"), ["doc", "text_hash"])
-        .dropDuplicates(["doc", "text_hash"])
-        .select("doc", F.coalesce("text", F.lit("")).alias("text")),
-        "paired-texts",
-    )
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
-    roots = components(_similar(best, texts, shingle, similarity))
 
-    def rooted(edges: DataFrame, side: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        return edges.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    def texts_of_nodes(nodes: DataFrame) -> DataFrame:
+        """One text for each class, of all its rows the one whose sketch was taken."""
+        wanted = classes.select("node", "text_hash").join(nodes.distinct(), "node", "left_semi")
+        return keep(
+            read.filter("doc IS NOT NULL")
+            .join(wanted.withColumnRenamed("node", "doc"), ["doc", "text_hash"])
+            .dropDuplicates(["doc", "text_hash"])
+            .select("doc", F.coalesce("text", F.lit("")).alias("text")),
+            "paired-texts",
+        )
 
-    rest = rooted(rooted(pairs, "a"), "b").filter("root_a <> root_b").join(best, ["a", "b"], "left_anti")
-    # The links found so far go on as stars, which join the same classes.
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(stars.unionByName(_similar(rest, texts, shingle, similarity)))
+    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        """Roots after the links among the pairs. The links found before go on as stars, which join the same classes."""
+        pairs = keep(pairs, "pairs")
+        if roots is not None and pairs.isEmpty():
+            return roots
+        links = _similar(pairs, texts_of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node"))), shingle, similarity)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return components(links)
+
+    trees = keep(_trees(classes), "trees")
+    roots = linked(_named_pairs(_blocks(trees), classes, None, 0), None)
+    for most in (FEW, ALL):
+        roots = linked(_named_pairs(_crossing(trees, roots), classes, roots, most), roots)
     by_class = keep(
         classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "by-class"
     )
