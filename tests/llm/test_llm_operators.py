@@ -244,6 +244,27 @@ def test_near_duplicates_behind_closer_looking_rivals(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_under_one_shared_template(spark, monkeypatch):
+    """150 pairs 0.85 alike among texts that are 0.6 alike by a shared passage; trees are far over BLOCK."""
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    monkeypatch.setattr(simhash, "HEADS", 4)
+    rng = random.Random(77)
+    template, rows = _words(rng, 154, 10**6), []
+    for i in range(150):
+        words = _words(rng, 50, 10**6).split()
+        changed = words[:34] + _words(rng, 16, 10**6).split()
+        rows += [(2 * i, f"{template} {' '.join(words)}"), (2 * i + 1, f"{template} {' '.join(changed)}")]
+    texts = ready(spark).createDataFrame(rows, "doc long, text string")
+    trees = simhash._prefix_trees(texts, 5, 0.8).collect()
+    members = defaultdict(set)
+    for r in trees:
+        members[r.tree].add(r.node)
+    assert all(any({2 * i, 2 * i + 1} <= m for m in members.values()) for i in range(150))
+    assert max(map(len, members.values())) <= 20
+    got = simhash.near_duplicates(texts.withColumnRenamed("doc", "doc_id")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_near_duplicates_of_a_group_larger_than_a_tree(spark, monkeypatch):
     """A third of the rows are near copies of one text; trees are cut to blocks, components are those of brute force."""
     monkeypatch.setattr(simhash, "BLOCK", 20)

@@ -16,6 +16,7 @@ with a similarity of 0.8 differs in over 16 bits, and most whose repeats differ.
 a tree can't be split by its members' values when a third of all documents are near
 copies; a first round cuts it into blocks that share some heads (see ``_blocks``),
 later ones bring those members together that no link joins yet (see ``_crossing``).
+Where it holds many texts of one template, these meet by their rarest shingles instead.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_batch, keep, texts_of
+from tidewatch.llm.common import by_batch, keep, ready, texts_of
 from tidewatch.llm.components import components
 from tidewatch.llm.words import mixed, run_hashes, word_hashes
 
@@ -47,6 +48,8 @@ FIRST_ALIKE = 0.85
 # Members of a block of an overfull tree, and heads that all its blocks hold in the first round.
 BLOCK = 256
 HEADS = 32
+# Counts of shingles by the first 20 bits of their hashes.
+BUCKETS = 1 << 20
 # Sides of a shard: pairs are those of two sides, or of side OWN.
 SHARED, OWN, UPPER = 0, 1, 2
 # Pairs a member may name in the second round; the last names all.
@@ -383,6 +386,52 @@ def _mixed_trees(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFra
     return mixed_, rooted
 
 
+def _prefix_trees(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(tree, node): a tree for each of a text's rarest shingles, as many as it can lack of another of that similarity, and one.
+
+    Any two texts of the similarity share one of these, as all are in one order:
+    by the number of texts in the bucket of the shingle's hash, then by hash. The
+    counts (BUCKETS of them) are all that reaches the driver. A passage that many
+    texts share is in the rarest part of none that has enough of its own.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in texts_of(batch, "text"):
+                np.add.at(total, _bucket(np.unique(_runs(text, shingle))), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["bucket", "texts"])
+
+    tallied = texts.select("text").mapInArrow(tally, "bucket long, texts long").groupBy("bucket").sum("texts").toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[tallied.iloc[:, 0].to_numpy(np.int64)] = tallied.iloc[:, 1].to_numpy(np.int64)
+    sent = ready(texts.sparkSession).sparkContext.broadcast(counts)
+
+    def make():
+        known = sent.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rare, sizes = [np.zeros(0, np.uint64)], []
+            for text in texts_of(batch, "text"):
+                hashes = np.unique(_runs(text, shingle))
+                lacking = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9))
+                rare.append(hashes[np.lexsort((hashes, known[_bucket(hashes)]))][: lacking + 1])
+                sizes.append(len(rare[-1]))
+            nodes = np.repeat(batch.column("doc").to_numpy(), sizes)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), pa.array(nodes)], ["rare", "node"])
+
+        return step
+
+    rows = texts.select("doc", "text").mapInArrow(by_batch(make), "rare long, node long")
+    rows = keep(rows.select(F.xxhash64(F.lit("prefix"), "rare").alias("tree"), "node"), "prefixes")
+    return rows.join(rows.groupBy("tree").count().filter("count > 1").select("tree"), "tree", "left_semi")
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
 def _crossing(trees: DataFrame, roots: DataFrame) -> DataFrame:
     """(shard, side, node): shards in which any two members of a tree with different roots meet.
 
@@ -485,6 +534,12 @@ def near_duplicates(
 
     trees = keep(_trees(classes), "trees")
     roots = linked(_named_pairs(_blocks(trees), classes, None, 0), None)
+    mixed_, rooted = _mixed_trees(trees, roots)
+    shared = mixed_.filter(F.col("strays") > BLOCK).select("tree")
+    if not shared.isEmpty():  # texts that share a passage and little else: they meet by their rarest shingles instead
+        texts = texts_of_nodes(rooted.join(shared, "tree", "left_semi").select("node"))
+        rare = _prefix_trees(texts, shingle, similarity)
+        trees = keep(trees.join(shared, "tree", "left_anti").unionByName(rare), "all-trees")
     for most in (FEW, ALL):
         roots = linked(_named_pairs(_crossing(trees, roots), classes, roots, most), roots)
     by_class = keep(
