@@ -469,3 +469,11 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs, texts):
     assert {None, 10, 13, 20} <= ids and not {12, 100} & ids
     cut = {r.doc_id: r for r in corpus_pipeline.drop_repeats(spark, near, sf_dir).collect()}
     assert len(cut[11].text.split()) == 60 and cut[11].n_chars == len(cut[11].text)
+
+
+def test_leaks_go_with_or_without_a_doc_id(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 60").orderBy("item_id").first().text
+    rows = [(1, f"say {item} now"), (None, f"and {item} then"), (None, "nothing to see here"), (2, "nor here"), (3, item), (3, "a clean row"), (4, None), (None, None)]
+    out = corpus_pipeline.drop_leaks(spark, ready(spark).createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert Counter(map(tuple, out.collect())) == Counter([(None, "nothing to see here"), (2, "nor here"), (4, None), (None, None)])
