@@ -404,6 +404,24 @@ def test_top_k(spark, coalesced):
     assert topk.top_k(table.limit(0), asked).count() == 0 and topk.top_k(table, asked.limit(0)).count() == 0
 
 
+def test_top_k_keeps_vectors_with_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.round(rng.normal(0, size, 8))]) for i, size in enumerate([0.2, 3e5, 1e7] * 20)]
+    rows += [(100, [3e6, -1e6] * 4), (101, [1e16, 0.0] + [0.0] * 6), (102, [0.0] * 8), (103, [float("nan")] * 8)]
+    table = ready(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = table.filter("vec_id IN (2, 7, 100, 102)")
+    want = set()
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i != 103]
+    for q, v in whole:
+        if q in (2, 7, 100, 102):
+            ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i not in (q, 101))[:5]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)}
+    small = table.filter("vec_id <> 101")
+    assert {tuple(r) for r in topk.top_k(small, asked, 5, block_rows=20).collect()} == want
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(table, asked, 5).collect()
+
+
 def test_url_rules(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/es/a", "allow"), (None, "/", "block"), ("", "/", "block")]
     urls = [None, "", "nothing", "http://", "http://EXAMPLE.com/en/1", "https://www.example.com/en/x?q#f", "http://example.com", "http://xexample.com/en/"]

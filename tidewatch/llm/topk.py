@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import keep
 
 WORD = 64
-LARGEST = 1 << 24
+# Whole numbers up to here can be sliced; a score beyond a long is refused, never wrapped.
+LARGEST = 1 << 61
+LONG = 1 << 63
 
 
 class BitSlicedBlock:
@@ -127,17 +129,23 @@ def top_k(
     gets all of them.
 
     Rows with a null id or vector, or with a null or non-finite component, take no
-    part; nor do those with a component whose whole number is beyond 2^24 either
-    way, for which a long could not hold the score. Equal rows count each, as
+    part. All others do: scores are compared by as many slices as they need. A
+    component whose whole number is 2^61 or more either way, and a score among the
+    results that a long can't hold, end the query with an error. Equal rows count each, as
     candidates and as queries of one id (their results then repeat). Other
     columns are not read; no queries or no candidates give no rows.
     """
 
     def whole(df: DataFrame) -> DataFrame:
-        parts = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+        def scaled(x: Column) -> Column:
+            return x.cast("double") * F.lit(float(scale))
+
+        large = F.raise_error(F.lit("top_k: a component is too large for a score")).cast("long")
+        parts = F.transform(
+            vector, lambda x: F.when(F.abs(scaled(x)) < F.lit(float(LARGEST)), F.floor(scaled(x))).otherwise(large)
+        )
         fits = F.forall(
-            vector,
-            lambda x: F.coalesce(F.abs(x.cast("double") * F.lit(float(scale))) <= F.lit(float(LARGEST)), F.lit(False)),
+            vector, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False))
         )
         valid = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).filter(fits)
         return valid.select(F.col(key).cast("long").alias("id"), parts.alias("v"), F.size(vector).alias("size"))
@@ -167,9 +175,15 @@ def top_k(
                 for own in range(first, last):
                     allowed[own // WORD] &= ~np.uint64(1 << (own % WORD))
                 top = index.top(slices, k, allowed)
-                score = np.full(len(top), constant, np.int64)
+                # Python's whole numbers where a long might not hold the sum of slices.
+                kind = np.int64 if len(slices) < 62 and abs(constant) < LONG >> 1 else object
+                score = np.full(len(top), constant, kind)
                 for place, bits in enumerate(slices):
-                    score += (((bits[top // WORD] >> (top % WORD).astype(np.uint64)) & np.uint64(1)).astype(np.int64)) << place
+                    score += (((bits[top // WORD] >> (top % WORD).astype(np.uint64)) & np.uint64(1)).astype(kind)) << place
+                if kind is object:
+                    if any(not -LONG <= s < LONG for s in score):
+                        raise OverflowError(f"top_k: a score of query {query_id} is beyond a long")
+                    score = score.astype(np.int64)
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": index.ids[top], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
