@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, langid, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc
+from tidewatch.llm import decontamination, langid, mixing, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0).drop("payload")
 
 
+def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), (5, 2, 1), 1.5, most=2, block=64, shards=64, seed=11)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -83,11 +88,95 @@ QUERIES: dict[str, Query] = {
         op8_url_rules,
         op9_best_fit,
         op10_warc_segments,
+        op11_sainte_lague,
     )
 }
 
+def _below(x: str, blocks: str, quota: str, phase: str, rest_times: str) -> str:
+    """SQL for the words that a line of blocks of 64 words gives before position ``x``."""
+
+    def picked(b: str) -> str:
+        n = f"greatest({blocks}, 1)"
+        return f"(({b}) * ({quota} // {n}) + (({b}) * ({quota} % {n}) + {phase}) // {n})"
+
+    b = f"least(({x}) // 64, {blocks})"
+    times = f"CASE WHEN {b} < {blocks} THEN {picked(b + ' + 1')} - {picked(b)} ELSE {rest_times} END"
+    return f"({picked(b)} * 64 + ({times}) * (({x}) - {b} * 64))"
+
+
+_MAIN, _REST = ("blocks", "line_quota", "phase", "0"), ("rest_blocks", "rest_quota", "rest_phase", "rest_times")
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {
+    "op11_sainte_lague": f"""
+        WITH sized AS (
+            SELECT doc_id, coalesce('=' || source, 'null') AS sid,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+            FROM documents),
+        hashed AS (
+            SELECT *, CAST('0x' || substr(md5('11|' || coalesce('=' || doc_id, 'null') || '|=' || size), 1, 15) AS BIGINT) AS h FROM sized),
+        placed AS (
+            SELECT *, h % 64 AS shard,
+                   CAST(sum(size) OVER (PARTITION BY sid, h % 64 ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS first
+            FROM hashed),
+        shards AS (
+            SELECT sid, shard, CAST(sum(size) AS BIGINT) AS words, CAST(sum(size) AS BIGINT) // 64 AS blocks,
+                   CAST(sum(size) AS BIGINT) % 64 AS tail
+            FROM placed GROUP BY sid, shard),
+        tails AS (
+            SELECT *, CAST(sum(tail) OVER (PARTITION BY sid ORDER BY shard) AS BIGINT) - tail AS rest_start FROM shards),
+        sources AS (
+            SELECT sid, CAST(sum(words) AS BIGINT) AS source_size, CAST(sum(blocks) AS BIGINT) + CAST(sum(tail) AS BIGINT) // 64 AS blocks,
+                   CAST(sum(tail) AS BIGINT) // 64 AS rest_blocks, CAST(sum(tail) AS BIGINT) % 64 AS rest,
+                   row_number() OVER (ORDER BY sid) AS number,
+                   CASE (row_number() OVER (ORDER BY sid) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+            FROM shards GROUP BY sid),
+        levels AS (
+            SELECT number, 2.0::DOUBLE * source_size / weight AS limit_level,
+                   (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)
+                    - coalesce(sum(2 * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, number
+                                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                   / sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, number
+                                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+            FROM sources),
+        final AS (SELECT coalesce(first(level ORDER BY limit_level, number), 0) AS level FROM levels WHERE level < limit_level),
+        targets AS (
+            SELECT s.*, weight * level >= 2.0::DOUBLE * source_size AS "full",
+                   CASE WHEN weight * level >= 2.0::DOUBLE * source_size THEN 2.0::DOUBLE * source_size ELSE weight * level END AS target
+            FROM sources s, final),
+        seats AS (SELECT CAST(floor(sum(target) / 64 + 0.5) AS BIGINT) AS seats FROM targets WHERE NOT "full" AND target > 0),
+        quotients AS (
+            SELECT number, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, number, seat) AS place
+            FROM (SELECT number, target, unnest(range(1, seats + 1)) AS seat FROM targets, seats WHERE NOT "full" AND target > 0)),
+        given AS (SELECT number, count(*) AS given FROM quotients, seats WHERE place <= seats GROUP BY number),
+        quotas AS (
+            SELECT t.*, CASE WHEN "full" THEN 2 * blocks ELSE least(coalesce(given, 0), 2 * blocks) END AS quota
+            FROM targets t LEFT JOIN given USING (number)),
+        rests AS (
+            SELECT *, CASE WHEN abs(target - quota * 64) <= least(abs(target - quota * 64 - rest), abs(target - quota * 64 - 2 * rest)) THEN 0
+                           WHEN abs(target - quota * 64 - rest) <= abs(target - quota * 64 - 2 * rest) THEN 1 ELSE 2 END AS rest_times
+            FROM quotas),
+        lines AS (
+            SELECT sid, shard, blocks FROM shards UNION ALL SELECT sid, 64, rest_blocks FROM rests),
+        line_quotients AS (
+            SELECT sid, shard, row_number() OVER (PARTITION BY sid ORDER BY blocks / (2 * seat - 1) DESC, shard, seat) AS place
+            FROM (SELECT sid, shard, blocks, unnest(range(1, 2 * blocks + 1)) AS seat FROM lines)),
+        line_quotas AS (
+            SELECT q.sid, shard, count(*) AS line_quota FROM line_quotients q JOIN rests r ON q.sid = r.sid AND place <= quota GROUP BY ALL),
+        drawn AS (
+            SELECT l.*, coalesce(line_quota, 0) AS line_quota,
+                   CAST('0x' || substr(md5('11|=' || sid || '|=' || shard), 1, 15) AS BIGINT) % greatest(blocks, 1) AS phase
+            FROM lines l LEFT JOIN line_quotas USING (sid, shard)),
+        params AS (
+            SELECT d.*, rest_start, r.source_size, r.target, r.rest_times, r.rest_blocks, e.line_quota AS rest_quota, e.phase AS rest_phase
+            FROM drawn d JOIN tails USING (sid, shard) JOIN rests r USING (sid) JOIN drawn e ON e.sid = d.sid AND e.shard = 64),
+        ends AS (
+            SELECT doc_id, size, p.*, least(first, 64 * blocks) AS m0, least(first + size, 64 * blocks) AS m1,
+                   greatest(first - 64 * blocks, 0) + rest_start AS r0, greatest(first + size - 64 * blocks, 0) + rest_start AS r1
+            FROM placed JOIN params p USING (sid, shard))
+        SELECT doc_id, size, source_size, target,
+               CAST({_below("m1", *_MAIN)} - {_below("m0", *_MAIN)}
+                    + {_below("r1", *_REST)} - {_below("r0", *_REST)} AS BIGINT) AS taken
+        FROM ends""",
     "op7_bit_sliced_top_k": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
