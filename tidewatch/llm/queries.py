@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, langid, mixing, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc
+from tidewatch.llm import decontamination, langid, mixing, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc, whitening
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), 16, scale=64, offset=1_000_000)
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op9_best_fit,
         op10_warc_segments,
         op11_sainte_lague,
+        op13_polarised_whitening,
     )
 }
 
