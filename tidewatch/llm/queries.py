@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, langid, mixing, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc, whitening
+from tidewatch.llm import decontamination, hard_negatives, langid, mixing, packing, sharding, simhash, substring_dedup, token_counts, topk, url_filter, warc, whitening
 from tidewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,12 @@ def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", noisy)
+    return hard_negatives.mine(vectors, vectors.filter("vec_id % 100 = 0"), 5, 5, floor=80, scale=256)
+
+
 def op13_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(table(spark, sf_dir, "embeddings"), 16, scale=64, offset=1_000_000)
     return white.withColumn("deviation", F.col("deviation").cast("long"))
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op9_best_fit,
         op10_warc_segments,
         op11_sainte_lague,
+        op12_slot_negatives,
         op13_polarised_whitening,
     )
 }
@@ -113,6 +120,27 @@ def _below(x: str, blocks: str, quota: str, phase: str, rest_times: str) -> str:
 _MAIN, _REST = ("blocks", "line_quota", "phase", "0"), ("rest_blocks", "rest_quota", "rest_phase", "rest_times")
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {
+    "op12_slot_negatives": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike,
+                   CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM whole a JOIN whole r ON r.vec_id <> a.vec_id AND len(r.v) = len(a.v)
+            WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT * FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n
+          ON n.anchor_id = p.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 5""",
     "op11_sainte_lague": f"""
         WITH sized AS (
             SELECT doc_id, coalesce('=' || source, 'null') AS sid,
