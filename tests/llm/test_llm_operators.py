@@ -495,3 +495,12 @@ def test_leaks_go_with_or_without_a_doc_id(spark):
     rows = [(1, f"say {item} now"), (None, f"and {item} then"), (None, "nothing to see here"), (2, "nor here"), (3, item), (3, "a clean row"), (4, None), (None, None)]
     out = corpus_pipeline.drop_leaks(spark, ready(spark).createDataFrame(rows, "doc_id long, text string"), sf_dir)
     assert Counter(map(tuple, out.collect())) == Counter([(None, "nothing to see here"), (2, "nor here"), (4, None), (None, None)])
+
+
+def test_no_text_is_lost_that_shares_its_doc_id(spark):
+    rng = random.Random(8)
+    lone, copied, other = (_words(rng, 60) for _ in range(3))
+    rows = [(1, lone), (1, copied), (1, copied), (2, copied + " end"), (3, other), (None, copied), (4, None), (5, "")]
+    df = ready(spark).createDataFrame([(d, t, "en", 1, 2, 3, 4, "x") for d, t in rows], COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == Counter([(1, lone), (1, copied), (3, other), (None, copied), (4, None)])

@@ -390,9 +390,10 @@ def _prefix_trees(texts: DataFrame, shingle: int, similarity: float) -> DataFram
     """(tree, node): a tree for each of a text's rarest shingles, as many as it can lack of another of that similarity, and one.
 
     Any two texts of the similarity share one of these, as all are in one order:
-    by the number of texts in the bucket of the shingle's hash, then by hash. The
-    counts (BUCKETS of them) are all that reaches the driver. A passage that many
-    texts share is in the rarest part of none that has enough of its own.
+    by the number of texts in the bucket of the shingle's hash (in eighths of its
+    logarithm), then by hash. One byte for each of BUCKETS is all that reaches the
+    driver and is broadcast. A passage that many texts share is in the rarest part
+    of none that has enough of its own.
     """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,13 +404,18 @@ def _prefix_trees(texts: DataFrame, shingle: int, similarity: float) -> DataFram
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["bucket", "texts"])
 
-    tallied = texts.select("text").mapInArrow(tally, "bucket long, texts long").groupBy("bucket").sum("texts").toPandas()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[tallied.iloc[:, 0].to_numpy(np.int64)] = tallied.iloc[:, 1].to_numpy(np.int64)
-    sent = ready(texts.sparkSession).sparkContext.broadcast(counts)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.zeros(BUCKETS, np.uint8)
+        for batch in batches:
+            steps[batch.column("bucket").to_numpy()] = 8 * np.log2(batch.column("texts").to_numpy() + 1)
+        yield pa.RecordBatch.from_pydict({"steps": [steps.tobytes()]})
+
+    tallied = texts.select("text").mapInArrow(tally, "bucket long, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts"))
+    gathered = tallied.repartition(1).mapInArrow(gather, "steps binary").collect()
+    sent = ready(texts.sparkSession).sparkContext.broadcast(bytes(gathered[0].steps) if gathered else bytes(BUCKETS))
 
     def make():
-        known = sent.value
+        known = np.frombuffer(sent.value, np.uint8)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rare, sizes = [np.zeros(0, np.uint64)], []
@@ -488,11 +494,11 @@ def near_duplicates(
     one level, one for each value of each of eight minimum hashes over distinct
     runs of ``shingle`` words: two texts of similarity 0.8 share none of them in
     fewer than three of a million cases. No fingerprint is asked: how often a
-    shingle is repeated doesn't count. Each tree pairs a class with the two that
-    are most alike by their sketches and with those that join other parts of it. The similarity of pairs (shared by all distinct shingles)
-    is computed exactly, first of each class's most alike pair, then of all pairs
-    that the links found so far do not join already; pairs below ``similarity``
-    are no links. component_id is the smallest doc_id that links reach.
+    shingle is repeated doesn't count. Sketches name the pairs of a tree that may be
+    links; their similarity (shared by all distinct shingles) is computed exactly,
+    first in blocks of large trees, then of all named pairs that the links found so
+    far do not join already. Pairs below ``similarity`` are no links.
+    component_id is the smallest doc_id that links reach.
 
     Texts without words are one class. Rows with a null key link nothing and have
     a null component_id. Rows that share a key count as one document. Other
