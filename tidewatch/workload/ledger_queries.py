@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,10 @@ from tidewatch.operators import findings as saving
 from tidewatch.operators.corpus import delete_domains
 from tidewatch.plans import reports, workflow
 from tidewatch.schemas import CONFIDENCE, is_open, is_risk_open
-from tidewatch.session import as_of_column, handover
+from tidewatch.session import as_of_column, checkpoint_root, handover
 from tidewatch.sources import lookups
+from tidewatch.streaming.detect import arriving, batch_folder
+from tidewatch.streaming.ledger_state import append_available, record_closed
 from tidewatch.workload import inputs as I
 from tidewatch.workload.inputs import AS_OF, SETTINGS
 from tidewatch.workload.inputs_sql import with_ctes
@@ -1062,6 +1065,52 @@ def finding_dedup(spark, sf):
     return rows.select("finding_id", "domain_id", "url", "finding_type", F.col("final_confidence").alias("confidence"), "entity_type")
 
 
+def _arrivals(spark, sf):
+    """The candidates in three arrivals; keys come back in later ones, the new urls twice."""
+    rows = I.findings(spark, sf)
+    both = _candidates(spark, sf).withColumn("arrival", F.pmod(F.length("url") + F.col("domain_id"), F.lit(3)).cast("int"))
+    later = rows.filter("finding_id % 2 = 0").selectExpr(
+        "domain_id", "concat(url, '/new') AS url", "finding_type", "severity", "'NO_SUCH' AS entity_type",
+        "CAST(0.5 AS DECIMAL(4,3)) AS confidence", "CAST(1 + finding_id div 2 % 2 AS INT) AS arrival",
+    )
+    return both.unionByName(later)
+
+
+_ARRIVALS = f"""{_CAND}, arrivals AS (SELECT *, (length(url) + domain_id) % 3 AS arrival FROM c
+        UNION ALL SELECT domain_id, url || '/new', finding_type, severity, 'NO_SUCH', 0.5, 1 + finding_id // 2 % 2 FROM findings WHERE finding_id % 2 = 0),
+    k AS (SELECT domain_id, url, finding_type, max(confidence) FILTER (arrival = 0) AS p0, max(confidence) FILTER (arrival = 1) AS p1,
+          max(confidence) FILTER (arrival = 2) AS p2 FROM arrivals WHERE severity <> 'HUGE' GROUP BY 1, 2, 3),
+    l AS (SELECT domain_id, url, finding_type, count(*) FILTER ({OPEN}) > 0 AS open0, count(*) FILTER (NOT ({OPEN})) AS c0 FROM findings GROUP BY 1, 2, 3),
+    s0 AS (SELECT k.*, coalesce(open0, false) AS open0, coalesce(c0, 0) AS c0 FROM k LEFT JOIN l USING (domain_id, url, finding_type)),
+    s1 AS (SELECT *, p0 IS NOT NULL AND NOT open0 AS a0, p0 IS NOT NULL AND NOT open0 AND domain_id % 4 = 0 AS shut FROM s0),
+    s2 AS (SELECT *, (open0 OR a0) AND NOT shut AS open1, c0 + shut::INTEGER AS c1 FROM s1),
+    s3 AS (SELECT *, p1 IS NOT NULL AND NOT open1 AS a1 FROM s2),
+    s4 AS (SELECT *, p2 IS NOT NULL AND NOT (open1 OR a1) AS a2 FROM s3),
+    added AS (SELECT 0 AS batch_id, c0 AS closed, p0 AS confidence, * EXCLUDE (p0, p1, p2) FROM s4 WHERE a0
+        UNION ALL SELECT 1, c1, p1, * EXCLUDE (p0, p1, p2) FROM s4 WHERE a1 UNION ALL SELECT 2, c1, p2, * EXCLUDE (p0, p1, p2) FROM s4 WHERE a2)"""
+
+
+@query(
+    "stream_ledger_append",
+    f"""WITH {_ARRIVALS} SELECT sha256(domain_id || '|' || url || '|' || finding_type || CASE WHEN closed > 0 THEN '|' || closed ELSE '' END) AS finding_id,
+        batch_id, domain_id, url, finding_type, CAST(confidence AS DECIMAL(4,3)) AS confidence FROM added""",
+    "findings",
+)
+def stream_ledger_append(spark, sf):
+    """Three arrivals streamed against the ledger; after the first, reviews close what it added for every fourth domain."""
+    rows = handover(_arrivals(spark, sf), "arrivals")
+    base = f"{checkpoint_root(spark)}/stream-ledger-{uuid.uuid4().hex}"
+    how = {"detect": lambda batch: batch.drop("arrival"), "ledger": I.findings(spark, sf), "state": f"{base}/keys", "out": f"{base}/out"}
+    for arrival in range(3):
+        rows.filter(F.col("arrival") == arrival).write.mode("append").parquet(f"{base}/in")
+        append_available(arriving(spark, f"{base}/in", rows.schema), f"{base}/checkpoint", as_of=AS_OF, **how)
+        if arrival == 0:
+            record_closed(spark.read.parquet(batch_folder(how["out"], 0)).filter("domain_id % 4 = 0"), how["state"], 0)
+    return spark.read.parquet(how["out"]).select(
+        "finding_id", "batch_id", "domain_id", "url", "finding_type", F.col("final_confidence").alias("confidence")
+    )
+
+
 @query(
     "finding_quarantine",
     f"WITH {_CAND} SELECT domain_id, url, finding_type, 'unknown severity' AS problem FROM c WHERE severity = 'HUGE'",
