@@ -12,7 +12,7 @@ from tidewatch.functions import text
 from tidewatch.operators import correlation, disclosure, names, predicates, risk, transitions
 from tidewatch.operators import findings as saving
 from tidewatch.operators.corpus import delete_domains
-from tidewatch.plans import reports, workflow
+from tidewatch.plans import journal, reports, workflow
 from tidewatch.schemas import CONFIDENCE, is_open, is_risk_open
 from tidewatch.session import as_of_column, checkpoint_root, handover
 from tidewatch.sources import lookups
@@ -1239,3 +1239,102 @@ def workflow_steps(spark, sf):
         workflow.LedgerInputs(d, rows, I.breaches(spark, sf), I.host_vulns(spark, sf)), SETTINGS, AS_OF, handover
     )
     return workflow.step_counts(run, d)
+
+
+def _inputs(spark, sf, broken: bool = False) -> workflow.LedgerInputs:
+    """The ledger's inputs; a broken host feed fails wherever a row of it is read."""
+    feed = I.host_vulns(spark, sf)
+    if broken:
+        feed = feed.withColumns({c: F.when(F.length(F.col(c).cast("string")) >= 0, F.raise_error(F.lit("feed"))).cast(t) for c, t in feed.dtypes if t == "string"})
+    rows = I.findings(spark, sf).withColumn("finding_id", F.col("finding_id").cast("string"))
+    return workflow.LedgerInputs(_contacts(spark, sf), rows, I.breaches(spark, sf), feed)
+
+
+def _run(spark, inputs: workflow.LedgerInputs, folder: str) -> journal.Run:
+    return journal.run_steps(spark, folder, inputs.findings, journal.ledger_steps(inputs, SETTINGS, AS_OF))
+
+
+def _run_folder(spark) -> str:
+    return f"{checkpoint_root(spark)}/ledger-run-{uuid.uuid4().hex}"
+
+
+def _state(marked: bool) -> str:
+    """SQL for the findings after breach marking (or without it), correlation, disclosure (``aft``) and escalation (``fin``)."""
+    hit = "(breach_note IS NOT NULL OR vuln_note IS NOT NULL) AND severity IN ('CRITICAL','HIGH') AND " + OPEN if marked else "false"
+    return f"""{_EVIDENCE}, {_TEMPLATES},
+        fm AS (SELECT f.*, {hit} AS hit FROM findings f LEFT JOIN ev USING (domain_id)),
+        cor AS (SELECT d.domain_id, sha256(d.domain_id || '|https://' || d.domain || '/|VENDOR_CORRELATION|' || t.vendor) AS finding_id
+               FROM t JOIN domains d ON contains(lower(d.vendor_fingerprint), lower(split_part(t.vendor, ' ', 1))) WHERE d.status = 'ACTIVE'),
+        st AS (SELECT CAST(finding_id AS VARCHAR) AS finding_id, domain_id, severity, status, disclosed_at, acknowledged_at, disclosure_sla_due,
+                 dark_web_confirmed OR hit AS dark, CASE WHEN hit THEN greatest(escalation_level, 1) ELSE escalation_level END AS lvl FROM fm
+               UNION ALL SELECT finding_id, domain_id, 'HIGH', 'NEW', NULL, NULL, {NOW} + to_hours(72), false, 0 FROM cor),
+        dq AS (SELECT *, disclosed_at IS NULL AND {OPEN} AND (severity = 'CRITICAL' OR disclosure_sla_due <= {NOW} + to_hours(24)) AS wanted,
+                 domain_id IN (SELECT domain_id FROM domains) AS known FROM st),
+        aft AS (SELECT finding_id, domain_id, severity, CASE WHEN wanted AND known THEN 'DISCLOSED' ELSE status END AS status,
+                 CASE WHEN wanted AND known THEN {NOW} ELSE disclosed_at END AS disclosed_at, acknowledged_at, dark, lvl, known, wanted FROM dq),
+        esc AS (SELECT *, known AND ((severity = 'CRITICAL' AND status = 'DISCLOSED' AND acknowledged_at IS NULL AND disclosed_at < {NOW} - to_hours(72))
+           OR (dark AND severity IN ('CRITICAL','HIGH') AND lvl < 3 AND {OPEN})) AS raised FROM aft),
+        fin AS (SELECT finding_id, domain_id, severity, CASE WHEN raised THEN 'ESCALATED' ELSE status END AS status, disclosed_at, dark,
+                 CASE WHEN raised THEN 3 ELSE lvl END AS lvl, raised, wanted AND known AS sent FROM esc)"""
+
+
+_ROWS = ["finding_id", "domain_id", "severity", "status", "dark_web_confirmed", "escalation_level"]
+_TABLES = ("domains", "findings", "breaches", "host_vulns")
+
+
+def _rows(findings: DataFrame) -> DataFrame:
+    return findings.select(*_ROWS, F.col("disclosed_at").isNotNull().alias("disclosed"))
+
+
+@query(
+    "workflow_findings",
+    f"WITH {_state(True)} SELECT finding_id, domain_id, severity, status, dark AS dark_web_confirmed, lvl AS escalation_level, disclosed_at IS NOT NULL AS disclosed FROM fin",
+    *_TABLES,
+)
+def workflow_findings(spark, sf):
+    """Every finding after a whole run, raised ones included."""
+    return _rows(_run(spark, _inputs(spark, sf), _run_folder(spark)).findings)
+
+
+_COUNTS = """SELECT 'risk_scores' AS step, (SELECT count(*) FROM domains WHERE status = 'ACTIVE') AS n
+        UNION ALL SELECT 'vendor_correlation', (SELECT count(*) FROM cor)
+        UNION ALL SELECT 'disclosure', (SELECT count(*) FROM fin WHERE sent) UNION ALL SELECT 'escalation', (SELECT count(*) FROM fin WHERE raised)"""
+
+
+@query(
+    "workflow_error_row",
+    f"""WITH {_state(False)}, c AS ({_COUNTS}) SELECT step, 'DONE' AS status, n, NULL AS error FROM c
+        UNION ALL SELECT 'breach_correlation', 'FAILED', NULL, 'SparkRuntimeException: USER_RAISED_EXCEPTION'""",
+    *_TABLES,
+)
+def workflow_error_row(spark, sf):
+    """The journal of a run whose host feed is broken: one step has an error row, the others have finished."""
+    run = _run(spark, _inputs(spark, sf, broken=True), _run_folder(spark))
+    return run.results().select("step", "status", "n", "error")
+
+
+@query(
+    "workflow_second_run",
+    f"""WITH {_state(False)} SELECT finding_id, domain_id, severity, status, dark OR hit AS dark_web_confirmed,
+          CASE WHEN hit THEN greatest(lvl, 1) ELSE lvl END AS escalation_level, disclosed_at IS NOT NULL AS disclosed
+        FROM (SELECT fin.*, (breach_note IS NOT NULL OR vuln_note IS NOT NULL) AND severity IN ('CRITICAL','HIGH') AND {OPEN} AS hit
+              FROM fin LEFT JOIN ev USING (domain_id))""",
+    *_TABLES,
+)
+def workflow_second_run(spark, sf):
+    """The findings after the broken run was resumed with a sound feed: only breach marking ran again."""
+    folder = _run_folder(spark)
+    _run(spark, _inputs(spark, sf, broken=True), folder)
+    return _rows(_run(spark, _inputs(spark, sf), folder).findings)
+
+
+@query(
+    "workflow_audit",
+    f"""WITH {_state(True)}, c AS ({_COUNTS} UNION ALL SELECT 'breach_correlation', (SELECT count(*) FROM ev))
+        SELECT 'PHASE3_PIPELINE_COMPLETED' AS event_type, 'SYSTEM' AS actor, 'ledger' AS target_id,
+          '{{' || string_agg('"' || step || '":"n=' || n || '"', ',' ORDER BY step) || '}}' AS details FROM c""",
+    *_TABLES,
+)
+def workflow_audit(spark, sf):
+    run = _run(spark, _inputs(spark, sf), _run_folder(spark))
+    return journal.audit_completed(run, AS_OF).select("event_type", "actor", "target_id", "details")
