@@ -224,3 +224,32 @@ def test_a_finding_keeps_its_own_vendor(spark):
     found = spark.createDataFrame(rows, "finding_id int, domain_id int, severity string, status string, finding_type string, vendor_fingerprint string")
     got = {r.vendor: (r.severity, r.finding_type) for r in correlation.vendor_representatives(found, domains).collect()}
     assert got == {"Joomla 4": ("HIGH", "A"), "Drupal 9": ("CRITICAL", "B")}
+
+
+def test_one_finding_for_each_domain_and_vendor_word(spark):
+    vendors = ["WordPress 6.1", "WordPress 5.8", "wordpress", "Drupal 9 on WordPress hosting", None, "", "Joomla"]
+    domains = spark.createDataFrame(
+        [(i, f"d{i}.in", v, "ACTIVE") for i, v in enumerate(vendors)] + [(50, "off.in", "WordPress 6.1", "REMOVED")],
+        "domain_id int, domain string, vendor_fingerprint string, status string",
+    )
+    shape = "finding_id string, domain_id int, severity string, status string, finding_type string, vendor_fingerprint string"
+    found = spark.createDataFrame(
+        [("1", 0, "HIGH", "NEW", "A", "WordPress 6.1"), ("2", 1, "CRITICAL", "NEW", "B", "WordPress 5.8"), ("3", 3, "HIGH", "NEW", "C", "Drupal 9")], shape
+    )
+    rows = correlation.correlate_vendor_words(domains, found, AS_OF)
+    got = {(r.domain_id, r.vendor_word): (r.vendor_fingerprint, r.vendors) for r in rows.collect()}
+    wordpress = {(i, "wordpress"): ("WordPress 5.8", 2) for i in range(4)}
+    assert got == wordpress | {(3, "drupal"): ("Drupal 9", 1)} and rows.count() == 5
+    assert "and 1 more with its name" in rows.filter("domain_id = 0").first().context_snippet_safe
+    assert correlation.correlate_vendor_words(domains, found.unionByName(rows.select(found.columns)), AS_OF).count() == 0
+
+
+def test_the_word_join_spreads_a_name_that_most_domains_have(spark):
+    domains = spark.range(4000).selectExpr(
+        "CAST(id AS INT) AS domain_id", "concat('d', id) AS domain", "'WordPress' AS vendor_fingerprint", "'ACTIVE' AS status"
+    )
+    shape = "finding_id string, domain_id int, severity string, status string, finding_type string, vendor_fingerprint string"
+    found = spark.createDataFrame([("1", 0, "HIGH", "NEW", "A", "WordPress 6.1")], shape)
+    assert correlation.correlate_vendor_words(domains, found, AS_OF).count() == 4000
+    salts = domains.groupBy(F.pmod(F.xxhash64("domain_id"), F.lit(correlation.SALTS))).count().collect()
+    assert len(salts) == correlation.SALTS and max(r["count"] for r in salts) < 500
