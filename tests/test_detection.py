@@ -1,5 +1,7 @@
 """Content rules, validators and known differences, on small fixtures."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from tidewatch import rules
 from tidewatch.operators import corpus, path_scan
 from tidewatch.operators.content_scan import ALL_RULES, DEFAULT_RULES, scan_content
 from tidewatch.functions import text
+from tidewatch.plans.scan import scan_candidates
 
 NUMBER = "2341 2341 " + "2346"
 PLANTS = {
@@ -156,7 +159,37 @@ def test_scan_filters_dedups_and_writes_cards(spark):
     )
     got = path_scan.scan_paths(df).collect()
     assert [(r.domain, r.finding_type, float(r.confidence)) for r in got] == [("a.in", "GIT_REPO_EXPOSED", 0.97)]
-    assert "EVIDENCE     : Git config section" in got[0].context_snippet_safe
+    assert json.loads(got[0].context_snippet_safe) == {
+        "finding_type": "GIT_REPO_EXPOSED", "url": "https://a.in/.git/config", "status": 200, "content_type": "text/plain",
+        "body_bytes": 40, "confidence": 0.97, "evidence": "Git config section",
+    }
+
+
+@pytest.mark.parametrize(
+    "body, kept",
+    [
+        ("INSERT INTO t VALUES (1, 'x');\n" * 2000 + "-- table y does not exist", True),
+        ("a log line, permission denied\n" * 3000, True),
+        ("table y does not exist", False),
+        ("  <!DOCTYPE html><title>x</title>" + "words " * 20_000 + "page not found", False),
+        ("<div><p><b>a</b></p></div> b " * 2000 + "page not found", False),
+        ("x = 1; y <b> z\n" * 2000 + "page not found", True),
+    ],
+)
+def test_phrases_count_in_messages_and_pages_only(spark, body, kept):
+    df = spark.createDataFrame([(200, body, "text/plain", "LOG_FILE")], "status int, body string, content_type string, entity string")
+    columns = [F.col(c) for c in ("status", "body", "content_type", "entity")]
+    row = df.select(path_scan.false_positive_reason(*columns).alias("strict"), path_scan.false_positive_reason(*columns, strict=False).alias("loose")).first()
+    assert (row.strict is None) == kept and row.loose is not None
+
+
+def test_a_home_page_without_a_time_is_scanned(spark):
+    rows = [("a.in", "https://a.in/", "/", "https", 200, "text/html", "PAN ABCPE1234F here", 20, None), ("b.in", "https://b.in/", "/", "https", 200, "text/html", "PAN ABCPE1234F here", 20, None)]
+    shape = "domain string, url string, path string, scheme string, status int, content_type string, body string, body_bytes bigint, fetched_at timestamp"
+    df = spark.createDataFrame(rows, shape).withColumn("headers", F.lit(None).cast("map<string,string>"))
+    timed = df.withColumn("fetched_at", F.when(F.col("domain") == "b.in", F.to_timestamp(F.lit("2026-01-01 00:00:00"))))
+    got = {r.domain for r in scan_candidates(timed, "salt").filter("finding_type = 'PAN_IN_CONTENT'").collect()}
+    assert got == {"a.in", "b.in"}
 
 
 # -- known differences: default is the strict form --------------------------

@@ -42,7 +42,10 @@ def scan_candidates(captures: DataFrame, salt: str, rules: Sequence[ContentRule]
     ranked = best_capture(homes.drop("body", "headers")).select("domain", "url", "fetched_at")
     read = homes.select("domain", "url", "path", "status", "content_type", "body_bytes", "fetched_at", "body")
     hits = scan_content(read, "body", key="url", salt=salt, rules=rules, with_context=True)
-    pages = evidence_card(hits.join(ranked, ["domain", "url", "fetched_at"], "left_semi"))
+    # A capture without a time is a capture as well.
+    best = ranked.withColumnsRenamed({c: f"_{c}" for c in ranked.columns})
+    same = (hits["domain"] == best["_domain"]) & (hits["url"] == best["_url"]) & hits["fetched_at"].eqNullSafe(best["_fetched_at"])
+    pages = evidence_card(hits.join(best, same, "left_semi"))
     wanted = (
         "domain", "url", F.col("path").alias("url_path"), F.col("status").alias("http_status"), "finding_type",
         "entity_type", "severity", "confidence", "value_hash", "value_count_estimate", "context_snippet_safe",

@@ -54,6 +54,12 @@ CONTACT_MAILBOXES = ("security", "abuse", "cert", "webmaster")
 # --------------------------------------------------------------------------
 # False-positive phrase lists
 # --------------------------------------------------------------------------
+# A body of up to so many characters may be an error message in plain words; a longer one has to be a page to be one.
+ERROR_TEXT_CHARS = 8000
+# A page begins with one of these, or has a fifth of its text in tags (a twentieth if it is served as HTML).
+PAGE_STARTS = ("<!doctype html", "<html", "<head", "<body")
+PAGE_TAG_SHARE = 5
+TYPED_PAGE_TAG_SHARE = 20
 FIREWALL_PHRASES = (
     "cloudflare",
     "ray id:",
