@@ -226,3 +226,24 @@ def test_vendor_order_and_minimum(spark):
     assert [r.vendor for r in found] == ["WordPress", None, "Django", "PHP 8.1.2", None, None]
     for sig in rules.VENDOR_SIGNATURES:
         assert sig.gates
+
+
+@pytest.mark.parametrize(
+    "domain, page, strict, loose",
+    [
+        ("shop.example.com", "a technical community", "OTHER", "GOVERNMENT"),
+        ("digital.gov.in", "", "GOVERNMENT", "GOVERNMENT"),
+        ("citybank.example", "", "FINANCE", "FINANCE"),
+        ("mu.ac.in", "", "EDUCATION", "EDUCATION"),
+        ("emu.example", "", "OTHER", "EDUCATION"),
+        ("praxis.example", "", "OTHER", "FINANCE"),
+        ("a.example", "The MINISTRY of X", "GOVERNMENT", "OTHER"),
+        ("a.example", None, "OTHER", "OTHER"),
+        ("a.example", "river embankment", "OTHER", "FINANCE"),
+        ("x.res.in", "", "RESEARCH", "RESEARCH"),
+    ],
+)
+def test_sector_words_have_borders(spark, domain, page, strict, loose):
+    df = spark.createDataFrame([(domain, page)], "d string, p string")
+    row = df.select(corpus.infer_sector(F.col("d"), F.col("p")), corpus.infer_sector(F.col("d"), F.col("p"), strict=False)).first()
+    assert tuple(row) == (strict, loose)

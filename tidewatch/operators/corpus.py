@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -132,9 +133,40 @@ def fingerprint(df: DataFrame, html: str, headers: Column | None = None) -> Data
 # --------------------------------------------------------------------------
 
 
-def sector_hits(text: Column) -> Column:
-    """Which sectors have a keyword in the text, as an array in sector order."""
-    found = [F.coalesce(contains_any(text, words), F.lit(False)) for words in rules.SECTOR_KEYWORDS.values()]
+def _bordered(words: Sequence[str]) -> str:
+    """Pattern for dotted keywords with borders: no letter or digit before them, nor after those that don't end in a dot."""
+    ends = [re.escape(w) + ("" if w.endswith(".") else "([^a-z0-9]|$)") for w in words]
+    return "(^|[^a-z0-9])(" + "|".join(ends) + ")"
+
+
+def sector_patterns(words: Sequence[str]) -> tuple[list[str], str | None, str | None]:
+    """A sector's plain words, the pattern of its dotted keywords and that of words that compound labels begin or end with."""
+    plain, dotted = [w for w in words if "." not in w], [w for w in words if "." in w]
+    parts = "|".join(w for w in plain if w in rules.COMPOUND_SECTOR_WORDS)
+    return plain, _bordered(dotted) if dotted else None, f"(^|[^a-z0-9])({parts})|({parts})([^a-z0-9]|$)" if parts else None
+
+
+def sector_hits(text: Column, host: bool = False, strict: bool = True) -> Column:
+    """Which sectors have a keyword in the text, as an array in sector order.
+
+    A keyword is a whole word of the text, or part of a host between dots and dashes; a dotted one stands between borders.
+    In a ``host``, some words also begin or end a compound label (``citybank``). The text becomes a set of words once.
+    With ``strict=False`` a keyword counts anywhere, also inside other words.
+    """
+    if not strict:
+        found = [F.coalesce(contains_any(text, words), F.lit(False)) for words in rules.SECTOR_KEYWORDS.values()]
+        return F.array(*found)
+    lowered = F.lower(text)
+    tokens = F.array_distinct(F.split(lowered, "[^a-z0-9]+"))
+    found = []
+    for words in rules.SECTOR_KEYWORDS.values():
+        plain, dotted, compound = sector_patterns(words)
+        hit = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in plain]))
+        if dotted:
+            hit = hit | lowered.rlike(dotted)
+        if host and compound:
+            hit = hit | lowered.rlike(compound)
+        found.append(F.coalesce(hit, F.lit(False)))
     return F.array(*found)
 
 
@@ -147,17 +179,16 @@ def first_sector(*hits: Column) -> Column:
     return F.coalesce(*picks, F.lit(rules.DEFAULT_SECTOR))
 
 
-def infer_sector(domain: Column, html: Column | None = None, head_chars: int | None = None) -> Column:
-    """First sector with a keyword in the lower-cased name or the page.
+def infer_sector(domain: Column, html: Column | None = None, head_chars: int | None = None, strict: bool = True) -> Column:
+    """First sector with a keyword in the lower-cased name or the page (see ``sector_hits`` for ``strict``).
 
     The whole page is searched; ``head_chars`` restricts it to the page's head.
     """
-    text = F.lower(domain)
+    hits = [sector_hits(F.lower(domain), host=True, strict=strict)]
     if html is not None:
         page = html if head_chars is None else F.substring(html, 1, head_chars)
-        text = F.concat(text, F.lit(" "), F.coalesce(page, F.lit("")))
-    picks = [F.when(contains_any(text, words), F.lit(s)) for s, words in rules.SECTOR_KEYWORDS.items()]
-    return F.coalesce(*picks, F.lit(rules.DEFAULT_SECTOR))
+        hits.append(sector_hits(F.coalesce(page, F.lit("")), strict=strict))
+    return first_sector(*hits)
 
 
 # --------------------------------------------------------------------------

@@ -65,7 +65,7 @@ def score_names(
         "signal_detail",
         F.col("vendor").alias("vendor_fingerprint"),
         F.col("content_hash").alias("baseline_hash"),
-        first_sector(sector_hits(F.lower("domain")), F.col("page_sectors")).alias("sector"),
+        first_sector(sector_hits(F.lower("domain"), host=True), F.col("page_sectors")).alias("sector"),
         F.lit(discovered_via).alias("discovered_via"),
         F.when(dead, "skipped_dns").when(~keeps, "skipped_iocs").otherwise("candidate").alias("outcome"),
     )

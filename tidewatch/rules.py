@@ -505,6 +505,10 @@ SECTOR_KEYWORDS = {
     "RESEARCH": "res.in csir isro drdo icar icmr barc".split(),
 }
 DEFAULT_SECTOR = "OTHER"
+# Keywords that count at either end of a compound host label as well.
+COMPOUND_SECTOR_WORDS = (
+    "ministry", "university", "college", "school", "health", "hospital", "medical", "clinic", "pharma", "bank", "finance",
+)
 
 
 # --------------------------------------------------------------------------

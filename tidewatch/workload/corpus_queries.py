@@ -42,13 +42,26 @@ def _tld_sql(c: str) -> str:
     return f"CASE {whens} ELSE '.in' END"
 
 
-def _sector_sql(t: str) -> str:
+def _any_sector_sql(t: str) -> str:
     whens = " ".join(
         "WHEN " + " OR ".join(f"contains({t}, '{w}')" for w in words) + f" THEN '{s}'" for s, words in rules.SECTOR_KEYWORDS.items()
     )
     return f"CASE {whens} ELSE 'OTHER' END"
 
 
+def _sector_sql(host: str, page: str | None = None) -> str:
+    whens = []
+    for sector, words in rules.SECTOR_KEYWORDS.items():
+        plain, dotted, compound = corpus.sector_patterns(words)
+        tests = []
+        for text in filter(None, (host, page)):
+            tests.append(f"list_has_any(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), {plain})")
+            patterns = [dotted] + ([compound] if text == host else [])
+            tests += [f"regexp_matches(lower({text}), '{p}')" for p in patterns if p]
+        whens.append("WHEN " + " OR ".join(tests) + f" THEN '{sector}'")
+    return f"CASE {' '.join(whens)} ELSE 'OTHER' END"
+
+
 def _origin_sql(domain: str, html: str, asn: str) -> dict[str, str]:
     known = ", ".join(f"'{a}'" for a in rules.HOME_ASNS)
     return {
@@ -118,7 +131,7 @@ _SCORED = f"""{_BEST}, rs AS (SELECT name, min(ip) AS ip FROM resolutions GROUP
     fp AS (SELECT *, {_vendor_sql("nullif(page, '')")} FROM vf),
     scored AS (SELECT domain, {_tld_sql('domain')} AS tld, ip AS ip_address, iocs_score, signal_count, detail,
        CASE WHEN vendor_name IS NOT NULL THEN rtrim(vendor_name || ' ' || vendor_version) END AS vendor_fingerprint, CASE WHEN length(html) > 0 THEN sha256(html) END AS baseline_hash,
-       {_sector_sql("(lower(domain) || ' ' || coalesce(html, ''))")} AS sector,
+       {_sector_sql("domain", "coalesce(html, '')")} AS sector,
        CASE WHEN ip IS NULL THEN 'skipped_dns' WHEN NOT (iocs_score >= 50 AND signal_count >= 2) THEN 'skipped_iocs' ELSE 'candidate' END AS outcome FROM fp)"""
 # Columns of the inventory that an upsert leaves as they are, and its times.
 _CARRIED = (
@@ -206,12 +219,38 @@ def government_names(spark, sf):
     return I.sites(spark, sf).select("domain", text.is_government(F.col("domain")).alias("is_government"))
 
 
-@query("sector_infer", f"""SELECT domain, {_sector_sql("(lower(domain) || ' ' || html)")} AS sector FROM sites""", "sites")
+@query("sector_infer", f"""SELECT domain, {_sector_sql("domain", "html")} AS sector FROM sites""", "sites")
 def sector_infer(spark, sf):
     rows = spread(I.sites(spark, sf), "page_id")
     return rows.select("domain", corpus.infer_sector(F.col("domain"), F.col("html")).alias("sector"))
 
 
+@query("sector_infer_anywhere", f"""SELECT domain, {_any_sector_sql("(lower(domain) || ' ' || html)")} AS sector FROM sites""", "sites")
+def sector_infer_anywhere(spark, sf):
+    """The loose form: keywords also inside other words."""
+    rows = spread(I.sites(spark, sf), "page_id")
+    return rows.select("domain", corpus.infer_sector(F.col("domain"), F.col("html"), strict=False).alias("sector"))
+
+
+# Documents as pages of hosts whose labels join, border or merely contain keywords.
+_HOSTS = ["tech-community", "digital.gov.in", "citybank", "bankruptcy", "dept-of-x", "praxis", "mu.ac.in", "emu.example", "sbi.co.in", "res.in", "hospitality", "x-hospital"]
+_WORDS = ["technical community", "The Ministry of X", "embankment", "online BANK login", "department store", "a college.", "universityx", "HEALTH care"]
+
+
+@query(
+    "sector_infer_documents",
+    f"""WITH c AS (SELECT doc_id, {_HOSTS}[CAST(doc_id % {len(_HOSTS)} AS INTEGER) + 1] || '.example' AS host,
+          text || ' ' || {_WORDS}[CAST(doc_id // 3 % {len(_WORDS)} AS INTEGER) + 1] AS page FROM documents)
+        SELECT doc_id, {_sector_sql("host", "page")} AS sector FROM c""",
+)
+def sector_infer_documents(spark, sf):
+    docs = I.table(spark, sf, "documents")
+    host = F.concat(F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("doc_id") % len(_HOSTS) + 1).cast("int")), F.lit(".example"))
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.expr("doc_id div 3") % len(_WORDS) + 1).cast("int"))
+    rows = docs.select("doc_id", host.alias("host"), F.concat("text", F.lit(" "), word).alias("page"))
+    return rows.select("doc_id", corpus.infer_sector(F.col("host"), F.col("page")).alias("sector"))
+
+
 @query(
     "sector_infer_names",
     f"SELECT domain_id, {_sector_sql('lower(domain)')} AS sector FROM domains",
