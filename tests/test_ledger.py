@@ -253,3 +253,21 @@ def test_the_word_join_spreads_a_name_that_most_domains_have(spark):
     assert correlation.correlate_vendor_words(domains, found, AS_OF).count() == 4000
     salts = domains.groupBy(F.pmod(F.xxhash64("domain_id"), F.lit(correlation.SALTS))).count().collect()
     assert len(salts) == correlation.SALTS and max(r["count"] for r in salts) < 500
+
+
+def test_the_escalation_audit_names_all_types(spark):
+    domains = spark.createDataFrame(
+        [(1, "a.in", "OTHER", None, 10, None, None)],
+        "domain_id int, domain string, sector string, ip_address string, iocs_score int, vendor_fingerprint string, contact_email string",
+    )
+    found = I.findings(spark, "/root/testdata/sf0.001").limit(9)
+    kinds = found.withColumns(
+        {
+            "domain_id": F.lit(1), "status": F.lit("NEW"), "severity": F.lit("HIGH"), "dark_web_confirmed": F.lit(True), "escalation_level": F.lit(0),
+            "finding_type": F.concat(F.lit("TYPE_"), F.col("finding_id").cast("string")),
+        }
+    )
+    plan = disclosure.escalation_plan(kinds, domains, I.SETTINGS, AS_OF)
+    triggers = plan.audit.select(F.from_json("details", "triggers array<string>")["triggers"]).first()[0]
+    assert sorted(triggers) == sorted(r.finding_type for r in kinds.collect()) and len(triggers) == 9
+    assert plan.notices.first().triggers.count(",") == 4

@@ -55,7 +55,7 @@ def escalation_queue(findings: DataFrame, as_of: str) -> DataFrame:
 
 
 def batch_summary(batch: DataFrame, as_of: str, lines: int = 5, types: int = 5) -> DataFrame:
-    """One row per domain of a batch: counts, severity text, first types, first finding lines.
+    """One row per domain of a batch: counts, severity text, first types and all types, first finding lines.
 
     Order inside a batch is most severe first, then finding id. Everything but
     the lines comes from one aggregate per (domain, type), which Spark computes
@@ -86,6 +86,9 @@ def batch_summary(batch: DataFrame, as_of: str, lines: int = 5, types: int = 5)
     ]
 
     w = Window.partitionBy("domain_id").orderBy("first.o", "finding_type")
+    # A domain has as many types as rules exist, so all of them can be gathered.
+    all_types = by_type.groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("first.o", "finding_type"))).alias("t"))
+    all_types = all_types.select("domain_id", F.transform("t", lambda x: x["finding_type"]).alias("types"))
     top_types = (
         by_type.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= types)
         .groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("rn", "finding_type"))).alias("t"))
@@ -105,6 +108,7 @@ def batch_summary(batch: DataFrame, as_of: str, lines: int = 5, types: int = 5)
     return (
         counts.withColumn("severity_text", F.concat_ws(", ", *parts))
         .join(top_types, "domain_id")
+        .join(all_types, "domain_id")
         .join(top_lines, "domain_id")
     )
 
@@ -251,7 +255,7 @@ def escalation_plan(findings: DataFrame, domains: DataFrame, settings: Settings,
     facts = batch_summary(queue, as_of, lines=10).join(domains.select(*columns), "domain_id")
     notices = facts.select(
         "domain_id", "domain", F.lit(settings.national_team_email).alias("recipient_email"), "n_findings",
-        F.col("types_text").alias("triggers"),
+        F.col("types_text").alias("triggers"), F.col("types").alias("all_triggers"),
         notice_subject(settings, F.col("domain"), F.col("top_severity")).alias("subject"),
         national_body(settings, as_of).alias("body"),
     )
@@ -266,6 +270,6 @@ def escalation_plan(findings: DataFrame, domains: DataFrame, settings: Settings,
     changed = sent.withColumns({"escalation_level": F.lit(3), "status": F.lit("ESCALATED")})
     log = audit(
         notices, "CERTIN_ESCALATION", "SYSTEM", "domain", "domain_id", as_of,
-        domain=F.col("domain"), findings=F.col("n_findings"), triggers=F.col("triggers"),
+        domain=F.col("domain"), findings=F.col("n_findings"), triggers=F.col("all_triggers"),
     )
     return Plan(notices, events, changed, log)

@@ -67,12 +67,14 @@ def scan_domains(
     as_of: str,
     salt: str,
     rules: Sequence[ContentRule] = DEFAULT_RULES,
+    requested: DataFrame | None = None,
     cut: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> ScanRun:
     """One scan over captures at rest, against the inventory and the findings of the ledger.
 
-    A domain counts as reachable if any of its captures has a status below 500;
-    the others get a SKIPPED job. Findings of domains that the inventory lacks
+    A domain counts as reachable if any of its captures has a status below 500; others that have
+    captures or are ``requested`` (domain) get a SKIPPED job and become INACTIVE. Domains without
+    captures that were not requested were not scanned and stay as they are. Findings of domains that the inventory lacks
     are quarantined. ``cut`` may write candidates and features to the shared
     folder and read them back, so that bodies are read once.
     """
@@ -89,6 +91,11 @@ def scan_domains(
         F.count_distinct("path").cast("int").alias("urls_checked"),
         F.coalesce(F.max(F.col("status") < 500), F.lit(False)).alias("reachable"),
     )
+    if requested is not None:
+        asked = requested.select("domain").distinct()
+        seen = asked.join(seen, "domain", "full").select(
+            "domain", F.coalesce("urls_checked", F.lit(0)).alias("urls_checked"), F.coalesce("reachable", F.lit(False)).alias("reachable")
+        )
     found = rows.groupBy("domain_id").agg(F.count("*").cast("int").alias("findings_count"))
     results = named.join(seen, "domain").join(found, "domain_id", "left").select(
         "domain_id", "reachable", F.lit(None).cast("string").alias("error"), "urls_checked",

@@ -116,6 +116,33 @@ def scan_domains_after(spark, sf):
     return _scan(spark, sf).domains.select("domain_id", "status", "scan_count", "baseline_hash", ts("next_scan_due_at").alias("next_scan"))
 
 
+def _requested_scan(spark, sf) -> ScanRun:
+    """A scan of the whole inventory to which every fifth site has no capture at all."""
+    captures = _captures(spark, sf).filter("CAST(regexp_extract(domain, '[0-9]+', 0) AS BIGINT) % 5 <> 2")
+    cut = {"as_of": I.AS_OF, "salt": I.SALT, "cut": lambda df: handover(df, "scan")}
+    return scan_domains(captures, _domains(spark, sf), _ledger(spark, sf), requested=_domains(spark, sf), **cut)
+
+
+@query(
+    "scan_jobs_requested",
+    """SELECT i.domain_id, CASE WHEN s.reachable AND i.domain_id % 5 <> 2 THEN 'COMPLETED' ELSE 'SKIPPED' END AS status,
+        CASE WHEN s.reachable AND i.domain_id % 5 <> 2 THEN paths ELSE 0 END AS urls_checked,
+        CASE WHEN s.reachable AND i.domain_id % 5 <> 2 THEN coalesce(n, 0) ELSE 0 END AS findings_count,
+        CASE WHEN s.reachable AND i.domain_id % 5 <> 2 THEN NULL ELSE 'Domain unreachable' END AS error_message
+        FROM inv i LEFT JOIN seen s USING (domain_id) LEFT JOIN (SELECT domain_id, CAST(count(*) AS INTEGER) AS n FROM fnd GROUP BY 1) USING (domain_id)""",
+)
+def scan_jobs_requested(spark, sf):
+    return _requested_scan(spark, sf).jobs.select("domain_id", "status", "urls_checked", "findings_count", "error_message")
+
+
+@query(
+    "scan_domains_requested",
+    "SELECT i.domain_id, CASE WHEN s.reachable AND i.domain_id % 5 <> 2 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status FROM inv i LEFT JOIN seen s USING (domain_id)",
+)
+def scan_domains_requested(spark, sf):
+    return _requested_scan(spark, sf).domains.select("domain_id", "status")
+
+
 @query(
     "scan_audit",
     "SELECT finding_id AS target_id, 'FINDING_CREATED' AS event_type, finding_type, severity FROM fnd",
