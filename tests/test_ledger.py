@@ -271,3 +271,31 @@ def test_the_escalation_audit_names_all_types(spark):
     triggers = plan.audit.select(F.from_json("details", "triggers array<string>")["triggers"]).first()[0]
     assert sorted(triggers) == sorted(r.finding_type for r in kinds.collect()) and len(triggers) == 9
     assert plan.notices.first().triggers.count(",") == 4
+
+
+def _rows_read(df):
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            plan.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_a_deep_page_reads_no_more_than_the_first(spark):
+    rows = spark.range(200_000).selectExpr("id", "CAST(IF(id % 50 = 0, NULL, id % 1000) AS INT) AS score")
+    paged = reports.write_paged(rows, f"{checkpoint_root(spark)}/paged-{random.random()}", F.col("score"), "id", files=40)
+    everything = paged.orderBy(F.col("score").asc_nulls_last(), "id").collect()
+    for at in (0, 60_000, 195_990, 196_010, 199_990):
+        after = (everything[at].score, everything[at].id)
+        page = reports.page_after(paged, "id", after, per_page=10)
+        assert page.collect() == everything[at + 1 : at + 11]
+    last = everything[195_000]
+    assert _rows_read(reports.page_after(paged, "id", (last.score, last.id))) < 20_000
+    with pytest.raises(ValueError):
+        reports.page_after(paged, "id", per_page=101)

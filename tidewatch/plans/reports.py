@@ -24,6 +24,35 @@ def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int = 2
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
+def write_paged(df: DataFrame, path: str, order: Column, key: str, files: int = 32) -> DataFrame:
+    """Write a list in the order of its pages, one range of it a file, so that ``page_after`` reads the files of its page only.
+
+    The sort value is stored as ``sort_value``; ``order`` is ascending with nulls last, so negate a number to descend.
+    """
+    rows = df.withColumn("sort_value", order)
+    by = [F.col("sort_value").asc_nulls_last(), F.col(key).asc()]
+    rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def page_after(paged: DataFrame, key: str, after: tuple[object, object] | None = None, per_page: int = 25, largest: int = MAX_PAGE) -> DataFrame:
+    """The page that follows the row ``after`` (its sort value and key), or the first one.
+
+    A seek instead of an offset: rows before the cursor are not read, however deep the page is. The page is planned as a
+    top-k of what the pushed filter leaves.
+    """
+    if not 1 <= per_page <= largest:
+        raise ValueError(f"per_page must be between 1 and {largest}")
+    value = F.col("sort_value")
+    if after is not None and after[0] is None:
+        paged = paged.filter(value.isNull() & (F.col(key) > F.lit(after[1])))
+    elif after is not None:
+        at = F.lit(after[0]).cast(paged.schema["sort_value"].dataType)
+        # The first condition alone can be pushed to the files' statistics.
+        paged = paged.filter((value >= at) | value.isNull()).filter(value.isNull() | (value > at) | ((value == at) & (F.col(key) > F.lit(after[1]))))
+    return paged.orderBy(value.asc_nulls_last(), F.col(key).asc()).limit(per_page)
+
+
 def total_of(df: DataFrame) -> DataFrame:
     """Number of rows over all pages."""
     return df.agg(F.count(F.lit(1)).alias("total"))

@@ -71,5 +71,22 @@ def dedup_stream(findings: DataFrame, event_time: str = "fetched_at", delay: str
     return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def dedup_available(
+    stream: DataFrame, out: str, checkpoint: str, *, event_time: str = "fetched_at", delay: str = "1 hour", key: str = "finding_id"
+) -> int:
+    """Append the first arrival of each key among everything that has arrived; returns how many rows came too late.
+
+    A row is late if its event time lies ``delay`` or more behind the latest one of earlier batches. Late rows are dropped,
+    since the state that could tell whether they are repeats is gone by then; the state holds keys of the last ``delay`` only.
+    """
+    query = (
+        dedup_stream(stream, event_time, delay, key).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(out)
+    )
+    query.awaitTermination()
+    states = [state for progress in query.recentProgress for state in progress["stateOperators"]]
+    return sum(state["numRowsDroppedByWatermark"] for state in states)
+
+
 def with_finding_key(hits: DataFrame, domain: str, url: str) -> DataFrame:
     return hits.withColumn("finding_id", F.sha2(F.concat_ws("|", domain, url, "finding_type"), 256))

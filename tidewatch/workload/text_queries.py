@@ -16,8 +16,8 @@ from tidewatch.operators.content_scan import (
     scan_summary,
     select_rules,
 )
-from tidewatch.session import checkpoint_root, spread
-from tidewatch.streaming.detect import arriving, dedup_stream, scan_available, with_finding_key
+from tidewatch.session import checkpoint_root, handover, spread
+from tidewatch.streaming.detect import arriving, dedup_available, dedup_stream, scan_available, with_finding_key
 from tidewatch.workload import inputs as I
 from tidewatch.workload.inputs import SALT
 from tidewatch.workload.inputs_sql import with_ctes
@@ -354,3 +354,47 @@ def stream_dedup(spark, sf):
         f"{base}/out"
     ).awaitTermination()
     return spark.read.schema(unique.schema).parquet(f"{base}/out").select(*events.columns[:2])
+
+
+# Events in windows of eight days, each an arrival. Every seventh event arrives one window late; every fifth is delivered
+# again in the next window, every eleventh twice at once.
+_WINDOW = 8 * 86_400
+_DELAY_HOURS = 48
+
+
+def _deliveries(spark, sf):
+    events = I.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = F.floor((F.unix_timestamp("ts") - F.lit(1_704_067_200)) / _WINDOW) + (F.col("event_id") % 7 == 0).cast("int")
+    events = events.withColumn("arrival", first.cast("int"))
+    again = events.filter("event_id % 5 = 0").withColumn("arrival", F.col("arrival") + 1)
+    return events.unionByName(again).unionByName(events.filter("event_id % 11 = 0"))
+
+
+def _streamed(spark, sf):
+    """(kept rows, [(arrival, late rows)]) of the deliveries, streamed one arrival after the other."""
+    rows = handover(_deliveries(spark, sf), "deliveries")
+    base, late = _folder(spark, "stream-late"), []
+    for arrival in sorted(r.arrival for r in rows.select("arrival").distinct().collect()):
+        rows.filter(F.col("arrival") == arrival).write.mode("append").parquet(f"{base}/in")
+        stream = arriving(spark, f"{base}/in", rows.schema).select("event_id", "user_id", "ts")
+        dropped = dedup_available(stream, f"{base}/out", f"{base}/state", event_time="ts", delay=f"{_DELAY_HOURS} hours", key="event_id")
+        late.append((arrival, dropped))
+    return spark.read.parquet(f"{base}/out"), late
+
+
+_DELIVERIES = f"""e AS (SELECT event_id, user_id, epoch_us(ts) AS us, CAST(floor((epoch(ts) - 1704067200) / {_WINDOW}) AS INTEGER) + (event_id % 7 = 0)::INTEGER AS arrival FROM events),
+    d AS (SELECT * FROM e UNION ALL SELECT event_id, user_id, us, arrival + 1 FROM e WHERE event_id % 5 = 0 UNION ALL SELECT * FROM e WHERE event_id % 11 = 0),
+    w AS (SELECT a.arrival, max(d.us) // 1000 * 1000 - {_DELAY_HOURS} * 3600000000 AS mark FROM (SELECT DISTINCT arrival FROM d) a LEFT JOIN d ON d.arrival < a.arrival GROUP BY 1),
+    m AS (SELECT d.*, coalesce(us <= mark, false) AS late FROM d JOIN w USING (arrival))"""
+
+
+@query("stream_dedup_late", f"WITH {_DELIVERIES} SELECT DISTINCT event_id, user_id FROM m WHERE NOT late")
+def stream_dedup_late(spark, sf):
+    """First arrivals with a state of two days: late rows and repeats are dropped."""
+    return _streamed(spark, sf)[0].select("event_id", "user_id")
+
+
+@query("stream_late_rows", f"WITH {_DELIVERIES} SELECT arrival, count(*) FILTER (late) AS n_late FROM m GROUP BY 1")
+def stream_late_rows(spark, sf):
+    """Rows dropped as late, by arrival."""
+    return spark.createDataFrame(_streamed(spark, sf)[1], "arrival int, n_late long")
