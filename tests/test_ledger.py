@@ -299,3 +299,14 @@ def test_a_deep_page_reads_no_more_than_the_first(spark):
     assert _rows_read(reports.page_after(paged, "id", (last.score, last.id))) < 20_000
     with pytest.raises(ValueError):
         reports.page_after(paged, "id", per_page=101)
+
+
+def test_feeds_are_parsed_in_one_pass(spark):
+    rows = [(n, "a.in", '{"subdomains":["x"],"events":["y.a.in"]}') for n, shape, _ in feeds.FEEDS if shape in ("labels", "events", "plain_names")]
+    payloads = spark.createDataFrame(rows, "source string, root string, payload string")
+    payloads.write.mode("overwrite").parquet(path := f"{checkpoint_root(spark)}/feeds-{random.random()}")
+    parsed = feeds.parse_feeds(spark.read.parquet(path), configured=tuple(n for n, _, _ in feeds.FEEDS))
+    shape = {n: s for n, s, _ in feeds.FEEDS}
+    got = {(shape[r.source], r.name) for r in parsed.collect()}
+    assert got <= {("labels", "x.a.in"), ("events", "y.a.in")} and got
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

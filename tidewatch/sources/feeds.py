@@ -7,6 +7,8 @@ with very many names is spread over many rows and no row grows without bound.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,73 +45,78 @@ def ct_names(entries: DataFrame, max_entries: int | None = None) -> DataFrame:
     return names.filter((F.length("name") > 3) & ~F.contains("name", F.lit(" "))).distinct()
 
 
-def ct_names_in_root(feed: DataFrame) -> DataFrame:
-    """Certificate feed of a root: payload is newline-separated names."""
-    names = F.transform(F.split(F.lower("payload"), "\n"), lambda n: strip_wildcard(strip(n)))
-    return _emit(feed, names)
+# A payload's names by shape, as an array; columns ``payload`` and ``root``.
+
 
+def _ct() -> Column:
+    return F.transform(F.split(F.lower("payload"), "\n"), lambda n: strip_wildcard(strip(n)))
 
-def object_names(feed: DataFrame, schema: str, path: str, field: str) -> DataFrame:
-    """Array of objects with a name field, e.g. ``passive_dns[].hostname``."""
+
+def _objects(schema: str, path: str, field: str) -> Column:
     items = _json(schema)
     for part in path.split("."):
         items = items[part]
-    return _emit(feed, _clean(F.transform(items, lambda o: o[field])))
+    return _clean(F.transform(items, lambda o: o[field]))
 
 
-def nested_names(feed: DataFrame) -> DataFrame:
-    """Arrays inside an array: ``result.hits[]["parsed.names"][]``."""
+def _nested() -> Column:
     hits = _json("result struct<hits:array<struct<`parsed.names`:array<string>>>>")["result"]["hits"]
     names = F.flatten(F.filter(F.transform(hits, lambda h: h["parsed.names"]), lambda a: a.isNotNull()))
-    return _emit(feed, F.transform(_clean(names), strip_wildcard))
+    return F.transform(_clean(names), strip_wildcard)
 
 
-def plain_names(feed: DataFrame, field: str) -> DataFrame:
-    """Array of plain names: ``subdomains[]`` or ``events[]``."""
-    return _emit(feed, _clean(_json(f"{field} array<string>")[field]))
+def _plain(field: str) -> Column:
+    return _clean(_json(f"{field} array<string>")[field])
 
 
-def relative_labels(feed: DataFrame) -> DataFrame:
-    """Array of labels relative to the root; no suffix check is needed."""
-    labels = _json("subdomains array<string>")["subdomains"]
-    names = F.transform(labels, lambda x: F.lower(F.concat(x, F.lit("."), F.col("root"))))
-    return _emit(feed, names, check_root=False)
+def _labels() -> Column:
+    return F.transform(_json("subdomains array<string>")["subdomains"], lambda x: F.lower(F.concat(x, F.lit("."), F.col("root"))))
 
 
-def csv_lines(feed: DataFrame) -> DataFrame:
-    """Lines of ``host,ip``."""
-    return _emit(feed, _clean(F.transform(F.split("payload", _LINES), lambda x: F.get(F.split(x, ","), F.lit(0)))))
+def _csv_lines() -> Column:
+    return _clean(F.transform(F.split("payload", _LINES), lambda x: F.get(F.split(x, ","), F.lit(0))))
 
 
-def csv_in_json(feed: DataFrame) -> DataFrame:
-    """CSV strings inside ``Results[]``; every field is tested."""
-    rows = _json("Results array<string>")["Results"]
-    return _emit(feed, _clean(F.flatten(F.transform(rows, lambda r: F.split(r, ",")))))
+def _csv_in_json() -> Column:
+    return _clean(F.flatten(F.transform(_json("Results array<string>")["Results"], lambda r: F.split(r, ","))))
 
 
-def html_cells(feed: DataFrame) -> DataFrame:
-    """Table cells of an HTML page that hold a name below the root."""
+def _html_cells() -> Column:
     cells = F.regexp_extract_all("payload", F.lit(r"<td>([a-zA-Z0-9._-]+)</td>"), F.lit(1))
-    below = F.filter(cells, lambda n: F.endswith(n, F.concat(F.lit("."), F.col("root"))))
-    return _emit(feed, _clean(below))
-
-
-SHAPES = {
-    "ct": ct_names_in_root,
-    "passive_dns": lambda f: object_names(f, "passive_dns array<struct<hostname:string>>", "passive_dns", "hostname"),
-    "list_name": lambda f: object_names(f, "list array<struct<name:string>>", "list", "name"),
-    "data_id": lambda f: object_names(f, "data array<struct<id:string>>", "data", "id"),
-    "records_domain": lambda f: object_names(
-        f, "result struct<records:array<struct<domain:string>>>", "result.records", "domain"
-    ),
-    "nested_names": nested_names,
-    "plain_names": lambda f: plain_names(f, "subdomains"),
-    "events": lambda f: plain_names(f, "events"),
-    "labels": relative_labels,
-    "csv_lines": csv_lines,
-    "csv_in_json": csv_in_json,
-    "html_cells": html_cells,
+    return _clean(F.filter(cells, lambda n: F.endswith(n, F.concat(F.lit("."), F.col("root")))))
+
+
+NAMES = {
+    # newline-separated names of certificates
+    "ct": _ct,
+    # arrays of objects with a name field, e.g. passive_dns[].hostname
+    "passive_dns": lambda: _objects("passive_dns array<struct<hostname:string>>", "passive_dns", "hostname"),
+    "list_name": lambda: _objects("list array<struct<name:string>>", "list", "name"),
+    "data_id": lambda: _objects("data array<struct<id:string>>", "data", "id"),
+    "records_domain": lambda: _objects("result struct<records:array<struct<domain:string>>>", "result.records", "domain"),
+    # arrays inside an array: result.hits[]["parsed.names"][]
+    "nested_names": _nested,
+    # arrays of plain names: subdomains[] or events[]
+    "plain_names": lambda: _plain("subdomains"),
+    "events": lambda: _plain("events"),
+    # labels relative to the root, which need no suffix check
+    "labels": _labels,
+    # lines of host,ip
+    "csv_lines": _csv_lines,
+    # CSV strings inside Results[]; every field is tested
+    "csv_in_json": _csv_in_json,
+    # table cells of an HTML page that hold a name below the root
+    "html_cells": _html_cells,
 }
+RELATIVE = ("labels",)
+
+
+def feed_names(feed: DataFrame, shape: str) -> DataFrame:
+    """``(source, root, name)`` of payloads that all have one shape."""
+    return _emit(feed, NAMES[shape](), check_root=shape not in RELATIVE)
+
+
+SHAPES = {shape: partial(feed_names, shape=shape) for shape in NAMES}
 
 
 def feed_config(spark: SparkSession, configured: tuple[str, ...] = ()) -> DataFrame:
@@ -124,15 +131,22 @@ def available_feeds(feeds: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def parse_feeds(feeds: DataFrame, configured: tuple[str, ...] = ()) -> DataFrame:
-    """All available feeds as ``(source, root, name)``."""
-    out = None
-    for shape, parser in SHAPES.items():
-        sources = [n for n, s, key in FEEDS if s == shape and (not key or n in configured)]
-        if not sources:
-            continue
-        part = parser(feeds.filter(F.col("source").isin(*sources)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All available feeds as ``(source, root, name)``.
+
+    One pass over the payloads: a row's source says its shape, and only that shape's parser runs on it.
+    """
+    shape_of = {name: shape for name, shape, key in FEEDS if not key or name in configured}
+    source, names = F.col("source"), None
+    for shape, column in NAMES.items():
+        sources = [n for n, s in shape_of.items() if s == shape]
+        if sources:
+            case = F.when if names is None else names.when
+            names = case(source.isin(*sources), column())
+    if names is None:
+        return feeds.select("source", "root", F.lit(None).cast("string").alias("name")).limit(0)
+    relative = [n for n, s in shape_of.items() if s in RELATIVE]
+    rows = _emit(feeds.filter(source.isin(*shape_of)), names, check_root=False)
+    return rows.filter(source.isin(*relative) | in_root(F.col("name"), F.col("root")))
 
 
 def seed_fallback(spark: SparkSession, roots: DataFrame, tlds: tuple[str, ...]) -> DataFrame:
