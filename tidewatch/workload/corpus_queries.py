@@ -642,14 +642,14 @@ def names_resolving(spark, sf):
 
 @query(
     "candidate_names",
-    """WITH w AS (SELECT DISTINCT split_part(domain, '.', 1) AS word FROM sites WHERE page_id % 2 = 0), r AS (SELECT DISTINCT host || CASE WHEN page_id % 5 = 1 THEN '.co.in' ELSE '' END AS root FROM sites)
+    """WITH w AS (SELECT DISTINCT split_part(domain, '.', 1) AS word FROM sites), r AS (SELECT DISTINCT host || CASE WHEN page_id % 5 = 1 THEN '.co.in' ELSE '' END AS root FROM sites)
        SELECT r.root, w.word || '.' || r.root AS name FROM w, r WHERE w.word || '.' || r.root IN (SELECT name FROM resolutions)""",
     "sites",
     "resolutions",
 )
 def candidate_names(spark, sf):
     sites = I.sites(spark, sf)
-    words = sites.filter("page_id % 2 = 0").selectExpr("substring_index(domain, '.', 1) AS word").distinct()
+    words = sites.selectExpr("substring_index(domain, '.', 1) AS word").distinct()
     roots = sites.selectExpr("concat(host, CASE WHEN page_id % 5 = 1 THEN '.co.in' ELSE '' END) AS root").distinct()
     return names.candidate_names(words, roots, I.resolutions(spark, sf))
 
@@ -667,12 +667,20 @@ def seed_fallback(spark, sf):
     return feeds.seed_fallback(spark, roots, rules.COUNTRY_TLDS)
 
 
+def _roots(spark, sf):
+    sites = I.sites(spark, sf)
+    return sites.select(text.tld_class(F.col("domain"), rules.OTHER_TLDS).alias("tld"), F.col("domain").alias("name")).distinct()
+
+
 @query(
     "limited_roots",
     f"""SELECT tld, name FROM (SELECT tld, name, row_number() OVER (PARTITION BY tld ORDER BY name) AS rn FROM (SELECT DISTINCT {_tld_sql('domain')} AS tld, domain AS name FROM sites)) WHERE rn <= 50""",
     "sites",
 )
 def limited_roots(spark, sf):
-    sites = I.sites(spark, sf)
-    roots = sites.select(text.tld_class(F.col("domain"), rules.OTHER_TLDS).alias("tld"), F.col("domain").alias("name")).distinct()
-    return plan.limit_roots(roots, 50)
+    return plan.limit_roots(_roots(spark, sf), 50)
+
+
+@query("all_roots", f"SELECT DISTINCT {_tld_sql('domain')} AS tld, domain AS name FROM sites", "sites")
+def all_roots(spark, sf):
+    return plan.limit_roots(_roots(spark, sf))

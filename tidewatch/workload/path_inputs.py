@@ -1,8 +1,10 @@
 """Captures at rule paths, derived from the documents.
 
-Each document becomes one capture: its number picks a rule path and a body
-form. A form is a planted head, with or without the whole document text behind
-it, so that every branch of every validator occurs.
+Each document's number picks a rule path and a body form: a planted head with the
+whole document text behind it, so that every branch of every validator occurs.
+Some branches need a body that is only the head (very short, or a bare hash). Such
+a form gives two captures: the head alone, and under a domain of its own the head
+with the whole text, inside a string field if the head is a JSON object.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ HTML = "<!DOCTYPE html><html><head></head><body>page</body></html>"
 _HEX = "0123456789abcdef0123456789abcdef01234567"
 _KEY = "PRIVATE KEY"
 
-# validator → (head, whole text appended)
+# validator → (head, True: text behind it; False: the head alone and a second capture with the text)
 FORMS: dict[str, tuple[tuple[str, bool], ...]] = {
     "env": (
         ("APP=1\nDB_PASSWORD=hunter2\n", True),
@@ -163,35 +165,52 @@ NOISE = (
 )
 
 
-def combinations(validator: str | None = None, noise: bool = False) -> list[tuple[int, str, str, str, str, bool]]:
-    """``(number, path, entity, validator, head, appended)`` of every rule and form."""
+def combinations(validator: str | None = None, noise: bool = False) -> list[tuple[int, str, str, str, str, str]]:
+    """``(number, path, entity, validator, head, place of the text)`` of every rule and form.
+
+    The text's place is ``behind`` the head, in a ``field`` of the JSON object, or ``none``.
+    """
     chosen = [r for r in PATH_RULES if validator in (None, r.validator)]
     deepest = max(len(f) for f in FORMS.values()) if not noise else len(NOISE)
-    rows = []
+    rows, number = [], 0
     for i in range(deepest):
         for r in chosen:
             forms = NOISE if noise else FORMS[r.validator]
-            if i < len(forms):
-                rows.append((len(rows), r.path, r.entity, r.validator, *forms[i]))
+            if i >= len(forms):
+                continue
+            head, whole = forms[i]
+            with_text = "field" if head.startswith("{") and head.endswith("}") else "behind"
+            rows += [(number, r.path, r.entity, r.validator, head, p) for p in ([with_text] if whole else ["none", with_text])]
+            number += 1
     return rows
 
 
 _STATUS = "CASE WHEN doc_id % 23 = 5 THEN 404 ELSE 200 END"
 _TYPE = "CASE WHEN head LIKE '<%' THEN 'text/html' ELSE 'text/plain' END"
+# Captures that only repeat a bare head with the text stand under domains of their own.
+_SITE = "CASE WHEN again THEN 'whole' ELSE 'site' END"
+
+
+def _numbered(validator: str | None, noise: bool) -> tuple[list[tuple], int]:
+    """Forms with a mark on each second capture of a number; and how many numbers there are."""
+    rows = combinations(validator, noise)
+    bare = {r[0] for r in rows if r[5] == "none"}
+    return [(*r, r[5] != "none" and r[0] in bare) for r in rows], rows[-1][0] + 1
 
 
 def path_captures(spark: SparkSession, sf_dir: str, validator: str | None = None, noise: bool = False) -> DataFrame:
     """``doc_id, domain, url, path, entity, validator, status, content_type, body, body_bytes``."""
-    rows = combinations(validator, noise)
+    rows, numbers = _numbered(validator, noise)
     forms = spark.createDataFrame(
-        rows, "number bigint, path string, entity string, validator string, head string, appended boolean"
+        rows, "number bigint, path string, entity string, validator string, head string, place string, again boolean"
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % len(rows)).alias("number"))
-    body = "CASE WHEN appended THEN concat(head, text) ELSE head END"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % numbers).alias("number"))
+    field = "concat(substring(head, 1, length(head) - 1), ', ', substring(to_json(named_struct('text', text)), 2))"
+    body = f"CASE place WHEN 'none' THEN head WHEN 'behind' THEN concat(head, text) ELSE if(text IS NULL, NULL, {field}) END"
     return docs.join(F.broadcast(forms), "number").selectExpr(
         "doc_id",
-        "concat('site', doc_id % 50, '.example') AS domain",
-        "concat('https://site', doc_id % 50, '.example', path) AS url",
+        f"concat({_SITE}, doc_id % 50, '.example') AS domain",
+        f"concat('https://', {_SITE}, doc_id % 50, '.example', path) AS url",
         "path",
         "entity",
         "validator",
@@ -208,9 +227,10 @@ def path_captures_sql(validator: str | None = None, noise: bool = False) -> str:
     def lit(x: str) -> str:
         return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
 
-    rows = combinations(validator, noise)
-    values = ", ".join(f"({n}, {lit(p)}, {lit(e)}, {lit(v)}, {lit(h)}, {str(a).lower()})" for n, p, e, v, h, a in rows)
-    body = "CASE WHEN appended THEN head || text ELSE head END"
-    return f"""SELECT doc_id, 'site' || (doc_id % 50) || '.example' AS domain, 'https://site' || (doc_id % 50) || '.example' || path AS url, path, entity, validator,
+    rows, numbers = _numbered(validator, noise)
+    values = ", ".join(f"({n}, {lit(p)}, {lit(e)}, {lit(v)}, {lit(h)}, {lit(w)}, {str(a).lower()})" for n, p, e, v, h, w, a in rows)
+    field = "substr(head, 1, length(head) - 1) || ', ' || substr(CAST(json_object('text', text) AS VARCHAR), 2)"
+    body = f"CASE place WHEN 'none' THEN head WHEN 'behind' THEN head || text ELSE CASE WHEN text IS NOT NULL THEN {field} END END"
+    return f"""SELECT doc_id, {_SITE} || (doc_id % 50) || '.example' AS domain, 'https://' || {_SITE} || (doc_id % 50) || '.example' || path AS url, path, entity, validator,
         {_STATUS} AS status, {_TYPE} AS content_type, {body} AS body, lower({body}) AS cl, regexp_replace({body}, '^\\s+|\\s+$', '', 'g') AS st
-        FROM documents JOIN (VALUES {values}) f(number, path, entity, validator, head, appended) ON doc_id % {len(rows)} = number"""
+        FROM documents JOIN (VALUES {values}) f(number, path, entity, validator, head, place, again) ON doc_id % {numbers} = number"""
