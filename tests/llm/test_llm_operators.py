@@ -362,6 +362,57 @@ def test_language_model(spark, empty):
     assert {r.lang_pred for r in langid.predict(table, none).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the cat and the dog number {i} went over the hill", "en") for i in range(6000)]
+    rows += [(9000 + i, f"le chat noir et le chien {i} sont dans la maison bleue", "fr") for i in range(2)]
+    rows += [(9100, "", "xx"), (9101, None, "yy"), (9000, "le chat noir et le chien 0 sont dans la maison bleue", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, sample=300, steps=120)
+    assert model.languages == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table.filter("doc_id < 100 OR doc_id >= 9000"), model).collect()}
+    assert got[9000] == got[9001] == "fr" and {got[i] for i in range(100)} == {"en"}
+
+
+def test_training_windows_span_whole_texts(spark):
+    texts = [b"x", b"y" * 64, b"z" * 65, bytes(range(256)) * 40 + b"end"]
+    table = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "id int, bytes binary")
+    got = {r.id: [bytes(w) for w in r.w] for r in table.select("id", langid._spaced("bytes", 1024).alias("w")).collect()}
+    assert got[0] == [texts[0]] and got[1] == [texts[1]] and got[2] == [texts[2][:64], b"z"]
+    long = texts[3]
+    assert len(got[3]) == 16 and got[3][0] == long[:64] and got[3][-1] == long[-64:]
+    assert got[3] == [long[i * (len(long) - 64) // 15 :][:64] for i in range(16)]
+
+
+def test_network_equals_plain_forward_pass():
+    """Byte by byte in plain Python, over a text of more than one group of lanes."""
+    network = langid.ByteGRU(2, 3, seed=4)
+    rng = np.random.default_rng(6)
+    text = bytes(rng.integers(97, 123, 64 * 4096 + 70).astype(np.uint8))
+    p = {k: v.astype(float) for k, v in network.params.items()}
+    pooled = np.zeros(2)
+    for begin in [*range(0, 640, 64), *range(64 * 4095, len(text), 64)]:
+        window = text[begin : begin + 64].ljust(64, b" ")
+        both = {}
+        for way in "fb":
+            state, states = np.zeros(3), {}
+            for t in range(64) if way == "f" else reversed(range(64)):
+                given = p[f"in_{way}"][window[t]]
+                reset, update = np.split(np.clip(0.25 * (given[:6] + state @ p[f"gates_{way}"]) + 0.5, 0, 1), 2)
+                fresh = np.clip(given[6:] + (reset * state) @ p[f"new_{way}"], -1, 1)
+                state = states[t] = update * state + (1 - update) * fresh
+            both[way] = states
+        for t in range(min(64, len(text) - begin)):
+            power = np.exp(np.concatenate([both["f"][t], both["b"][t]]) @ p["out"] + p["out_bias"])
+            pooled += power / power.sum()
+    kept = text[:640] + text[64 * 4095 :]
+    (name, score), = langid.LanguageModel(["a", "b"], network).predict([kept])
+    assert name == "ab"[int(pooled.argmax())] and abs(score - pooled.max() / len(kept)) < 1e-4
+    whole, = langid.LanguageModel(["a", "b"], network).predict([text])
+    parts = [langid.LanguageModel(["a", "b"], network).predict([t])[0] for t in (text[: 64 * 4096], text[64 * 4096 :])]
+    share = sum((s if n == whole[0] else 1 - s) * len(t) for (n, s), t in zip(parts, (text[: 64 * 4096], text[64 * 4096 :]), strict=True))
+    assert abs(whole[1] - share / len(text)) < 1e-4
+
+
 def test_gradients_equal_differences():
     network = langid.ByteGRU(3, 4, seed=1)
     for k in network.params:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import by_batch, ready, texts_of
@@ -193,37 +193,58 @@ def train(
     text: str = "text",
     label: str = "lang",
 ) -> LanguageModel:
-    """Fit on the ``sample`` labelled rows that come first by a hash of ``key``, ``sample_bytes`` of each text.
+    """Fit on at most ``sample`` labelled rows, drawn by label, and windows from all over each of their texts.
 
-    These two bounds limit what reaches the driver. Rows with a null key, text or
-    label are not used. Without labelled rows the model knows no language.
+    Labels share the sample evenly: of each label the first rows by a hash of ``key`` are drawn, so that a rare language
+    is learned as well. With more than ``sample`` labels, the most frequent are learned. A text gives at most
+    ``sample_bytes`` bytes in windows at even distances, the first and the last among them, so that no part of long
+    texts is left out. These bounds limit what reaches the driver. Rows with a null key, text or label and texts without
+    a byte are not used. Without labelled rows the model knows no language.
     """
-    usable = labelled.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
-    ids = usable.select(F.col(key).alias("id"), F.xxhash64(key).alias("at")).orderBy("at", "id").limit(sample)
-    chosen = F.broadcast(ids.select("id").distinct())
-    rows = usable.join(chosen, usable[key] == chosen["id"], "left_semi").select(
-        F.col(key).alias("id"), F.substring(F.col(text).cast("binary"), 1, sample_bytes).alias("head"), F.col(label).alias("label")
-    )
-    drawn = sorted(map(tuple, rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()), key=repr)
-    languages = sorted({r[2] for r in drawn})
+    usable = labelled.filter(
+        F.col(label).isNotNull() & F.col(key).isNotNull() & (F.octet_length(F.col(text).cast("binary")) > 0)
+    ).select(F.col(key).alias("id"), F.col(text).cast("binary").alias("bytes"), F.col(label).alias("label"))
+    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(sample).collect()
+    languages = sorted(r["label"] for r in counts)
     if not languages:
         return LanguageModel([], None)
+    # Repeated rows of a key count once each; ties of the hash are broken by key and text.
+    first = Window.partitionBy("label").orderBy("at", "id", "text_hash")
+    ranked = usable.filter(F.col("label").isin(languages)).select(
+        "label", "id", F.xxhash64("id").alias("at"), F.xxhash64("bytes").alias("text_hash")
+    )
+    share = sample // len(languages)
+    drawn = ranked.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= share)
+    chosen = F.broadcast(drawn.groupBy("label", "id", "text_hash").agg(F.count("*").alias("times")))  # at most ``sample`` rows
+    rows = usable.withColumn("text_hash", F.xxhash64("bytes")).join(chosen, ["label", "id", "text_hash"])
+    one_each = rows.groupBy("label", "id", "text_hash").agg(F.first("times").alias("times"), F.min(_spaced("bytes", sample_bytes)).alias("windows"))
+    fetched = sorted(one_each.collect(), key=lambda r: (r["label"], str(r["id"]), r["text_hash"]))
     lanes, labels, real = [], [], []
-    for _, head, language in drawn:
-        if not head:
-            continue
-        part, length = byte_lanes(bytes(head))
-        lanes.append(part)
-        labels.append(np.full(part.shape[1], languages.index(language)))
-        real.append((np.arange(part.size) < length).reshape(part.shape[1], WINDOW).T)
-    if not lanes:
-        return LanguageModel([], None)
+    for r in fetched:
+        for piece in list(r["windows"]) * r["times"]:
+            part, length = byte_lanes(bytes(piece))
+            lanes.append(part)
+            labels.append(np.full(part.shape[1], languages.index(r["label"])))
+            real.append((np.arange(part.size) < length).reshape(part.shape[1], WINDOW).T)
     network = ByteGRU(len(languages), hidden, seed)
     arrays = np.concatenate(lanes, axis=1), np.concatenate(labels), np.concatenate(real, axis=1).astype(np.float32)
     network.fit(*arrays, steps=steps, batch=batch, rate=0.02, seed=seed)
     return LanguageModel(languages, network)
 
 
+def _spaced(name: str, most: int) -> Column:
+    """Windows of a non-empty binary column, at even distances from its first to its last byte, at most ``most`` bytes in all."""
+    count = max(1, most // WINDOW)
+    size = F.octet_length(name)
+    begins = F.when(size <= count * WINDOW, F.transform(F.sequence(F.lit(0), F.ceil(size / WINDOW) - 1), lambda i: i * WINDOW)).otherwise(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"),
+            lambda i: F.floor(i * (size - WINDOW) / max(1, count - 1)),
+        )
+    )
+    return F.transform(begins, lambda at: F.substring(F.col(name), (at + 1).cast("int"), F.lit(WINDOW)))
+
+
 def predict(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, lang_pred, score) of every row's whole text.
 
