@@ -204,17 +204,23 @@ def train(
     usable = labelled.filter(
         F.col(label).isNotNull() & F.col(key).isNotNull() & (F.octet_length(F.col(text).cast("binary")) > 0)
     ).select(F.col(key).alias("id"), F.col(text).cast("binary").alias("bytes"), F.col(label).alias("label"))
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(sample).collect()
-    languages = sorted(r["label"] for r in counts)
+    found = usable.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids"))
+    learned = found.orderBy(F.desc("n"), "label").limit(sample).collect()
+    languages = sorted(r["label"] for r in learned)
     if not languages:
         return LanguageModel([], None)
-    # Repeated rows of a key count once each; ties of the hash are broken by key and text.
+    share = sample // len(languages)
+    # The first hashes alone reach the window: about eight times a label's share, however many rows it has.
+    bounds = [(r["label"], min(2**63 - 1, -(2**63) + int((8 * share + 64) / max(1, r["ids"]) * 2**64))) for r in learned]
+    bound = labelled.sparkSession.createDataFrame(bounds, f"label {usable.schema['label'].dataType.simpleString()}, bound long")
+    # Rows that are equal in key and text are drawn like others; ties of the hash are broken by key and text.
     first = Window.partitionBy("label").orderBy("at", "id", "text_hash")
-    ranked = usable.filter(F.col("label").isin(languages)).select(
-        "label", "id", F.xxhash64("id").alias("at"), F.xxhash64("bytes").alias("text_hash")
+    ranked = usable.join(F.broadcast(bound), "label").withColumn("at", F.xxhash64("id")).filter("at <= bound")
+    drawn = (
+        ranked.select("label", "id", "at", F.xxhash64("bytes").alias("text_hash"))
+        .withColumn("place", F.row_number().over(first))
+        .filter(F.col("place") <= share)
     )
-    share = sample // len(languages)
-    drawn = ranked.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= share)
     chosen = F.broadcast(drawn.groupBy("label", "id", "text_hash").agg(F.count("*").alias("times")))  # at most ``sample`` rows
     rows = usable.withColumn("text_hash", F.xxhash64("bytes")).join(chosen, ["label", "id", "text_hash"])
     one_each = rows.groupBy("label", "id", "text_hash").agg(F.first("times").alias("times"), F.min(_spaced("bytes", sample_bytes)).alias("windows"))
