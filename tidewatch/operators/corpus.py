@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch import rules
 from tidewatch.functions.text import content_hash, contains_any, header_text, in_tlds
-from tidewatch.session import as_of_column, spread
+from tidewatch.session import as_of_column, handover, spread
+from tidewatch.sources.buckets import BucketTable
 
 # --------------------------------------------------------------------------
 # Country-origin score
@@ -335,6 +336,19 @@ def upsert_domains(existing: DataFrame, incoming: DataFrame, as_of: str | Column
     return both.select(*[value(n, kind) for n, kind in existing.dtypes], action.alias("action"))
 
 
+def upsert_buckets(table: BucketTable, version: int, incoming: DataFrame, as_of: str | Column) -> tuple[int, DataFrame]:
+    """``upsert_domains`` on an inventory in hash buckets of ``domain``: ``(new version, merged rows of the buckets read)``.
+
+    Buckets that the batch does not name are neither read nor written; of those it names, only those with a created or
+    updated row are written.
+    """
+    batch = handover(incoming, "bucket-incoming")
+    named = table.read(batch.sparkSession, version, table.touched(batch))
+    merged = handover(upsert_domains(named, batch, as_of), "bucket-merged")
+    changed = table.touched(merged.filter(F.col("action").isin("created", "updated")))
+    return table.rewrite(merged, version, changed), merged
+
+
 def delete_domains(
     domains: DataFrame, findings: DataFrame, jobs: DataFrame, disclosures: DataFrame, doomed: DataFrame
 ) -> dict[str, DataFrame]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import sla_due
 from tidewatch.schemas import CONFIDENCE, ENTITY_TYPES, SEVERITIES, is_open
-from tidewatch.session import as_of_column
+from tidewatch.session import as_of_column, handover
+from tidewatch.sources.buckets import BucketTable
 from tidewatch.sources.ledger import finding_key
 
 DEDUP_KEY = ["domain_id", "url", "finding_type"]
@@ -112,6 +113,25 @@ def save_findings(
     return new_findings(against_ledger(dedup_in_run(valid), findings), as_of), bad
 
 
+def save_to_buckets(
+    candidates: DataFrame, table: BucketTable, version: int, as_of: str, domains: DataFrame | None = None
+) -> tuple[int, DataFrame, DataFrame]:
+    """``save_findings`` against a ledger in hash buckets of the dedup key: ``(new version, appended rows, quarantined rows)``.
+
+    Only the buckets that candidates fall into are read, and only those with new findings get a new part.
+    """
+    valid, bad = split_valid(handover(candidates, "bucket-candidates"))
+    if domains is not None:
+        valid, orphans = split_known(valid, domains)
+        bad = bad.unionByName(orphans)
+    best = handover(dedup_in_run(valid), "bucket-best")
+    known = table.read(best.sparkSession, version, table.touched(best))
+    rows = handover(new_findings(against_ledger(best, known), as_of), "bucket-findings")
+    given = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None) for f in table.schema}
+    placed = rows.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in table.schema])
+    return table.append(placed, version), rows, bad
+
+
 def audit(
     df: DataFrame, event_type: str, actor: str | Column, target_type: str, target_id: str, as_of: str, **details: Column
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import rules
 from tidewatch.functions.text import merge_notes
 from tidewatch.schemas import is_open, is_risk_open
-from tidewatch.session import as_of_column
+from tidewatch.session import as_of_column, look_up
 from tidewatch.sources.lookups import breach_counts, host_vulnerabilities
 
 
@@ -106,7 +106,7 @@ def breach_evidence(domains: DataFrame, breaches: DataFrame, host_vulns: DataFra
         .agg(F.max("vuln_count").alias("vuln_count"))
         .filter(F.col("vuln_count") > 0)
     )
-    found = active.join(leaks, "domain", "left").join(vulns, "ip_address", "left")
+    found = look_up(active, vulns, "ip_address").join(leaks, "domain", "left")
     missing = F.lit("?")
     return found.filter(F.col("breach_count").isNotNull() | F.col("vuln_count").isNotNull()).select(
         "domain_id",

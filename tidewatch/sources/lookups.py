@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.rules import HOME_COUNTRY
+from tidewatch.session import look_up
 
 
 def resolve(names: DataFrame, resolutions: DataFrame, name: str = "name") -> DataFrame:
@@ -15,13 +16,13 @@ def resolve(names: DataFrame, resolutions: DataFrame, name: str = "name") -> Dat
 
 
 def home_asn(df: DataFrame, ip_geo: DataFrame) -> DataFrame:
-    """Add ``asn`` of the row's ip if the ip lies in the home country."""
+    """Add ``asn`` of the row's ip if the ip lies in the home country; null and hot ips go round the shuffle by ip."""
     lookup = (
         ip_geo.filter(F.col("country") == HOME_COUNTRY)
         .groupBy("ip")
         .agg(F.min(F.coalesce("asn", F.lit(""))).alias("asn"))
     )
-    return df.join(lookup, "ip", "left")
+    return look_up(df, lookup, "ip")
 
 
 def breach_counts(breaches: DataFrame) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch import rules
 from tidewatch.functions import text
 from tidewatch.operators import corpus, names
 from tidewatch.plans import refresh as plan
-from tidewatch.session import handover, spread
+from tidewatch.session import checkpoint_root, handover, spread
 from tidewatch.sources import captures as capture_source
 from tidewatch.sources import feeds, lookups
+from tidewatch.sources.buckets import BucketTable
 from tidewatch.workload import inputs as I
 from tidewatch.workload.inputs import AS_OF
 from tidewatch.workload.inputs_sql import with_ctes
@@ -416,12 +419,27 @@ _INCOMING = """SELECT domain, '.co.in' AS tld, CAST(page_id * 7 % 101 AS INTEGER
 
 @query("corpus_upsert", f"WITH {_upsert_sql(_INCOMING, 'CT_LOG')} {_UP_OUT}", "sites", "inventory")
 def corpus_upsert(spark, sf):
-    incoming = I.sites(spark, sf).selectExpr(
+    return _up_out(corpus.upsert_domains(I.inventory(spark, sf), _incoming(spark, sf), AS_OF))
+
+
+def _incoming(spark, sf):
+    return I.sites(spark, sf).selectExpr(
         "domain", "'.co.in' AS tld", "CAST(page_id * 7 % 101 AS INT) AS iocs_score", "ip AS ip_address", "'CT_LOG' AS discovered_via",
         "'FINANCE' AS sector", "CASE WHEN page_id % 4 = 3 THEN 'Drupal 10' END AS vendor_fingerprint",
         "CASE WHEN page_id % 8 <> 1 THEN sha2(html, 256) END AS baseline_hash",
     )
-    return _up_out(corpus.upsert_domains(I.inventory(spark, sf), incoming, AS_OF))
+
+
+@query("bucketed_upsert", f"WITH {_upsert_sql(_INCOMING, 'CT_LOG')} SELECT * EXCLUDE (action) FROM ({_UP_OUT})", "sites", "inventory")
+def bucketed_upsert(spark, sf):
+    """The inventory in hash buckets after the upsert, read back; a second upsert of the same rows changes nothing."""
+    before = I.inventory(spark, sf)
+    inventory = BucketTable(f"{checkpoint_root(spark)}/inventory-{uuid.uuid4().hex}", before.schema, ("domain",), 32)
+    inventory.create(before)
+    version = 0
+    for _ in range(2):
+        version, _merged = corpus.upsert_buckets(inventory, version, _incoming(spark, sf), AS_OF)
+    return _up_out(inventory.read(spark, version).withColumn("action", F.lit(""))).drop("action")
 
 
 @query(

@@ -16,6 +16,7 @@ from tidewatch.plans import journal, reports, workflow
 from tidewatch.schemas import CONFIDENCE, is_open, is_risk_open
 from tidewatch.session import as_of_column, checkpoint_root, handover
 from tidewatch.sources import lookups
+from tidewatch.sources.buckets import BucketTable
 from tidewatch.streaming.detect import arriving, batch_folder
 from tidewatch.streaming.ledger_state import append_available, record_closed
 from tidewatch.workload import inputs as I
@@ -1140,6 +1141,19 @@ def finding_dedup(spark, sf):
     return rows.select("finding_id", "domain_id", "url", "finding_type", F.col("final_confidence").alias("confidence"), "entity_type")
 
 
+@query("bucketed_findings", QUERIES["finding_dedup"][1])
+def bucketed_findings(spark, sf):
+    """The candidates saved to a ledger in hash buckets, and saved again, which adds nothing."""
+    ledger = I.findings(spark, sf).withColumn("finding_id", F.col("finding_id").cast("string"))
+    table = BucketTable(f"{checkpoint_root(spark)}/ledger-{uuid.uuid4().hex}", ledger.schema, tuple(saving.DEDUP_KEY), 32)
+    table.create(ledger)
+    version = 0
+    for _ in range(2):
+        version, _rows, _bad = saving.save_to_buckets(_candidates(spark, sf), table, version, AS_OF)
+    new = table.read(spark, version).join(ledger.select("finding_id"), "finding_id", "left_anti")
+    return new.select("finding_id", "domain_id", "url", "finding_type", F.col("final_confidence").alias("confidence"), "entity_type")
+
+
 def _arrivals(spark, sf):
     """The candidates in three arrivals; keys come back in later ones, the new urls twice."""
     rows = I.findings(spark, sf)
