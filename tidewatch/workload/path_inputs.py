@@ -3,7 +3,7 @@
 Each document's number picks a rule path and a body form: a planted head with the
 whole document text behind it, so that every branch of every validator occurs.
 Some branches need a body that is only the head (very short, or a bare hash). Such
-a form gives two captures: the head alone, and under a domain of its own the head
+a form gives two captures: the head alone, and under one of fifty further domains the head
 with the whole text, inside a string field if the head is a JSON object.
 """
 
@@ -187,8 +187,8 @@ def combinations(validator: str | None = None, noise: bool = False) -> list[tupl
 
 _STATUS = "CASE WHEN doc_id % 23 = 5 THEN 404 ELSE 200 END"
 _TYPE = "CASE WHEN head LIKE '<%' THEN 'text/html' ELSE 'text/plain' END"
-# Captures that only repeat a bare head with the text stand under domains of their own.
-_SITE = "CASE WHEN again THEN 'whole' ELSE 'site' END"
+# Second captures of bare heads, with the text, stand under fifty domains of their own.
+_SITE = "CASE WHEN again THEN doc_id % 50 + 50 ELSE doc_id % 50 END"
 
 
 def _numbered(validator: str | None, noise: bool) -> tuple[list[tuple], int]:
@@ -209,8 +209,8 @@ def path_captures(spark: SparkSession, sf_dir: str, validator: str | None = None
     body = f"CASE place WHEN 'none' THEN head WHEN 'behind' THEN concat(head, text) ELSE if(text IS NULL, NULL, {field}) END"
     return docs.join(F.broadcast(forms), "number").selectExpr(
         "doc_id",
-        f"concat({_SITE}, doc_id % 50, '.example') AS domain",
-        f"concat('https://', {_SITE}, doc_id % 50, '.example', path) AS url",
+        f"concat('site', {_SITE}, '.example') AS domain",
+        f"concat('https://site', {_SITE}, '.example', path) AS url",
         "path",
         "entity",
         "validator",
@@ -231,6 +231,6 @@ def path_captures_sql(validator: str | None = None, noise: bool = False) -> str:
     values = ", ".join(f"({n}, {lit(p)}, {lit(e)}, {lit(v)}, {lit(h)}, {lit(w)}, {str(a).lower()})" for n, p, e, v, h, w, a in rows)
     field = "substr(head, 1, length(head) - 1) || ', ' || substr(CAST(json_object('text', text) AS VARCHAR), 2)"
     body = f"CASE place WHEN 'none' THEN head WHEN 'behind' THEN head || text ELSE CASE WHEN text IS NOT NULL THEN {field} END END"
-    return f"""SELECT doc_id, {_SITE} || (doc_id % 50) || '.example' AS domain, 'https://' || {_SITE} || (doc_id % 50) || '.example' || path AS url, path, entity, validator,
+    return f"""SELECT doc_id, 'site' || ({_SITE}) || '.example' AS domain, 'https://site' || ({_SITE}) || '.example' || path AS url, path, entity, validator,
         {_STATUS} AS status, {_TYPE} AS content_type, {body} AS body, lower({body}) AS cl, regexp_replace({body}, '^\\s+|\\s+$', '', 'g') AS st
         FROM documents JOIN (VALUES {values}) f(number, path, entity, validator, head, place, again) ON doc_id % {numbers} = number"""

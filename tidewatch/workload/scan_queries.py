@@ -21,7 +21,7 @@ _KINDS = (*[f"'{r.name}_IN_CONTENT'" for r in DEFAULT_RULES], "'PAN_IN_CONTENT'"
 
 
 def _captures(spark, sf):
-    """Home pages with planted values, some not reachable, and answers at every rule path of the first fifty sites."""
+    """Home pages with planted values, some not reachable, and answers at every rule path of the first hundred sites."""
     pages = I.augmented_pages(spark, sf).selectExpr(
         "concat('site', page_id, '.example') AS domain",
         "concat('https://site', page_id, '.example/') AS url",
