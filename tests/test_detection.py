@@ -1,14 +1,16 @@
 """Content rules, validators and known differences, on small fixtures."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import rules
 from tidewatch.operators import corpus, path_scan
+from tidewatch.operators import findings as saving
 from tidewatch.operators.content_scan import ALL_RULES, DEFAULT_RULES, scan_content
-from tidewatch.functions import text
+from tidewatch.functions import masking, text
 from tidewatch.plans.scan import scan_candidates
 
 NUMBER = "2341 2341 " + "2346"
@@ -247,3 +249,42 @@ def test_sector_words_have_borders(spark, domain, page, strict, loose):
     df = spark.createDataFrame([(domain, page)], "d string, p string")
     row = df.select(corpus.infer_sector(F.col("d"), F.col("p")), corpus.infer_sector(F.col("d"), F.col("p"), strict=False)).first()
     assert tuple(row) == (strict, loose)
+
+
+def test_numbers_in_any_script_are_found_masked_and_hashed_alike(spark):
+    plain = "driving MH12 2011 0062821 abha 91-1234-5678-9012 aadhaar 234123412346 mobile 9876543210"
+    rows = [(1, plain), (2, plain.translate({ord("0"): "०", ord("1"): "१", ord("2"): "2", ord("5"): "৫"}))]
+    assert rows[0] != rows[1]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    hits = scan_content(docs, "text", key="doc_id", salt="s", with_context=True).collect()
+    hashes = {(h.doc_id, h.rule): h.value_hash for h in hits}
+    assert {r for _, r in hashes} == {"DRIVING_LICENSE", "ABHA_ID", "AADHAAR", "INDIAN_PHONE"}
+    assert all(hashes[1, r] == hashes[2, r] for _, r in hashes)
+    assert not any(any(unicodedata.category(c) == "Nd" for c in h.context) for h in hits)
+
+
+def test_shown_urls_hold_no_secrets(spark):
+    rows = [
+        ("https://a.in/x?token=abc&mail=me@b.in", "https://a.in/x?[REDACTED QUERY]"),
+        ("https://user:pass@a.in/x#part", "https://a.in/x?[REDACTED QUERY]"),
+        ("https://a.in/me@b.in/y", "https://a.in/[REDACTED EMAIL]/y"),
+        ("https://a.in/x?", "https://a.in/x?"),
+        ("a.in/x@y", "a.in/x@y"),
+        ("", ""),
+        (None, None),
+    ]
+    shown = spark.createDataFrame(rows, "url string, want string").select("want", masking.display_url(F.col("url")).alias("got"))
+    assert [r.got for r in shown.collect()] == [want for _, want in rows]
+
+
+def test_findings_keep_the_url_as_key_and_show_it_masked(spark):
+    url = "https://a.in/.git/config?token=hunter2"
+    captures = spark.createDataFrame(
+        [("a.in", url, "/.git/config", 200, "text/plain", "[core]\nrepositoryformatversion = 0\n" + "x" * 40, 70)],
+        "domain string, url string, path string, status int, content_type string, body string, body_bytes bigint",
+    )
+    found = path_scan.scan_paths(captures)
+    row = found.first()
+    assert row.url == url and "hunter2" not in row.context_snippet_safe
+    rows, _ = saving.save_findings(found.withColumn("domain_id", F.lit("1")), spark.createDataFrame([], "domain_id string, url string, finding_type string, status string"), "2026-01-01 00:00:00")
+    assert rows.first().url == url and "hunter2" not in saving.audit_created(rows, "2026-01-01 00:00:00").first().details

@@ -39,8 +39,8 @@ def test_query_matches_sql(spark, duck, name):
     assert _rows(df.columns, df.collect()) == _rows(columns, result.fetchall())
 
 
-def test_every_query_has_sql_but_the_evidence_text():
-    assert set(QUERIES) - set(SQL) == {"evidence_cards"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_has_rows(spark):
@@ -49,7 +49,7 @@ def test_entry_has_rows(spark):
 
 def test_evidence_cards_hold_no_planted_value(spark):
     cards = QUERIES["evidence_cards"](spark, SF_DIR)
-    planted = ["2341 2341", "23412341", "DE1234F", "7654321", "0062821", "5678-9012", "K1234567", "ABCDEFGHIJKLMNOP",
+    planted = ["2341 2341", "23412341", "DE1234F", "7654321", "0062821", "1२34567", "5678-9012", "5678-901२", "K1234567", "ABCDEFGHIJKLMNOP",
                "abcdefghijklmnopqrstuvwx", "MIIB", "hunter2", "9876543210"]
     text = cards.select("context_snippet_safe").toPandas()["context_snippet_safe"]
     assert len(text) > 100

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import rules
 
+# The decimal digits of all other scripts, by their value.
+SCRIPT_DIGITS = {c: str(unicodedata.decimal(c)) for c in map(chr, range(128, 0x20000)) if unicodedata.category(c) == "Nd"}
+
 
 def _verhoeff_tables() -> tuple[list[int], list[int]]:
     """The two Verhoeff tables, flattened, from their group definition.
@@ -40,6 +45,11 @@ def strip_separators(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)[\s\-]", "")
 
 
+def ascii_digits(value: Column) -> Column:
+    """Digits of any script as 0 to 9, so that a number has one hash and one checksum however it is written."""
+    return F.translate(value, "".join(SCRIPT_DIGITS), "".join(SCRIPT_DIGITS.values()))
+
+
 def _digit_at(value: Column, index: Column) -> Column:
     return F.ascii(F.substring(value, index + 1, F.lit(1))) - F.lit(48)
 

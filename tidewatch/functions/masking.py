@@ -41,17 +41,26 @@ def mask_pattern(rule_name: str) -> str:
 def mask(text: Column) -> Column:
     """Replace whatever any rule's pattern matches, checksum or not.
 
-    Text without four digits in a row and without any rule's literal has
+    Text without four digits of any script in a row and without any rule's literal has
     nothing to mask and is passed through.
     """
     literals = list(dict.fromkeys(lit for r in _ALL.values() for lit in r.gate_contains))
-    suspect = text.rlike("[0-9]{4}") | contains_any(text, literals) | text.rlike(r"(?i)key|token|secret")
+    suspect = text.rlike(r"\p{Nd}{4}") | contains_any(text, literals) | text.rlike(r"(?i)key|token|secret")
     masked = text
     for name in _MASK_ORDER:
         masked = F.regexp_replace(masked, mask_pattern(name), marker(name))
     return F.when(suspect, masked).otherwise(text)
 
 
+def display_url(url: Column) -> Column:
+    """A url for people to read: without user and password, query and fragment as a marker, the rest masked.
+
+    Keys and ids are made of the url as it is; only text that is shown or logged holds this form. Null stays null.
+    """
+    shown = F.regexp_replace(url, r"^([^/?#]*//)[^/?#]*@", "$1")
+    return mask(F.regexp_replace(shown, r"(?s)[?#].+", "?[REDACTED QUERY]"))
+
+
 def masked_context(masked: Column, rule_name: str, window: int = 250) -> Column:
     """Window of already masked text around a rule's first marker.
 

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.checks import CHECKS, hash_value, strip_separators
-from tidewatch.functions.masking import mask, masked_context
+from tidewatch.functions.checks import CHECKS, ascii_digits, hash_value, strip_separators
+from tidewatch.functions.masking import display_url, mask, masked_context
 from tidewatch.functions.text import contains_any, strip, strip_noise
 from tidewatch.rules import CONTENT_RULES, OPTIONAL_CONTENT_RULES, ContentRule
 from tidewatch.schemas import CONFIDENCE
@@ -30,16 +30,16 @@ def _gate(raw: Column, rule: ContentRule) -> Column:
 
 
 def _row_gate(raw: Column, rules: Sequence[ContentRule]) -> Column:
-    """Condition that every rule's gate implies: four digits in a row or a literal."""
+    """Condition that every rule's gate implies: four digits of any script in a row or a literal."""
     literals = list(dict.fromkeys(lit for r in rules for lit in r.gate_contains))
     gate = F.lit(False)
     if any(r.gate_rlike for r in rules):
-        gate = gate | raw.rlike("[0-9]{4}")
+        gate = gate | raw.rlike(r"\p{Nd}{4}")
     return gate | contains_any(raw, literals) if literals else gate
 
 
 def _normalised(value: Column, rule: ContentRule) -> Column:
-    return strip_separators(value) if rule.digits else strip(value)
+    return ascii_digits(strip_separators(value)) if rule.digits else strip(value)
 
 
 def _matches(clean: Column, rule: ContentRule) -> Column:
@@ -139,9 +139,9 @@ def scan_content(
 
 
 def evidence_card(hits: DataFrame, url: str = "url") -> DataFrame:
-    """Add the evidence text of a content finding; needs ``with_context=True`` hits."""
+    """Add the evidence text of a content finding; needs ``with_context=True`` hits. The url is shown without its secrets."""
     card = F.struct(
-        "finding_type", F.col(url).alias("url"), F.col("value_count_estimate").alias("found"),
+        "finding_type", display_url(F.col(url)).alias("url"), F.col("value_count_estimate").alias("found"),
         F.col("has_keyword").alias("keyword_near"), "confidence", F.col("context").alias("masked_context"),
     )
     return hits.withColumn("context_snippet_safe", F.to_json(card)).drop("context")

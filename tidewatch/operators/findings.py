@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.masking import display_url
 from tidewatch.functions.text import sla_due
 from tidewatch.schemas import CONFIDENCE, ENTITY_TYPES, SEVERITIES, is_open
 from tidewatch.session import as_of_column, handover
@@ -168,6 +169,6 @@ def audit_run(counters: DataFrame, event_type: str, as_of: str, *, name: str, va
 def audit_created(rows: DataFrame, as_of: str) -> DataFrame:
     return audit(
         rows, "FINDING_CREATED", "SCANNER", "finding", "finding_id", as_of,
-        finding_type=F.col("finding_type"), severity=F.col("severity"), url=F.col("url"),
+        finding_type=F.col("finding_type"), severity=F.col("severity"), url=display_url(F.col("url")),
         entity_type=F.col("entity_type"), confidence=F.col("heuristic_confidence"),
     )

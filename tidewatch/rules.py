@@ -239,6 +239,13 @@ class PathRule:
 
 PATH_RULES = tuple(PathRule(*line.split()) for line in _PATH_RULES.strip().splitlines())
 
+# Lengths that the binary and DS_Store validators compare with, in characters. Markup in the first
+# BINARY_HEAD_CHARS shows that a page was sent instead of a dump; what follows in a dump may hold markup of its own.
+BINARY_HEAD_CHARS = 200
+HEAP_DUMP_CHARS = 1_000
+CORE_DUMP_CHARS = 10_000
+DS_STORE_CHARS = 100_000
+
 
 # --------------------------------------------------------------------------
 # Content rules (personal data and secrets)
@@ -273,7 +280,7 @@ CONTENT_RULES = (
         "AADHAAR",
         "AADHAAR",
         "CRITICAL",
-        r"(?U)(?<!\d)[2-9][0-9]{3}(?:[\s \-][0-9]{4}[\s \-][0-9]{4}|[0-9]{8})(?!\d)",
+        r"(?U)(?<!\d)[2-9]\d{3}(?:[\s \-]\d{4}[\s \-]\d{4}|\d{8})(?!\d)",
         keywords=(
             "aadhaar",
             "aadhar",
@@ -288,7 +295,7 @@ CONTENT_RULES = (
         check="verhoeff",
         require_keyword=True,
         digits=True,
-        gate_rlike="[2-9][0-9]{3}",
+        gate_rlike=r"[2-9]\p{Nd}{3}",
     ),
     ContentRule(
         "PAN",
@@ -311,19 +318,19 @@ CONTENT_RULES = (
         "DRIVING_LICENSE",
         "DRIVING_LICENSE",
         "HIGH",
-        r"(?U)\b[A-Z]{2}[0-9]{2}\s?[0-9]{4}\s?[0-9]{7}\b",
+        r"(?U)\b[A-Z]{2}\d{2}\s?\d{4}\s?\d{7}\b",
         keywords=("driving", "dl number", "license", "licence"),
         digits=True,
-        gate_rlike="[0-9]{7}",
+        gate_rlike=r"\p{Nd}{7}",
     ),
     ContentRule(
         "ABHA_ID",
         "ABHA_ID",
         "HIGH",
-        r"(?U)\b[0-9]{2}-[0-9]{4}-[0-9]{4}-[0-9]{4}\b",
+        r"(?U)\b\d{2}-\d{4}-\d{4}-\d{4}\b",
         keywords=("abha", "health id", "ndhm", "abdm", "ayushman"),
         digits=True,
-        gate_rlike="[0-9]{2}-[0-9]{4}-",
+        gate_rlike=r"\p{Nd}{2}-\p{Nd}{4}-",
     ),
     ContentRule(
         "INDIAN_PASSPORT",
@@ -367,11 +374,11 @@ CONTENT_RULES = (
         "INDIAN_PHONE",
         "PHONE_NUMBER",
         "LOW",
-        r"(?U)\b(?:\+91|0091|91)?[\s\-]?[6-9][0-9]{9}\b",
+        r"(?U)\b(?:\+91|0091|91)?[\s\-]?[6-9]\d{9}\b",
         keywords=("mobile", "phone", "contact", "helpline"),
         min_occurrences=15,
         digits=True,
-        gate_rlike="[6-9][0-9]{9}",
+        gate_rlike=r"[6-9]\p{Nd}{9}",
     ),
 )
 
@@ -431,7 +438,7 @@ OPTIONAL_CONTENT_RULES = (
 MASK_OVERRIDES = {
     "PRIVATE_KEY_BLOCK": r"(?s)-----BEGIN[A-Z ]*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END[A-Z ]*-----|\z)",
     "GENERIC_SECRET_FIELD": r'(?U)"(?:password|passwd|secret|api[_-]?key|access[_-]?token)"\s*:\s*"[^"\n]*"?',
-    "INDIAN_PHONE": r"(?U)(?:\+91|0091|91)?[\s\-]?[6-9][0-9]{9}(?!\d)",
+    "INDIAN_PHONE": r"(?U)(?:\+91|0091|91)?[\s\-]?[6-9]\d{9}(?!\d)",
     "GENERIC_API_KEY": r"(?Ui)\b(?:api[_-]?key|token|secret)\b\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{8,}",
 }
 

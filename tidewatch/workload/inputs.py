@@ -313,8 +313,8 @@ PLANTED = (
     "concat(' ', '2341', ' 2341 ', '2346', ' and ', '2341 2341', ' 2347 ')",
     "concat(' ABC', 'DE12', '34F ')",
     "concat(' ABC', '1234567', ' XYZ', '7654321 ')",
-    "concat(' MH', '12 2011', ' 0062821 ')",
-    "concat(' 91-', '1234-', '5678-', '9012 ')",
+    "concat(' MH', '12 2011', ' 0062821 ', ' KA', '05 20१९', ' 1२34567 ')",
+    "concat(' 91-', '1234-', '5678-', '9012 ', ' ८1-', '२२34-', '5678-', '901२ ')",
     "concat(' K', '1234567 ')",
     "concat(' AK', 'IA', 'ABCDEFGHIJKLMNOP ')",
     "concat(' sk_', 'live_', 'abcdefghijklmnopqrstuvwx ')",

@@ -199,8 +199,8 @@ _PLANTED = (
     "' ' || '2341' || ' 2341 ' || '2346' || ' and ' || '2341 2341' || ' 2347 '",
     "' ABC' || 'DE12' || '34F '",
     "' ABC' || '1234567' || ' XYZ' || '7654321 '",
-    "' MH' || '12 2011' || ' 0062821 '",
-    "' 91-' || '1234-' || '5678-' || '9012 '",
+    "' MH' || '12 2011' || ' 0062821 ' || ' KA' || '05 20१९' || ' 1२34567 '",
+    "' 91-' || '1234-' || '5678-' || '9012 ' || ' ८1-' || '२२34-' || '5678-' || '901२ '",
     "' K' || '1234567 '",
     "' AK' || 'IA' || 'ABCDEFGHIJKLMNOP '",
     "' sk_' || 'live_' || 'abcdefghijklmnopqrstuvwx '",

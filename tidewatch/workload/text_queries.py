@@ -81,10 +81,15 @@ def verhoeff_sql(x: str) -> str:
 _NO_SEP = r"regexp_replace(v, '[\s\x{00A0}-]', '', 'g')"
 
 
-def _matches_sql(pattern: str, group: int = 0, digits: bool = False, check: str | None = None) -> str:
-    found = f"regexp_extract_all(clean, '{pattern}', {group})"
+def digits_sql(x: str) -> str:
+    """Digits of any script as 0 to 9."""
+    return f"translate({x}, '{''.join(checks.SCRIPT_DIGITS)}', '{''.join(checks.SCRIPT_DIGITS.values())}')"
+
+
+def _matches_sql(pattern: str, group: int = 0, digits: bool = False, check: str | None = None, source: str = "clean") -> str:
+    found = f"regexp_extract_all({source}, '{pattern}', {group})"
     if digits:
-        found = f"list_transform({found}, lambda v: {_NO_SEP})"
+        found = f"list_transform({found}, lambda v: {digits_sql(_NO_SEP)})"
     else:
         found = f"list_transform({found}, lambda v: trim(v))"
     if check:
@@ -98,18 +103,18 @@ def _kw(*words: str) -> str:
 
 # rule: (entity, severity, matches, keyword test, minimum, requires keyword)
 _BASE = {
-    "AADHAAR": ("AADHAAR", "CRITICAL", _matches_sql(rf"(?:^|[^\p{{Nd}}])([2-9][0-9]{{3}}(?:[\s\x{{00A0}}-][0-9]{{4}}[\s\x{{00A0}}-][0-9]{{4}}|[0-9]{{8}}))(?:$|[^\p{{Nd}}])", 1, True, verhoeff_sql("x")),
+    "AADHAAR": ("AADHAAR", "CRITICAL", _matches_sql(rf"(?:^|[^\p{{Nd}}])([2-9]\p{{Nd}}{{3}}(?:[\s\x{{00A0}}-]\p{{Nd}}{{4}}[\s\x{{00A0}}-]\p{{Nd}}{{4}}|\p{{Nd}}{{8}}))(?:$|[^\p{{Nd}}])", 1, True, verhoeff_sql("x")),
                 _kw("aadhaar", "aadhar", "uid no", "uid:", "uidai", "unique identification", "enrolment no", "enrollment no", "आधार"), 1, True),
     "PAN": ("PAN", "CRITICAL", _matches_sql(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), _kw("pan", "permanent account", "income tax", "pan card"), 1, False),
     "VOTER_ID": ("VOTER_ID", "HIGH", _matches_sql(r"\b[A-Z]{3}[0-9]{7}\b"), _kw("voter", "election", "epic", "electoral", "booth"), 2, False),
-    "DRIVING_LICENSE": ("DRIVING_LICENSE", "HIGH", _matches_sql(r"\b[A-Z]{2}[0-9]{2}\s?[0-9]{4}\s?[0-9]{7}\b", digits=True), _kw("driving", "dl number", "license", "licence"), 1, False),
-    "ABHA_ID": ("ABHA_ID", "HIGH", _matches_sql(r"\b[0-9]{2}-[0-9]{4}-[0-9]{4}-[0-9]{4}\b", digits=True), _kw("abha", "health id", "ndhm", "abdm", "ayushman"), 1, False),
+    "DRIVING_LICENSE": ("DRIVING_LICENSE", "HIGH", _matches_sql(r"\b[A-Z]{2}[0-9]{2}\s?[0-9]{4}\s?[0-9]{7}\b", digits=True, source=digits_sql("clean")), _kw("driving", "dl number", "license", "licence"), 1, False),
+    "ABHA_ID": ("ABHA_ID", "HIGH", _matches_sql(r"\b[0-9]{2}-[0-9]{4}-[0-9]{4}-[0-9]{4}\b", digits=True, source=digits_sql("clean")), _kw("abha", "health id", "ndhm", "abdm", "ayushman"), 1, False),
     "INDIAN_PASSPORT": ("PASSPORT", "CRITICAL", _matches_sql(r"\b[A-PR-WYa-pr-wy][0-9]{7}\b"), _kw("passport", "travel", "immigration", "visa"), 1, False),
     "AWS_ACCESS_KEY": ("AWS_KEY", "CRITICAL", _matches_sql(r"\bAKIA[0-9A-Z]{16}\b"), _kw("aws", "access_key", "secret", "amazon"), 1, False),
     "STRIPE_LIVE_KEY": ("STRIPE_KEY", "CRITICAL", _matches_sql(r"\bsk_live_[0-9a-zA-Z]{24,}\b"), _kw("stripe", "payment"), 1, False),
     "PRIVATE_KEY_BLOCK": ("PRIVATE_KEY", "CRITICAL", _matches_sql(r"-----BEGIN (?:RSA|EC|OPENSSH|DSA)? ?PRIVATE KEY-----"), "false", 1, False),
     "GENERIC_SECRET_FIELD": ("SECRET_FIELD", "HIGH", _matches_sql(r'"(?:password|passwd|secret|api[_-]?key|access[_-]?token)"\s*:\s*".{6,}"'), "false", 1, False),
-    "INDIAN_PHONE": ("PHONE_NUMBER", "LOW", _matches_sql(r"\b(?:\+91|0091|91)?[\s-]?[6-9][0-9]{9}\b", digits=True), _kw("mobile", "phone", "contact", "helpline"), 15, False),
+    "INDIAN_PHONE": ("PHONE_NUMBER", "LOW", _matches_sql(r"\b(?:\+91|0091|91)?[\s-]?[6-9]\p{Nd}{9}\b", digits=True), _kw("mobile", "phone", "contact", "helpline"), 15, False),
 }
 _EXTRA = {
     "CREDIT_CARD": ("CREDIT_CARD", "CRITICAL", _matches_sql(r"\b[0-9]{4}(?:[\s-]?[0-9]{4}){3}\b", digits=True, check=luhn_sql("x")),
@@ -256,11 +261,11 @@ def rule_match_counts(spark, sf):
 # --------------------------------------------------------------------------
 
 
-@query("masking_residue", "SELECT rule, CAST(0 AS BIGINT) AS n_residue FROM (VALUES ('AADHAAR'), ('CREDIT_CARD'), ('EMAIL'), ('PAN'), ('AWS_ACCESS_KEY'), ('STRIPE_LIVE_KEY'), ('PRIVATE_KEY_BLOCK'), ('GENERIC_SECRET_FIELD'), ('INDIAN_PHONE')) r(rule)")
+@query("masking_residue", f"SELECT rule, CAST(0 AS BIGINT) AS n_residue FROM (VALUES {', '.join(f'({chr(39)}{r.name}{chr(39)})' for r in ALL_RULES)}) r(rule)")
 def masking_residue(spark, sf):
     """Values any rule still finds in masked text: none."""
-    names = ("AADHAAR", "CREDIT_CARD", "EMAIL", "PAN", "AWS_ACCESS_KEY", "STRIPE_LIVE_KEY", "PRIVATE_KEY_BLOCK", "GENERIC_SECRET_FIELD", "INDIAN_PHONE")
     rules = {r.name: r for r in ALL_RULES}
+    names = tuple(rules)
     masked = spread(I.augmented(spark, sf), "doc_id").select(masking.mask(F.col("text")).alias("m"))
     counts = masked.select(
         *[F.size(F.regexp_extract_all("m", F.lit(rules[n].pattern), F.lit(0))).cast("long").alias(n) for n in names]
@@ -270,9 +275,64 @@ def masking_residue(spark, sf):
     ).select("x.*")
 
 
-@query("evidence_cards")
+# Places where a run of digits starts and ends, so that a pattern may ask for them without reading past a match.
+_FROM, _TO = r"\x{E001}", r"\x{E002}"
+_END = r"($|[^\p{L}\p{M}\p{Nd}_])"
+
+
+def mask_sql(x: str) -> str:
+    """The masking steps in their order: whatever a rule's pattern matches, checksum or not."""
+
+    def step(x: str, rule: str, pattern: str, flags: str = "g", before: str = "", after: str = "") -> str:
+        return f"regexp_replace({x}, '{pattern}', '{before}[REDACTED {rule}]{after}', '{flags}')"
+
+    def in_runs(x: str, rule: str, pattern: str) -> str:
+        marked = rf"regexp_replace(regexp_replace({x}, '(\p{{Nd}})([^\p{{Nd}}]|$)', '\1' || chr(57346) || '\2', 'g'), '(^|[^\p{{Nd}}])(\p{{Nd}})', '\1' || chr(57345) || '\2', 'g')"
+        return f"regexp_replace({step(marked, rule, pattern)}, '[{_FROM}{_TO}]', '', 'g')"
+
+    x = step(x, "PRIVATE_KEY_BLOCK", r"-----BEGIN[A-Z ]*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END[A-Z ]*-----|\z)", "gs")
+    x = step(x, "GENERIC_SECRET_FIELD", rf'"(?:password|passwd|secret|api[_-]?key|access[_-]?token)"{_S}*:{_S}*"[^"\n]*"?')
+    x = step(x, "GENERIC_API_KEY", rf"""\b(?:api[_-]?key|token|secret)\b{_S}*[=:]{_S}*["'']?[A-Za-z0-9_-]{{8,}}""", "gi")
+    x = step(x, "STRIPE_LIVE_KEY", r"\bsk_live_[0-9a-zA-Z]{24,}\b")
+    x = step(x, "AWS_ACCESS_KEY", r"\bAKIA[0-9A-Z]{16}\b")
+    x = step(x, "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+    x = step(x, "UPI_ID", r"\b[A-Za-z0-9._-]{2,64}@[A-Za-z]{3,20}($|[^\p{L}\p{M}\p{Nd}_.@])", after="\\1")
+    for _ in range(2):  # neighbours may share the character between them
+        x = step(x, "ABHA_ID", rf"(^|[^\p{{L}}\p{{M}}\p{{Nd}}_])\p{{Nd}}{{2}}-\p{{Nd}}{{4}}-\p{{Nd}}{{4}}-\p{{Nd}}{{4}}{_END}", before="\\1", after="\\2")
+    x = step(x, "DRIVING_LICENSE", rf"\b[A-Z]{{2}}\p{{Nd}}{{2}}{_S}?\p{{Nd}}{{4}}{_S}?\p{{Nd}}{{7}}{_END}", after="\\1")
+    space = _S[:-1] + "-]"
+    x = step(x, "CREDIT_CARD", rf"\b[0-9]{{4}}(?:{space}?[0-9]{{4}}){{3}}\b")
+    gap = rf"{_TO}{space}{_FROM}"
+    x = in_runs(x, "AADHAAR", rf"{_FROM}[2-9]\p{{Nd}}{{3}}(?:{gap}\p{{Nd}}{{4}}{gap}\p{{Nd}}{{4}}|\p{{Nd}}{{8}}){_TO}")
+    x = step(x, "PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")
+    x = step(x, "VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b")
+    x = step(x, "INDIAN_PASSPORT", r"\b[A-PR-WYa-pr-wy][0-9]{7}\b")
+    x = in_runs(x, "INDIAN_PHONE", rf"(?:\+{_FROM}91|{_FROM}0091|{_FROM}91)?(?:(?:{_TO})?{space})?(?:{_FROM})?[6-9]\p{{Nd}}{{9}}{_TO}")
+    return step(x, "BANK_ACCOUNT", r"\b[0-9]{9,18}\b")
+
+
+@query("masked_texts", f"SELECT doc_id, sha256(m) AS masked_hash, CAST(length(m) AS INTEGER) AS masked_chars FROM (SELECT doc_id, {mask_sql('text')} AS m FROM augmented)", "augmented")
+def masked_texts(spark, sf):
+    """Every whole text with what any rule finds replaced."""
+    masked = spread(I.augmented(spark, sf), "doc_id").select("doc_id", masking.mask(F.col("text")).alias("m"))
+    return masked.select("doc_id", F.sha2("m", 256).alias("masked_hash"), F.length("m").alias("masked_chars"))
+
+
+_CARDS = rf"""m AS (SELECT h.*, {mask_sql("clean")} AS masked FROM h JOIN s USING (id)),
+    p AS (SELECT *, greatest(CASE WHEN contains(masked, '[REDACTED ' || rule || ']') THEN instr(masked, '[REDACTED ' || rule || ']') ELSE instr(masked, '[REDACTED ') END - 1, 0) AS pos FROM m),
+    w AS (SELECT *, regexp_replace(regexp_replace(substr(masked, CAST(greatest(pos - 250, 0) + 1 AS INTEGER), CAST(least(pos + 250, length(masked)) - greatest(pos - 250, 0) AS INTEGER)),
+          '[\x00-\x08\x0b-\x1f\x7f-\x{{009f}}]', '', 'g'), '^{_S}+|{_S}+$', '', 'g') AS context FROM p)"""
+
+
+@query(
+    "evidence_cards",
+    f"""WITH {hits_sql('SELECT doc_id AS id, text FROM augmented', _ALL)}, {_CARDS}
+        SELECT id AS doc_id, rule, '{{"finding_type":"' || rule || '_IN_CONTENT","url":"doc:' || id || '","found":' || n || ',"keyword_near":' || kw || ',"confidence":'
+          || CASE WHEN kw THEN '0.800' ELSE '0.600' END || ',"masked_context":' || to_json(context) || '}}' AS context_snippet_safe FROM w""",
+    "augmented",
+)
 def evidence_cards(spark, sf):
-    """Evidence text with masked context; compared by its properties in the tests."""
+    """Evidence text with masked context."""
     hits = scan_content(I.augmented(spark, sf), "text", key="doc_id", salt=SALT, rules=ALL_RULES, with_context=True)
     cards = evidence_card(hits.withColumn("url", F.concat(F.lit("doc:"), "doc_id")))
     return cards.select("doc_id", "rule", "context_snippet_safe")
