@@ -126,7 +126,7 @@ def test_postgres_null_order(spark):
 def test_token_only_on_the_first_finding_and_copies_for_government(spark):
     found = I.findings(spark, "/root/testdata/sf0.001")
     domains = I.domains(spark, "/root/testdata/sf0.001").withColumn("contact_source", F.lit("stored"))
-    plan = disclosure.disclosure_plan(found, domains, Settings(salt="k"), AS_OF)
+    plan = disclosure.disclosure_plan(found, domains, Settings("k", "national@team.example", "government@team.example"), AS_OF)
     tokens = plan.events.filter("ack_token IS NOT NULL")
     assert tokens.count() == plan.notices.count() == tokens.select("ack_token").distinct().count()
     copied = plan.events.filter("recipient_type = 'CC_NIC'").join(found, "finding_id").join(domains.select("domain_id", "domain"), "domain_id")

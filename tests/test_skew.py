@@ -54,7 +54,7 @@ def test_vendor_lookup_splits_the_hot_domain(spark, hot):
 
 def test_events_split_the_hot_domain_and_miss_nobody(spark, hot):
     domains, found = hot
-    plan = disclosure.disclosure_plan(found, domains.withColumn("contact_source", F.lit("stored")), Settings(salt="k"), AS_OF)
+    plan = disclosure.disclosure_plan(found, domains.withColumn("contact_source", F.lit("stored")), Settings("k", "national@team.example", "government@team.example"), AS_OF)
     queue = disclosure.disclosure_queue(found, AS_OF)
     primary = plan.events.filter("recipient_type = 'PRIMARY'")
     assert primary.select("finding_id").distinct().count() == queue.count()

@@ -505,11 +505,11 @@ ORIGIN_PATTERNS = {
 # Sector keywords, first sector with a hit wins
 # --------------------------------------------------------------------------
 SECTOR_KEYWORDS = {
-    "GOVERNMENT": "gov nic ministry dept department mca india.gov mygov dpiit ncert niti pib".split(),
-    "EDUCATION": "edu ac.in university college school iit nit iisc jnu iim du. mu. amu bhu".split(),
-    "HEALTHCARE": "health hospital medical aiims pgimer nhm mohfw nha pmjay clinic pharma".split(),
-    "FINANCE": "bank finance nbfc rbi sebi irdai pfrda sbi. hdfc icici axis kotak npci upi".split(),
-    "RESEARCH": "res.in csir isro drdo icar icmr barc".split(),
+    "GOVERNMENT": ("gov", "nic", "ministry", "dept", "department", "mca", "india.gov", "mygov", "dpiit", "ncert", "niti", "pib"),
+    "EDUCATION": ("edu", "ac.in", "university", "college", "school", "iit", "nit", "iisc", "jnu", "iim", "du.", "mu.", "amu", "bhu"),
+    "HEALTHCARE": ("health", "hospital", "medical", "aiims", "pgimer", "nhm", "mohfw", "nha", "pmjay", "clinic", "pharma"),
+    "FINANCE": ("bank", "finance", "nbfc", "rbi", "sebi", "irdai", "pfrda", "sbi.", "hdfc", "icici", "axis", "kotak", "npci", "upi"),
+    "RESEARCH": ("res.in", "csir", "isro", "drdo", "icar", "icmr", "barc"),
 }
 DEFAULT_SECTOR = "OTHER"
 # Keywords that count at either end of a compound host label as well.
@@ -635,15 +635,15 @@ VENDOR_SIGNATURES = (
 # --------------------------------------------------------------------------
 SEED_NAMES = {
     ".gov.in": (
-        "india.gov.in mygov.in uidai.gov.in meity.gov.in mca.gov.in incometax.gov.in gst.gov.in "
-        "epfindia.gov.in nha.gov.in mohfw.gov.in education.gov.in pib.gov.in dpiit.gov.in"
-    ).split(),
-    ".nic.in": ["nic.in", "services.nic.in"],
-    ".edu.in": ["iit.edu.in"],
-    ".ac.in": "du.ac.in iisc.ac.in jnu.ac.in iitb.ac.in iitd.ac.in".split(),
-    ".res.in": ["csir.res.in", "isro.res.in"],
-    ".in": ["flipkart.com", "myntra.com", "snapdeal.com"],
-    ".co.in": ["airtel.co.in", "bsnl.co.in"],
+        "india.gov.in", "mygov.in", "uidai.gov.in", "meity.gov.in", "mca.gov.in", "incometax.gov.in", "gst.gov.in",
+        "epfindia.gov.in", "nha.gov.in", "mohfw.gov.in", "education.gov.in", "pib.gov.in", "dpiit.gov.in",
+    ),
+    ".nic.in": ("nic.in", "services.nic.in"),
+    ".edu.in": ("iit.edu.in",),
+    ".ac.in": ("du.ac.in", "iisc.ac.in", "jnu.ac.in", "iitb.ac.in", "iitd.ac.in"),
+    ".res.in": ("csir.res.in", "isro.res.in"),
+    ".in": ("flipkart.com", "myntra.com", "snapdeal.com"),
+    ".co.in": ("airtel.co.in", "bsnl.co.in"),
 }
 
 # --------------------------------------------------------------------------

@@ -11,18 +11,16 @@ SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 FINDING_STATUSES = ("NEW", "CONFIRMED", "DISCLOSED", "RESOLVED", "FALSE_POSITIVE", "ESCALATED")
 SCAN_STATUSES = ("PENDING", "RUNNING", "COMPLETED", "FAILED", "SKIPPED")
 DOMAIN_STATUSES = ("PENDING", "ACTIVE", "INACTIVE", "BLOCKED", "WHITELISTED")
-ENTITY_TYPES = tuple(
-    """
-    AADHAAR PAN VOTER_ID PASSPORT DRIVING_LICENSE BANK_ACCOUNT CREDIT_CARD
-    PHONE_NUMBER EMAIL UPI_ID ABHA_ID
-    ENV_FILE PRIVATE_KEY API_KEY AWS_KEY STRIPE_KEY SECRET_FIELD AWS_CREDS
-    AWS_CONFIG AZURE_CREDS
-    GIT_REPO DATABASE_DUMP CONFIG_FILE SOURCE_CODE ADMIN_PANEL OPEN_DIRECTORY
-    CLOUD_STORAGE CLOUD_METADATA KUBE_CONFIG SPRING_BOOT MEMORY_DUMP
-    SHELL_HISTORY SESSION_DATA CI_CONFIG
-    OTHER
-    """.split()
-)
+ENTITY_TYPES = (
+    "AADHAAR", "PAN", "VOTER_ID", "PASSPORT", "DRIVING_LICENSE", "BANK_ACCOUNT", "CREDIT_CARD",
+    "PHONE_NUMBER", "EMAIL", "UPI_ID", "ABHA_ID",
+    "ENV_FILE", "PRIVATE_KEY", "API_KEY", "AWS_KEY", "STRIPE_KEY", "SECRET_FIELD", "AWS_CREDS",
+    "AWS_CONFIG", "AZURE_CREDS",
+    "GIT_REPO", "DATABASE_DUMP", "CONFIG_FILE", "SOURCE_CODE", "ADMIN_PANEL", "OPEN_DIRECTORY",
+    "CLOUD_STORAGE", "CLOUD_METADATA", "KUBE_CONFIG", "SPRING_BOOT", "MEMORY_DUMP",
+    "SHELL_HISTORY", "SESSION_DATA", "CI_CONFIG",
+    "OTHER",
+)
 
 CLOSED_STATUSES = ("RESOLVED", "FALSE_POSITIVE")
 RISK_OPEN_STATUSES = ("NEW", "CONFIRMED", "ESCALATED")

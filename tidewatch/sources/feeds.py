@@ -151,7 +151,7 @@ def parse_feeds(feeds: DataFrame, configured: tuple[str, ...] = ()) -> DataFrame
 
 def seed_fallback(spark: SparkSession, roots: DataFrame, tlds: tuple[str, ...]) -> DataFrame:
     """``(tld, name)`` roots, plus the seed names of the given TLDs that have none."""
-    rows = [(t, n) for t in tlds for n in SEED_NAMES.get(t, [])]
+    rows = [(t, n) for t in tlds for n in SEED_NAMES.get(t, ())]
     seeds = spark.createDataFrame(rows, "tld string, name string")
     missing = seeds.join(roots.select("tld").distinct(), "tld", "left_anti")
     return roots.select("tld", "name").unionByName(missing)

@@ -14,7 +14,8 @@ from tidewatch.config import Settings
 
 AS_OF = "2026-01-01 00:00:00"
 SALT = "workload-salt"
-SETTINGS = Settings(salt=SALT)
+NATIONAL_TEAM, GOVERNMENT_TEAM = "national-team@example.org", "government-team@example.org"
+SETTINGS = Settings(SALT, NATIONAL_TEAM, GOVERNMENT_TEAM)
 
 
 # Declared, so that reading a table needs no job to look at its files first.

@@ -803,7 +803,7 @@ def discovered_contacts(spark, sf):
 
 _SUBJECT = "'[Exposure Desk] Security disclosure: ' || domain || ' - ' || top_severity || ' | CVD-' || upper(substr(sha256(domain), 1, 12))"
 _GOV = "(domain LIKE '%.gov.in' OR domain LIKE '%.nic.in')"
-_NOTICES = f"""n AS (SELECT domain_id, domain, contact_email AS recipient_email, CASE WHEN {_GOV} THEN 'security@nic.in' END AS cc_email, contact_source,
+_NOTICES = f"""n AS (SELECT domain_id, domain, contact_email AS recipient_email, CASE WHEN {_GOV} THEN '{I.GOVERNMENT_TEAM}' END AS cc_email, contact_source,
     n_findings, first_finding_id, severity_text, types_text, lines_text, sha256('workload-salt|' || domain_id || '|2026-01-01 00:00:00') AS ack_token, {_SUBJECT} AS subject
     FROM a JOIN l USING (domain_id) JOIN ty USING (domain_id) JOIN sv USING (domain_id) JOIN dc USING (domain_id))"""
 
@@ -830,7 +830,7 @@ def disclosure_plan(spark, sf):
     f"""WITH {_EMAILS}, {_QUEUE}, {_summary(5)}, {_NOTICES}
         SELECT domain_id, subject, concat_ws(chr(10), 'Security disclosure notice', '', 'Exposures were found on ' || domain || '.',
           CASE WHEN contact_source <> 'stored' THEN 'Contact found via ' || contact_source || '.' END,
-          CASE WHEN {_GOV} THEN 'Copied to the government response team (security@nic.in).' END, '',
+          CASE WHEN {_GOV} THEN 'Copied to the government response team ({I.GOVERNMENT_TEAM}).' END, '',
           'Severity        : ' || severity_text, 'Types           : ' || types_text, '',
           'Findings (no credential or personal value is included):', lines_text, '',
           'Please acknowledge within 48 hours, send a remediation timeline, and tell us when it is fixed.',
@@ -848,7 +848,7 @@ def notice_text(spark, sf):
 
 @query(
     "escalation_plan",
-    f"""WITH {_ESCALATE}, {_summary(10)} SELECT domain_id, 'incident@cert-in.org.in' AS recipient_email, n_findings, types_text AS triggers, {_SUBJECT} AS subject,
+    f"""WITH {_ESCALATE}, {_summary(10)} SELECT domain_id, '{I.NATIONAL_TEAM}' AS recipient_email, n_findings, types_text AS triggers, {_SUBJECT} AS subject,
         concat_ws(chr(10), 'Incident report', '', 'Domain          : ' || domain, 'Sector          : ' || coalesce(sector, 'UNKNOWN'),
           'IP address      : ' || ip_address, 'Origin score    : ' || iocs_score, 'Vendor          : ' || coalesce(vendor_fingerprint, 'N/A'),
           'Contact         : ' || coalesce(contact_email, 'Not found'), '', 'Findings        : ' || n_findings, 'Severity        : ' || severity_text,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators.content_scan import DEFAULT_RULES
 from tidewatch.plans.scan import ScanRun, scan_domains
-from tidewatch.session import handover
+from tidewatch.session import checkpoint_root, handover
+from tidewatch.sources.captures import read_captures
+from tidewatch.sources.ledger import read_table
 from tidewatch.workload import inputs as I
 from tidewatch.workload.inputs_sql import pick as sql_pick
 from tidewatch.workload.inputs_sql import with_ctes
@@ -168,3 +172,49 @@ def scan_rerun_adds_nothing(spark, sf):
         F.count_distinct("finding_id").alias("n_ids"),
         F.count_if(F.col("run") == 2).alias("n_again"),
     )
+
+
+# --------------------------------------------------------------------------
+# Declared reads: captures and ledger tables at rest
+# --------------------------------------------------------------------------
+
+
+def _at_rest(df, name: str, fmt: str) -> str:
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(path)
+    return path
+
+
+_READ = """SELECT domain, url, path, scheme, status, content_type, sha256(body) AS body_hash, body_bytes, fetched_at_us, server FROM (
+    SELECT 'site' || page_id || '.example' AS domain, 'https://site' || page_id || '.example/' AS url, '/' AS path, 'https' AS scheme,
+      CASE WHEN page_id % 11 = 0 THEN 503 ELSE 200 END AS status, 'text/html' AS content_type, text AS body, octet_length(encode(text)) AS body_bytes
+      FROM augmented_pages
+    UNION ALL SELECT domain, url, path, 'https', status, content_type, body, octet_length(encode(body)) FROM c),
+    (SELECT epoch_us(TIMESTAMP '{now}') AS fetched_at_us, 'test/1' AS server)""".format(now=I.AS_OF)
+
+
+@query("read_captures", _READ)
+def captures_at_rest(spark, sf):
+    """Whole captures, written as JSON lines without types and read with the declared ones."""
+    given = _captures(spark, sf).withColumn("headers", F.create_map(F.lit("Server"), F.lit("test/1")))
+    found = read_captures(spark, _at_rest(given, "captures", "json"), "json")
+    return found.select(
+        "domain", "url", "path", "scheme", "status", "content_type", F.sha2("body", 256).alias("body_hash"), "body_bytes",
+        F.unix_micros("fetched_at").alias("fetched_at_us"), F.col("headers")["Server"].alias("server"),
+    )
+
+
+_LEDGER_READ = """SELECT CAST(finding_id AS VARCHAR) AS finding_id, CAST(domain_id AS VARCHAR) AS domain_id, url, finding_type, severity, status,
+    CAST(final_confidence AS DECIMAL(4,3)) AS final_confidence, epoch_us(created_at) AS created_at_us, true AS no_ml_confidence, dark_web_confirmed FROM findings"""
+
+
+def read_ledger(spark, sf):
+    """A ledger table with fewer and looser columns than declared, read with all of its types; columns it lacks are null."""
+    found = read_table(spark, _at_rest(I.findings(spark, sf), "findings", "json"), "findings", "json")
+    return found.select(
+        "finding_id", "domain_id", "url", "finding_type", "severity", "status", "final_confidence",
+        F.unix_micros("created_at").alias("created_at_us"), F.isnull("ml_confidence").alias("no_ml_confidence"), "dark_web_confirmed",
+    )
+
+
+QUERIES["read_ledger_table"] = (read_ledger, with_ctes(_LEDGER_READ, "findings"))
