@@ -205,15 +205,15 @@ def captures_at_rest(spark, sf):
 
 
 _LEDGER_READ = """SELECT CAST(finding_id AS VARCHAR) AS finding_id, CAST(domain_id AS VARCHAR) AS domain_id, url, finding_type, severity, status,
-    CAST(final_confidence AS DECIMAL(4,3)) AS final_confidence, epoch_us(created_at) AS created_at_us, true AS no_ml_confidence, dark_web_confirmed FROM findings"""
+    CAST(CAST(final_confidence AS DECIMAL(4,3)) AS VARCHAR) AS confidence_text, epoch_us(created_at) AS created_at_us, true AS no_ml_confidence, dark_web_confirmed FROM findings"""
 
 
 def read_ledger(spark, sf):
     """A ledger table with fewer and looser columns than declared, read with all of its types; columns it lacks are null."""
     found = read_table(spark, _at_rest(I.findings(spark, sf), "findings", "json"), "findings", "json")
     return found.select(
-        "finding_id", "domain_id", "url", "finding_type", "severity", "status", "final_confidence",
-        F.unix_micros("created_at").alias("created_at_us"), F.isnull("ml_confidence").alias("no_ml_confidence"), "dark_web_confirmed",
+        "finding_id", "domain_id", "url", "finding_type", "severity", "status",
+        F.col("final_confidence").cast("string").alias("confidence_text"), F.unix_micros("created_at").alias("created_at_us"), F.isnull("ml_confidence").alias("no_ml_confidence"), "dark_web_confirmed",
     )
 
 
