@@ -56,7 +56,12 @@ def no_text(column: str | Column) -> Column:
 
 
 def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]):
-    """A ``mapInArrow`` function from one that makes the function for a batch, once in a task."""
+    """A ``mapInArrow`` function from one that makes the function for a batch, once in a task.
+
+    The package must reach the workers before Spark takes the function, also if the caller read the documents without ``table``.
+    """
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ready(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
