@@ -292,6 +292,32 @@ def test_near_duplicates_of_a_group_larger_than_a_tree(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
 
 
+def test_near_duplicates_start_from_fingerprint_trees(spark, monkeypatch):
+    """Two texts whose fingerprints BK-trees link but which share no minimum hash are compared, by their exact similarity."""
+    dealt = []
+    monkeypatch.setattr(simhash, "tree_edges", lambda shards, radius, real=simhash.tree_edges: dealt.append(radius) or real(shards, radius))
+    monkeypatch.setattr(simhash, "_minima", lambda hashes: hashes[:1].repeat(8) ^ np.arange(8, dtype=np.uint64))
+    rng = random.Random(6)
+    words = _words(rng, 400, 10**6).split()
+    changed = sorted(([*words[:k], f"w{n}", *words[k + 1 :]] for k in (0, 399) for n in range(40)), key=lambda w: min(simhash._runs(" ".join(w).encode(), 5)))
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, changed[0], changed[-1]))]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert dealt == [3] and {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0}
+
+
+def test_a_shard_yields_joining_links_only():
+    """As many links as join its parts, not its pairs; exactly at the limit."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 96).astype(np.uint64)
+    near = [np.unique(np.concatenate([base, rng.integers(1, 1 << 62, 4).astype(np.uint64)])) for _ in range(60)]
+    far = [np.unique(np.concatenate([base[:84], rng.integers(1, 1 << 62, 16).astype(np.uint64)])) for _ in range(60)]
+    nodes, sides = np.arange(60), np.full(60, simhash.OWN)
+    assert len(list(simhash._joining(sides, nodes, nodes, near, 0.8))) == 59
+    assert not list(simhash._joining(sides, nodes, nodes, far, 0.8))
+    assert list(simhash._joining(sides[:2], nodes[:2], nodes[:2], [base[:80], base], 80 / 96)) == [(0, 1)]
+    assert not list(simhash._joining(sides[:2], nodes[:2], nodes[:2], [base[:79], base], 80 / 96))
+
+
 def test_transducer_equals_the_library(monkeypatch):
     with open(PATH, encoding="utf-8") as f:
         machine = Transducer(f.read())

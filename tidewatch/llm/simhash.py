@@ -10,13 +10,16 @@ A tree that would hold too many, as in a large group of near copies, is split
 once more by quarters of the remaining bits, of which at least one must be equal.
 A tree emits only edges that join two parts of it, never all pairs.
 
-Near duplicates by similarity meet in trees dealt by minimum hashes, where sketches
-and not fingerprints decide which pairs are compared: about one of a hundred pairs
-with a similarity of 0.8 differs in over 16 bits, and most whose repeats differ. Such
-a tree can't be split by its members' values when a third of all documents are near
-copies; a first round cuts it into blocks that share some heads (see ``_blocks``),
-later ones bring those members together that no link joins yet (see ``_crossing``).
-Where it holds many texts of one template, these meet by their rarest shingles instead.
+Near duplicates by similarity start from the same fingerprints, BK-trees and components;
+texts of one component are then compared exactly. About one of a hundred pairs with a
+similarity of 0.8 differs in over 16 bits, so that texts meet once more in trees dealt by
+minimum hashes. All comparisons are made within shards of bounded size, to which the
+texts' shingle hashes are sent: a shard yields only the links that join two parts of it,
+so rows grow with its members and not with its pairs. A tree can't be split by its
+members' values when a third of all documents are near copies; a first round cuts it into
+blocks that share some heads (see ``_blocks``), the last brings those members together
+that no link joins yet (see ``_crossing``). Where it holds many texts of one template,
+these meet by their rarest shingles instead.
 """
 
 from __future__ import annotations
@@ -40,21 +43,15 @@ SLICE = 1 << 15
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = 3
 MINIMA = 8
-# A sketch of that many bytes estimates the similarity of a pair with a standard
-# deviation of about 0.05; pairs estimated at less than half alike are not compared.
-SKETCH = 64
-LEAST_ALIKE = 0.5
-FIRST_ALIKE = 0.85
-# Members of a block of an overfull tree, and heads that all its blocks hold in the first round.
+# Size of a block of an overfull tree, and of the heads that all its blocks hold in the first round. A text counts
+# as one, or as a WEIGHTth of its distinct shingles if these are more, so that a shard's hashes fit in memory.
 BLOCK = 256
 HEADS = 32
+WEIGHT = 4096
 # Counts of shingles by the first 20 bits of their hashes.
 BUCKETS = 1 << 20
 # Sides of a shard: pairs are those of two sides, or of side OWN.
 SHARED, OWN, UPPER = 0, 1, 2
-# Pairs a member may name in the second round; the last names all.
-FEW = 4
-ALL = -1
 
 
 def shingle_hashes(text: bytes, length: int, seed: int = 42) -> np.ndarray:
@@ -145,32 +142,30 @@ def _spanning(values: list[int], nodes: list[int], radius: int) -> Iterator[tupl
         tree.add(value)
 
 
-def _named(sides: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a shard's members with different roots that their sketches call alike.
+def _joining(
+    sides: np.ndarray, nodes: np.ndarray, roots: np.ndarray, runs: list[np.ndarray], similarity: float
+) -> Iterator[tuple[int, int]]:
+    """Links between a shard's members with different roots, enough to connect all that its links connect.
 
-    ``most`` 0: each member's most alike, and the first that is estimated at FIRST_ALIKE;
-    above 0: the most alike of each of so many other roots; ALL: every pair. Pairs of a
+    Similarity is exact: the part of two texts' distinct shingles that both have. Pairs of a
     shard are those of two sides, or of side OWN.
     """
-    held = sketches > 0
-    for i in np.flatnonzero(sides == OWN) if most != ALL else range(1, len(nodes)):
-        upto = i if most == ALL else len(nodes)
-        other = (roots[:upto] != roots[i]) & ((sides[:upto] != sides[i]) | (sides[i] == OWN))
-        at = np.flatnonzero(other)
-        if not len(at):
+    sizes = np.array([len(r) for r in runs])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(runs), return_inverse=True)[1]
+    has, part = np.zeros(len(ids), bool), roots.copy()
+    for i in range(1, len(nodes)):
+        other = (part[:i] != part[i]) & ((sides[:i] != sides[i]) | (sides[i] == OWN))
+        if not other.any():
             continue
-        matches = ((sketches[at] == sketches[i]) & held[i]).sum(axis=1)
-        filled = (held[at] | held[i]).sum(axis=1)
-        fine = (matches >= LEAST_ALIKE * filled) & (filled > 0)
-        at, matches, filled = at[fine], matches[fine], filled[fine]
-        if most == 0 and len(at):
-            first = at[matches >= FIRST_ALIKE * filled][:1].tolist()
-            at = np.array(sorted({int(at[np.argmax(matches)]), *first}))
-        elif most != ALL:
-            at = at[np.argsort(-matches, kind="stable")]
-            at = at[np.sort(np.unique(roots[at], return_index=True)[1])[:most]]
-        for j in at.tolist():
-            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        has[own] = True
+        common = np.add.reduceat(has[ids[: starts[i]]], starts[:i], dtype=np.int64)
+        has[own] = False
+        for j in np.flatnonzero(other & (common >= similarity * (sizes[i] + sizes[:i] - common))):
+            if part[j] != part[i]:
+                part[part == part[i]] = part[j]
+                yield int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
@@ -209,25 +204,23 @@ def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard", "node", "fp").mapInArrow(run, "a long, b long")
 
 
-def _named_pairs(shards: DataFrame, classes: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
-    """(a, b) named in each shard (see ``_named``); ``shards`` has (shard, side, node)."""
+def _links(shards: DataFrame, runs: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
+    """(a, b) that join parts of a shard (see ``_joining``); ``shards`` has (shard, side, node), ``runs`` (node, runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = (
-            (int(a), int(b))
-            for rows in _by_shard(batches, ["shard", "side", "node", "root", "sketch"])
-            for a, b in _named(
+        links = (
+            link
+            for rows in _by_shard(batches, ["shard", "side", "node", "root", "runs"])
+            for link in _joining(
                 *(np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3)),
-                np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), SKETCH),
-                most,
+                [np.frombuffer(r[4], np.uint64) for r in rows],
+                similarity,
             )
         )
-        yield from _packed(pairs, ["a", "b"])
+        yield from _packed(links, ["a", "b"])
 
-    full = shards.join(_rooted(classes.select("node", "sketch"), roots), "node")
-    return (
-        full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(run, "a long, b long").distinct()
-    )
+    full = _rooted(shards, roots).join(runs, "node").select("shard", "side", "node", "root", "runs")
+    return full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(run, "a long, b long")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -265,6 +258,12 @@ def _shards(distinct: DataFrame, most: int) -> DataFrame:
     )
 
 
+def _linked_fingerprints(distinct: DataFrame, most: int) -> DataFrame:
+    """(fp, component_id) of fingerprints that chains of three or fewer differing bits link; ``distinct`` has (fp, node)."""
+    roots = components(tree_edges(_shards(distinct, most), RADIUS))
+    return distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+
+
 def simhash_components(
     docs: DataFrame, *, shingle: int = 3, most: int = 2048, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -282,11 +281,7 @@ def simhash_components(
     distinct = keep(
         marks.filter("doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("node")), "distinct-fingerprints"
     )
-    edges = tree_edges(_shards(distinct, most), RADIUS)
-    roots = components(edges)
-    by_fp = keep(
-        distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "by-fp"
-    )
+    by_fp = keep(_linked_fingerprints(distinct, most), "by-fp")
     return marks.join(by_fp, "fp", "left").select(
         F.col("doc").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -306,43 +301,45 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
-    """A byte of the least hash of each of SKETCH bins, 0 for an empty bin."""
-    least = np.full(SKETCH, MASK, np.uint64)
-    places = (hashes >> np.uint64(58)).astype(np.int64)
-    np.minimum.at(least, places, hashes)
-    marks = (mixed(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    marks[np.bincount(places, minlength=SKETCH) == 0] = 0
-    return marks.tobytes()
-
-
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc, text_hash, same, minima, sketch): ``same`` is equal for texts with equal words."""
+    """(doc, text_hash, same, minima, fp, weight): ``same`` is equal for texts with equal words, ``fp`` is of distinct shingles."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            same, minima, sketches = [], [], []
+            same, minima, marks, weights = [], [], [], []
             for text in texts_of(batch, "text"):
-                hashes = _runs(text, shingle)
+                hashes = np.unique(_runs(text, shingle))
                 same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
                 minima.append(_minima(hashes).view(np.int64))
-                sketches.append(_sketch(hashes))
+                marks.append(fingerprint(hashes))
+                weights.append(max(1.0, len(hashes) / WEIGHT))
             arrays = [batch.column("doc"), batch.column("text_hash"), pa.array(same)]
-            arrays += [pa.array(minima, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "same", "minima", "sketch"])
+            arrays += [pa.array(minima, pa.list_(pa.int64())), pa.array(marks, pa.int64()), pa.array(weights, pa.float64())]
+            return pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "same", "minima", "fp", "weight"])
 
         return step
 
     return docs.mapInArrow(
-        by_batch(make), "doc long, text_hash long, same binary, minima array<long>, sketch binary"
+        by_batch(make), "doc long, text_hash long, same binary, minima array<long>, fp long, weight double"
     )
 
 
 def _trees(classes: DataFrame) -> DataFrame:
-    """(tree, node): a tree for each value of each minimum hash."""
-    return classes.select("node", F.posexplode("minima").alias("place", "least")).select(
-        F.xxhash64("place", "least").alias("tree"), "node"
+    """(tree, node, weight): a tree for each value of each minimum hash."""
+    return classes.select("node", "weight", F.posexplode("minima").alias("place", "least")).select(
+        F.xxhash64("place", "least").alias("tree"), "node", "weight"
+    )
+
+
+def _met(trees: DataFrame) -> DataFrame:
+    """Trees of several members; of those with the same members, as for two texts that agree in many minima, one."""
+    sums = trees.groupBy("tree").agg(
+        F.count("*").alias("members"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("other"), "node")).alias("other"),
     )
+    kept = sums.filter("members > 1").groupBy("members", "one", "other").agg(F.min("tree").alias("tree"))
+    return trees.join(kept.select("tree"), "tree", "left_semi")
 
 
 def _every(count: Column) -> Column:
@@ -355,11 +352,12 @@ def _blocks(trees: DataFrame) -> DataFrame:
     A first round only, of linear work: it finds most links of a large group of
     near copies, through the heads those in different blocks.
     """
-    sizes = trees.groupBy("tree").count().filter(F.col("count") > 1)
-    sizes = keep(sizes.select("tree", F.ceil(F.col("count") / BLOCK).alias("blocks")), "tree-sizes")
+    sizes = trees.groupBy("tree").agg(F.count("*").alias("members"), F.sum("weight").alias("weight")).filter("members > 1")
+    sizes = keep(sizes.select("tree", F.ceil(F.col("weight") / BLOCK).alias("blocks")), "tree-sizes")
     dealt = trees.join(sizes, "tree")
     order = Window.partitionBy("tree").orderBy(F.xxhash64("node", "tree"), "node")
     heads = dealt.filter("blocks > 1").withColumn("number", F.row_number().over(order)).filter(F.col("number") <= HEADS)
+    heads = heads.withColumn("upto", F.sum("weight").over(order)).filter((F.col("upto") <= HEADS) | (F.col("number") == 1))
     own = dealt.select(
         F.xxhash64("tree", F.pmod(F.xxhash64("tree", "node"), "blocks")).alias("shard"), F.lit(OWN).alias("side"), "node"
     )
@@ -368,18 +366,18 @@ def _blocks(trees: DataFrame) -> DataFrame:
 
 
 def _mixed_trees(trees: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trees that hold several roots: (tree, members, strays, most), and their rows (tree, node, root).
+    """Trees that hold several roots: (tree, members, strays, most) by weight, and their rows (tree, node, weight, root).
 
     ``most`` is the root of most members, strays are the members with another.
     """
     rooted = keep(_rooted(trees, roots), "rooted-trees")
-    parts = rooted.groupBy("tree", "root").count()
+    parts = rooted.groupBy("tree", "root").agg(F.sum("weight").alias("weight"))
     sizes = parts.groupBy("tree").agg(
-        F.sum("count").alias("members"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts")
+        F.sum("weight").alias("members"), F.max(F.struct("weight", "root")).alias("top"), F.count("*").alias("parts")
     )
     mixed_ = keep(
         sizes.filter("parts > 1").select(
-            "tree", "members", (F.col("members") - F.col("top.count")).alias("strays"), F.col("top.root").alias("most")
+            "tree", "members", (F.col("members") - F.col("top.weight")).alias("strays"), F.col("top.root").alias("most")
         ),
         "mixed-trees",
     )
@@ -462,43 +460,20 @@ def _crossing(trees: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs whose texts have at least that part of their shingles in common."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            kept = []
-            for one, other in zip(texts_of(batch, "one"), texts_of(batch, "other"), strict=True):
-                a, b = (np.unique(_runs(t, shingle)) for t in (one, other))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(common >= similarity * (len(a) + len(b) - common))
-            return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-        return step
-
-    return (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("one")), "a")
-        .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("other")), "b")
-        .select("a", "b", "one", "other")
-        .mapInArrow(by_batch(make), "a long, b long")
-    )
-
-
 def near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, most: int = 2048, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Return ``key``, text_hash and component_id of every row, by similarity of whole texts.
 
-    Texts with equal words (A-Z lowered) are one class. Classes meet in trees of
-    one level, one for each value of each of eight minimum hashes over distinct
-    runs of ``shingle`` words: two texts of similarity 0.8 share none of them in
-    fewer than three of a million cases. No fingerprint is asked: how often a
-    shingle is repeated doesn't count. Sketches name the pairs of a tree that may be
-    links; their similarity (shared by all distinct shingles) is computed exactly,
-    first in blocks of large trees, then of all named pairs that the links found so
-    far do not join already. Pairs below ``similarity`` are no links.
-    component_id is the smallest doc_id that links reach.
+    Texts with equal words (A-Z lowered) are one class. Classes get the SimHash fingerprint of
+    their distinct shingles of ``shingle`` words; BK-trees find fingerprints that differ in three or
+    fewer bits, and the texts of each component of these are compared. Then classes meet in trees of
+    one level, one for each value of each of eight minimum hashes over the same shingles: two
+    texts of similarity 0.8 share none of them in fewer than three of a million cases.
+    Similarity (shared by all distinct shingles) is computed exactly, first in components and
+    blocks of large trees, then for all members of a tree that the links found so far do
+    not join already. Pairs below ``similarity`` are no links. ``most``: fingerprints in a
+    BK-tree before it is split. component_id is the smallest doc_id that links reach.
 
     Texts without words are one class. Rows with a null key link nothing and have
     a null component_id. Rows that share a key count as one document. Other
@@ -508,46 +483,51 @@ def near_duplicates(
         F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")
     )
     sketches = keep(_sketches(read, shingle), "sketches")
-    first = F.min(F.struct("doc", "text_hash", "minima", "sketch")).alias("first")
+    first = F.min(F.struct("doc", "text_hash", "minima", "fp", "weight")).alias("first")
     classes = keep(
         sketches.filter("doc IS NOT NULL")
         .groupBy("same")
         .agg(first)
-        .select("same", F.col("first.doc").alias("node"), "first.text_hash", "first.minima", "first.sketch"),
+        .select("same", F.col("first.doc").alias("node"), "first.text_hash", "first.minima", "first.fp", "first.weight"),
         "classes",
     )
 
     def texts_of_nodes(nodes: DataFrame) -> DataFrame:
         """One text for each class, of all its rows the one whose sketch was taken."""
         wanted = classes.select("node", "text_hash").join(nodes.distinct(), "node", "left_semi")
-        return keep(
+        return (
             read.filter("doc IS NOT NULL")
             .join(wanted.withColumnRenamed("node", "doc"), ["doc", "text_hash"])
             .dropDuplicates(["doc", "text_hash"])
-            .select("doc", F.coalesce("text", F.lit("")).alias("text")),
-            "paired-texts",
+            .select("doc", F.coalesce("text", F.lit("")).alias("text"))
         )
 
-    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
-        """Roots after the links among the pairs. The links found before go on as stars, which join the same classes."""
-        pairs = keep(pairs, "pairs")
-        if roots is not None and pairs.isEmpty():
-            return roots
-        links = _similar(pairs, texts_of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node"))), shingle, similarity)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        return components(links)
-
-    trees = keep(_trees(classes), "trees")
-    roots = linked(_named_pairs(_blocks(trees), classes, None, 0), None)
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            runs = [np.unique(_runs(t, shingle)).tobytes() for t in texts_of(batch, "text")]
+            return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(runs, pa.binary())], ["node", "runs"])
+
+        return step
+
+    distinct = keep(classes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
+    linked = _linked_fingerprints(distinct, most)
+    near = classes.join(linked, "fp").select(F.xxhash64(F.lit("near"), "component_id").alias("tree"), "node", "weight")
+    near = keep(_met(near), "near-fingerprints")
+    trees = keep(_met(_trees(classes)), "trees")
+    runs = texts_of_nodes(trees.select("node").unionByName(near.select("node")))
+    runs = keep(runs.mapInArrow(by_batch(make), "node long, runs binary"), "runs")
+
+    large = trees.groupBy("tree").agg(F.sum("weight").alias("weight")).filter(F.col("weight") > BLOCK)
+    roots = components(_links(_blocks(near.unionByName(trees.join(large, "tree", "left_semi"))), runs, None, similarity))
     mixed_, rooted = _mixed_trees(trees, roots)
     shared = mixed_.filter(F.col("strays") > BLOCK).select("tree")
     if not shared.isEmpty():  # texts that share a passage and little else: they meet by their rarest shingles instead
-        texts = texts_of_nodes(rooted.join(shared, "tree", "left_semi").select("node"))
-        rare = _prefix_trees(texts, shingle, similarity)
+        texts = keep(texts_of_nodes(rooted.join(shared, "tree", "left_semi").select("node")), "shared-texts")
+        rare = _met(_prefix_trees(texts, shingle, similarity).join(classes.select("node", "weight"), "node"))
         trees = keep(trees.join(shared, "tree", "left_anti").unionByName(rare), "all-trees")
-    for most in (FEW, ALL):
-        roots = linked(_named_pairs(_crossing(trees, roots), classes, roots, most), roots)
+    links = _links(_crossing(trees, roots), runs, roots, similarity)
+    # The links found before go on as stars, which join the same classes.
+    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     by_class = keep(
         classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "by-class"
     )
