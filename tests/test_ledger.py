@@ -310,3 +310,14 @@ def test_feeds_are_parsed_in_one_pass(spark):
     got = {(shape[r.source], r.name) for r in parsed.collect()}
     assert got <= {("labels", "x.a.in"), ("events", "y.a.in")} and got
     assert parsed._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_a_row_far_down_a_list_is_found_in_its_file(spark):
+    rows = [(i, None if i % 10 == 0 else float(i % 7)) for i in range(500)] + [(None, 3.0), (7, 0.0)]
+    df = spark.createDataFrame(rows, "finding_id long, value double")
+    paged = reports.write_paged(df, f"{tempfile.mkdtemp()}/paged", F.col("value"), "finding_id", 9)
+    order = [F.col("sort_value").asc_nulls_last(), F.col("finding_id").asc()]
+    want = [(r.sort_value, r.finding_id) for r in paged.orderBy(*order).collect()]
+    for n in (1, 2, 57, 250, 449, 500, 502):
+        assert reports.row_at(paged, "finding_id", n) == want[n - 1]
+    assert reports.row_at(paged, "finding_id", 503) is None

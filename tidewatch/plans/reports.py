@@ -53,6 +53,22 @@ def page_after(paged: DataFrame, key: str, after: tuple[object, object] | None =
     return paged.orderBy(value.asc_nulls_last(), F.col(key).asc()).limit(per_page)
 
 
+def row_at(paged: DataFrame, key: str, number: int) -> tuple[object, object] | None:
+    """Sort value and key of the row so far down a list of ``write_paged`` (from 1), as a cursor for ``page_after``; None if it is shorter.
+
+    Files are counted, and only the one that holds the row is read in order, so no more than a file's rows meet anywhere.
+    """
+    order = F.struct(F.col("sort_value").isNull().alias("last"), "sort_value", F.col(key).alias("key"))
+    counts = paged.select(F.input_file_name().alias("file"), order.alias("at")).groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    for r in counts.orderBy("first").collect():
+        if number <= r.n:
+            own = paged.filter(F.input_file_name() == r.file).select("sort_value", key)
+            found = own.orderBy(F.col("sort_value").asc_nulls_last(), F.col(key).asc()).offset(number - 1).limit(1).first()
+            return found[0], found[1]
+        number -= r.n
+    return None
+
+
 def total_of(df: DataFrame) -> DataFrame:
     """Number of rows over all pages."""
     return df.agg(F.count(F.lit(1)).alias("total"))
