@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -213,10 +214,16 @@ def disclosure_notices(queue: DataFrame, domains: DataFrame, settings: Settings,
     )
 
 
-def disclosure_plan(findings: DataFrame, domains: DataFrame, settings: Settings, as_of: str) -> Plan:
-    """Notices, events, new finding states and audit rows of one disclosure run."""
+def disclosure_plan(
+    findings: DataFrame, domains: DataFrame, settings: Settings, as_of: str, cut: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> Plan:
+    """Notices, events, new finding states and audit rows of one disclosure run.
+
+    ``cut`` may write the notices and the changed findings to the shared folder and read them
+    back, for callers that use the whole plan: the other tables come from these.
+    """
     queue = disclosure_queue(findings, as_of)
-    notices = disclosure_notices(queue, domains, settings, as_of)
+    notices = cut(disclosure_notices(queue, domains, settings, as_of))
     now = as_of_column(as_of)
     per_domain = notices.select("domain_id", "recipient_email", "cc_email", "subject", "ack_token", "first_finding_id")
     primary = F.struct(
@@ -238,7 +245,7 @@ def disclosure_plan(findings: DataFrame, domains: DataFrame, settings: Settings,
         now.alias("created_at"),
     )
     sent = queue.join(domains.select("domain_id"), "domain_id", "left_semi")
-    changed = sent.withColumns({"disclosed_at": now, "status": F.lit("DISCLOSED")})
+    changed = cut(sent.withColumns({"disclosed_at": now, "status": F.lit("DISCLOSED")}))
     log = audit(
         notices, "DISCLOSURE_SENT", "SYSTEM", "domain", "domain_id", as_of,
         domain=F.col("domain"), findings_count=F.col("n_findings"), recipient=F.col("recipient_email"),
@@ -247,18 +254,20 @@ def disclosure_plan(findings: DataFrame, domains: DataFrame, settings: Settings,
     return Plan(notices, events, changed, log)
 
 
-def escalation_plan(findings: DataFrame, domains: DataFrame, settings: Settings, as_of: str) -> Plan:
-    """Escalation of the queue to the national team: level 3, ESCALATED."""
+def escalation_plan(
+    findings: DataFrame, domains: DataFrame, settings: Settings, as_of: str, cut: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> Plan:
+    """Escalation of the queue to the national team: level 3, ESCALATED. ``cut`` as in ``disclosure_plan``."""
     queue = escalation_queue(findings, as_of)
     now = as_of_column(as_of)
     columns = ["domain_id", "domain", "sector", "ip_address", "iocs_score", "vendor_fingerprint", "contact_email"]
     facts = batch_summary(queue, as_of, lines=10).join(domains.select(*columns), "domain_id")
-    notices = facts.select(
+    notices = cut(facts.select(
         "domain_id", "domain", F.lit(settings.national_team_email).alias("recipient_email"), "n_findings",
         F.col("types_text").alias("triggers"), F.col("types").alias("all_triggers"),
         notice_subject(settings, F.col("domain"), F.col("top_severity")).alias("subject"),
         national_body(settings, as_of).alias("body"),
-    )
+    ))
     rows = queue.select("finding_id", "domain_id").join(notices.select("domain_id", "recipient_email", "subject"), "domain_id")
     events = rows.select(
         F.sha2(F.concat_ws("|", F.col("finding_id").cast("string"), F.lit("ESCALATION"), F.lit(as_of)), 256).alias("event_id"),
@@ -267,7 +276,7 @@ def escalation_plan(findings: DataFrame, domains: DataFrame, settings: Settings,
         F.lit(None).cast("string").alias("ack_token"), now.alias("created_at"),
     )
     sent = queue.join(domains.select("domain_id"), "domain_id", "left_semi")
-    changed = sent.withColumns({"escalation_level": F.lit(3), "status": F.lit("ESCALATED")})
+    changed = cut(sent.withColumns({"escalation_level": F.lit(3), "status": F.lit("ESCALATED")}))
     log = audit(
         notices, "CERTIN_ESCALATION", "SYSTEM", "domain", "domain_id", as_of,
         domain=F.col("domain"), findings=F.col("n_findings"), triggers=F.col("all_triggers"),

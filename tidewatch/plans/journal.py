@@ -25,6 +25,7 @@ from tidewatch.operators.findings import audit_run
 from tidewatch.operators.risk import breach_evidence, mark_breached, risk_scores
 from tidewatch.operators.transitions import overlay
 from tidewatch.plans.workflow import LedgerInputs
+from tidewatch.session import handover
 
 JOURNAL = "sequence int, step string, status string, n long, findings_path string, output_path string, error string"
 STARTED, DONE, FAILED = "STARTED", "DONE", "FAILED"
@@ -111,13 +112,16 @@ def run_steps(spark: SparkSession, folder: str, findings: DataFrame, steps: Sequ
         out = f"{run.folder}/{step.name}-{uuid.uuid4().hex}"
         try:
             made = step.run(spark.read.parquet(before))
+            counted = made.counted
             for name, table in made.tables.items():
                 table.write.parquet(f"{out}/{name}")
+                if table is made.counted:  # what is written is counted, not computed again
+                    counted = spark.read.schema(table.schema).parquet(f"{out}/{name}")
             after = before
             if made.findings is not None:
                 after = f"{out}/findings-after"
                 made.findings.write.parquet(after)
-            n = made.counted.count()
+            n = counted.count()
         except Exception as error:  # whatever a step does wrong is its own
             run._add(step.name, FAILED, None, before, None, _kind(error))
         else:
@@ -125,19 +129,31 @@ def run_steps(spark: SparkSession, folder: str, findings: DataFrame, steps: Sequ
     return run
 
 
-def ledger_steps(inputs: LedgerInputs, settings: Settings, as_of: str) -> list[Step]:
-    """Risk, breach marking, vendor correlation, disclosure and escalation, each on the findings as they stand."""
+def ledger_steps(
+    inputs: LedgerInputs, settings: Settings, as_of: str, cut: Callable[[DataFrame], DataFrame] = handover
+) -> list[Step]:
+    """Risk, breach marking, vendor correlation, disclosure and escalation, each on the findings as they stand.
+
+    What several steps or several tables of a step read is computed once, by ``cut``: the
+    domains, the evidence, the correlated findings, and a plan's notices and changed findings.
+    """
+    read: list[DataFrame] = []
+
+    def domains() -> DataFrame:
+        if not read:  # asked for by a step, so that a failure is that step's own and the next one tries again
+            read.append(cut(inputs.domains))
+        return read[0]
 
     def risk(findings: DataFrame) -> StepOutput:
-        scores = risk_scores(inputs.domains, findings, as_of)
+        scores = risk_scores(domains(), findings, as_of)
         return StepOutput({"risk": scores}, scores)
 
     def breach(findings: DataFrame) -> StepOutput:
-        evidence = breach_evidence(inputs.domains, inputs.breaches, inputs.host_vulns, as_of)
+        evidence = cut(breach_evidence(domains(), inputs.breaches, inputs.host_vulns, as_of))
         return StepOutput({"evidence": evidence}, evidence, mark_breached(findings, evidence, as_of))
 
     def vendors(findings: DataFrame) -> StepOutput:
-        new = correlate_vendors(inputs.domains, findings, as_of)
+        new = cut(correlate_vendors(domains(), findings, as_of))
         return StepOutput({"correlated": new}, new, findings.unionByName(new, allowMissingColumns=True))
 
     def planned(findings: DataFrame, plan: Plan) -> StepOutput:
@@ -148,8 +164,8 @@ def ledger_steps(inputs: LedgerInputs, settings: Settings, as_of: str) -> list[S
         Step("risk_scores", risk),
         Step("breach_correlation", breach),
         Step("vendor_correlation", vendors),
-        Step("disclosure", lambda f: planned(f, disclosure_plan(f, inputs.domains, settings, as_of))),
-        Step("escalation", lambda f: planned(f, escalation_plan(f, inputs.domains, settings, as_of))),
+        Step("disclosure", lambda f: planned(f, disclosure_plan(f, domains(), settings, as_of, cut))),
+        Step("escalation", lambda f: planned(f, escalation_plan(f, domains(), settings, as_of, cut))),
     ]
 
 

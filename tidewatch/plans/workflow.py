@@ -42,14 +42,15 @@ def run_ledger(inputs: LedgerInputs, settings: Settings, as_of: str, cut: Callab
     ``cut`` may write a step's state to the shared folder and read it back, so
     that a long chain is neither planned nor recomputed from the start.
     """
-    risk = risk_scores(inputs.domains, inputs.findings, as_of)
-    evidence = breach_evidence(inputs.domains, inputs.breaches, inputs.host_vulns, as_of)
+    domains = cut(inputs.domains)
+    risk = risk_scores(domains, inputs.findings, as_of)
+    evidence = cut(breach_evidence(domains, inputs.breaches, inputs.host_vulns, as_of))
     marked = cut(mark_breached(inputs.findings, evidence, as_of))
-    correlated = cut(correlate_vendors(inputs.domains, marked, as_of))
+    correlated = cut(correlate_vendors(domains, marked, as_of))
     state = marked.unionByName(correlated, allowMissingColumns=True)
-    plan = disclosure_plan(state, inputs.domains, settings, as_of)
+    plan = disclosure_plan(state, domains, settings, as_of)
     disclosed = cut(overlay(state, plan.findings, "finding_id"))
-    escalation = escalation_plan(disclosed, inputs.domains, settings, as_of)
+    escalation = escalation_plan(disclosed, domains, settings, as_of)
     final = overlay(disclosed, escalation.findings, "finding_id")
     return LedgerRun(risk, final, correlated, plan.events, escalation.events, evidence)
 
