@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_batch, keep, ready, texts_of
+from tidewatch.llm.common import by_batch, keep, lend, ready, texts_of
 from tidewatch.llm.components import components
 from tidewatch.llm.words import mixed, run_hashes, word_hashes
 
@@ -350,9 +350,11 @@ def _blocks(trees: DataFrame) -> DataFrame:
     """(shard, side, node): trees of up to BLOCK members as they are, others in random blocks that share HEADS heads.
 
     A first round only, of linear work: it finds most links of a large group of
-    near copies, through the heads those in different blocks.
+    near copies, through the heads those in different blocks. Trees of which ``small``
+    is false are left out if they have up to BLOCK members.
     """
-    sizes = trees.groupBy("tree").agg(F.count("*").alias("members"), F.sum("weight").alias("weight")).filter("members > 1")
+    sizes = trees.groupBy("tree", "small").agg(F.count("*").alias("members"), F.sum("weight").alias("weight"))
+    sizes = sizes.filter((F.col("members") > 1) & (F.col("small") | (F.col("weight") > BLOCK)))
     sizes = keep(sizes.select("tree", F.ceil(F.col("weight") / BLOCK).alias("blocks")), "tree-sizes")
     dealt = trees.join(sizes, "tree")
     order = Window.partitionBy("tree").orderBy(F.xxhash64("node", "tree"), "node")
@@ -428,8 +430,7 @@ def _prefix_trees(texts: DataFrame, shingle: int, similarity: float) -> DataFram
         return step
 
     rows = texts.select("doc", "text").mapInArrow(by_batch(make), "rare long, node long")
-    rows = keep(rows.select(F.xxhash64(F.lit("prefix"), "rare").alias("tree"), "node"), "prefixes")
-    return rows.join(rows.groupBy("tree").count().filter("count > 1").select("tree"), "tree", "left_semi")
+    return keep(rows.select(F.xxhash64(F.lit("prefix"), "rare").alias("tree"), "node"), "prefixes")
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -515,15 +516,15 @@ def near_duplicates(
     near = keep(_met(near), "near-fingerprints")
     trees = keep(_met(_trees(classes)), "trees")
     runs = texts_of_nodes(trees.select("node").unionByName(near.select("node")))
-    runs = keep(runs.mapInArrow(by_batch(make), "node long, runs binary"), "runs")
+    runs, free_runs = lend(runs.mapInArrow(by_batch(make), "node long, runs binary"), "runs")
 
-    large = trees.groupBy("tree").agg(F.sum("weight").alias("weight")).filter(F.col("weight") > BLOCK)
-    roots = components(_links(_blocks(near.unionByName(trees.join(large, "tree", "left_semi"))), runs, None, similarity))
+    both = near.withColumn("small", F.lit(True)).unionByName(trees.withColumn("small", F.lit(False)))
+    roots = components(_links(_blocks(both), runs, None, similarity))
     mixed_, rooted = _mixed_trees(trees, roots)
     shared = mixed_.filter(F.col("strays") > BLOCK).select("tree")
     if not shared.isEmpty():  # texts that share a passage and little else: they meet by their rarest shingles instead
         texts = keep(texts_of_nodes(rooted.join(shared, "tree", "left_semi").select("node")), "shared-texts")
-        rare = _met(_prefix_trees(texts, shingle, similarity).join(classes.select("node", "weight"), "node"))
+        rare = _met(_prefix_trees(texts, shingle, similarity)).join(classes.select("node", "weight"), "node")
         trees = keep(trees.join(shared, "tree", "left_anti").unionByName(rare), "all-trees")
     links = _links(_crossing(trees, roots), runs, roots, similarity)
     # The links found before go on as stars, which join the same classes.
@@ -531,6 +532,7 @@ def near_duplicates(
     by_class = keep(
         classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "by-class"
     )
+    free_runs()  # all links are in by_class; the hashes of shingles are as large as the texts
     return sketches.join(by_class, "same", "left").select(
         F.col("doc").alias(key),
         "text_hash",
