@@ -21,9 +21,9 @@ def overlay(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def _order(changes: DataFrame, *tie: str) -> Column:
-    """Order of changes: by ``changed_at``, then ``sequence``, where they are given; then by content."""
-    return F.struct(*[c for c in ("changed_at", "sequence") if c in changes.columns], *tie)
+def _order(changes: DataFrame, *tie: str) -> list[str]:
+    """Columns that order changes: ``changed_at``, then ``sequence``, where they are given; then content."""
+    return [*[c for c in ("changed_at", "sequence") if c in changes.columns], *tie]
 
 
 def split_reviews(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,18 +37,21 @@ def split_reviews(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return changes.filter(good), changes.filter(~good)
 
 
-def _reviews(changes: DataFrame) -> DataFrame:
+def _reviews(changes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Valid changes, and the columns that order them."""
     valid, _ = split_reviews(changes)
     named = valid.withColumns(
         {"s": F.upper("new_status"), "v": F.upper("new_severity"), "who": F.coalesce("analyst", F.lit("ANALYST"))}
     )
-    return named.select("finding_id", "s", "v", "reason", "who", _order(named, "s", "v", "reason", "who").alias("at"))
+    order = _order(named, "s", "v", "reason", "who")
+    return named.select("finding_id", *order), order
 
 
 def apply_reviews(findings: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     """Changed findings only, after all their valid changes in order: the last status and the last severity given."""
     now = as_of_column(as_of)
-    one = _reviews(changes).groupBy("finding_id").agg(
+    reviews, order = _reviews(changes)
+    one = reviews.withColumn("at", F.struct(*order)).groupBy("finding_id").agg(
         F.max_by(F.struct("s", "reason", "who"), "at").alias("ch"),
         F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("v"),
         F.max(F.col("s") == "RESOLVED").alias("was_resolved"),
@@ -82,10 +85,16 @@ def apply_reviews(findings: DataFrame, changes: DataFrame, as_of: str) -> DataFr
 
 def review_steps(findings: DataFrame, changes: DataFrame) -> DataFrame:
     """One row per valid change, with the severity before and after it; for ``audit_reviews``."""
-    order = Window.partitionBy("finding_id").orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    old = F.coalesce(F.last("v", ignorenulls=True).over(before), F.col("severity"))
-    steps = _reviews(changes).join(findings.select("finding_id", "severity"), "finding_id").withColumn("old_severity", old)
+    reviews, order = _reviews(changes)
+    by_time = Window.partitionBy("finding_id").orderBy(*order)
+    last = F.last("v", ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    reviewed = reviews.filter(F.col("finding_id").isNotNull()).select("finding_id", "s", "v", "reason", "who", last.alias("_last"))
+    # Changes are sorted once, without their order twice in a row, and meet the findings in that order. Of an id that
+    # comes more than once, the change is applied to its first row; the others stand after it.
+    row = F.row_number().over(Window.partitionBy("finding_id").orderBy("severity"))
+    known = findings.filter(F.col("finding_id").isNotNull()).select("finding_id", "severity", row.alias("_row"))
+    old = F.coalesce(F.when(F.col("_row") > 1, F.col("v")), "_last", "severity")
+    steps = reviewed.join(known, "finding_id").withColumn("old_severity", old)
     return steps.select(
         "finding_id", F.col("s").alias("status"), "old_severity", F.coalesce("v", "old_severity").alias("severity"),
         "reason", F.col("who").alias("reviewed_by"),
@@ -217,7 +226,7 @@ def scanned_domains(domains: DataFrame, finished: DataFrame, as_of: str) -> Data
 
 def set_contacts(domains: DataFrame, changes: DataFrame) -> DataFrame:
     """Changed domains only; ``changes`` is ``(domain_id, email)``, in order as reviews; the last one wins."""
-    one = changes.groupBy("domain_id").agg(F.max_by(strip(F.col("email")), _order(changes, "email")).alias("_new"))
+    one = changes.groupBy("domain_id").agg(F.max_by(strip(F.col("email")), F.struct(*_order(changes, "email"))).alias("_new"))
     return domains.join(one, "domain_id").select(
         *[c for c in domains.columns if c != "contact_email"],
         F.col("_new").alias("contact_email"),
