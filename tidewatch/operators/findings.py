@@ -119,9 +119,10 @@ def save_to_buckets(
 ) -> tuple[int, DataFrame, DataFrame]:
     """``save_findings`` against a ledger in hash buckets of the dedup key: ``(new version, appended rows, quarantined rows)``.
 
-    Only the buckets that candidates fall into are read, and only those with new findings get a new part.
+    Only the buckets that candidates fall into are read, and only those with new findings get a new part. What is
+    written between is one row for each key; the quarantined rows are read from the candidates if they are asked for.
     """
-    valid, bad = split_valid(handover(candidates, "bucket-candidates"))
+    valid, bad = split_valid(candidates)
     if domains is not None:
         valid, orphans = split_known(valid, domains)
         bad = bad.unionByName(orphans)

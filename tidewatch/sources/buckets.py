@@ -73,7 +73,8 @@ class BucketTable:
         spark = rows.sparkSession
         parts = self.parts(spark, version)
         count = Counter(b for b, _ in parts)
-        crowded = [b for b in self.touched(rows) if count[b] >= MOST_PARTS]
+        full = {b for b, n in count.items() if n >= MOST_PARTS}
+        crowded = [b for b in self.touched(rows) if b in full] if full else []
         if crowded:
             rows = rows.select(*self.schema.names).unionByName(self.read(spark, version, crowded))
         gone = set(crowded)
