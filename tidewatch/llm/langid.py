@@ -212,7 +212,9 @@ def train(
     share = sample // len(languages)
     # The first hashes alone reach the window: about eight times a label's share, however many rows it has.
     bounds = [(r["label"], min(2**63 - 1, -(2**63) + int((8 * share + 64) / max(1, r["ids"]) * 2**64))) for r in learned]
-    bound = labelled.sparkSession.createDataFrame(bounds, f"label {usable.schema['label'].dataType.simpleString()}, bound long")
+    # As Arrow: a list would go through a second set of Python workers, which executors then keep.
+    listed = pa.table(dict(zip(("label", "bound"), map(list, zip(*bounds, strict=True)), strict=True)))
+    bound = labelled.sparkSession.createDataFrame(listed, f"label {usable.schema['label'].dataType.simpleString()}, bound long")
     # Rows that are equal in key and text are drawn like others; ties of the hash are broken by key and text.
     first = Window.partitionBy("label").orderBy("at", "id", "text_hash")
     ranked = usable.join(F.broadcast(bound), "label").withColumn("at", F.xxhash64("id")).filter("at <= bound")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_batch, keep, lend, ready, texts_of
+from tidewatch.llm.common import by_batch, keep, lend, ready, texts_of, tidy
 from tidewatch.llm.components import components
 from tidewatch.llm.words import mixed, run_hashes, word_hashes
 
@@ -201,7 +201,7 @@ def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
         )
         yield from _packed(edges, ["a", "b"])
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "node", "fp").mapInArrow(run, "a long, b long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "node", "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def _links(shards: DataFrame, runs: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
@@ -220,7 +220,7 @@ def _links(shards: DataFrame, runs: DataFrame, roots: DataFrame | None, similari
         yield from _packed(links, ["a", "b"])
 
     full = _rooted(shards, roots).join(runs, "node").select("shard", "side", "node", "root", "runs")
-    return full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(run, "a long, b long")
+    return full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(tidy(run), "a long, b long")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -410,7 +410,7 @@ def _prefix_trees(texts: DataFrame, shingle: int, similarity: float) -> DataFram
             steps[batch.column("bucket").to_numpy()] = 8 * np.log2(batch.column("texts").to_numpy() + 1)
         yield pa.RecordBatch.from_pydict({"steps": [steps.tobytes()]})
 
-    tallied = texts.select("text").mapInArrow(tally, "bucket long, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts"))
+    tallied = texts.select("text").mapInArrow(tidy(tally), "bucket long, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts"))
     gathered = tallied.repartition(1).mapInArrow(gather, "steps binary").collect()
     sent = ready(texts.sparkSession).sparkContext.broadcast(bytes(gathered[0].steps) if gathered else bytes(BUCKETS))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_batch, keep, texts_of
+from tidewatch.llm.common import by_batch, keep, texts_of, tidy
 from tidewatch.llm.words import run_hashes, word_hashes
 
 PHRASE = 8
@@ -150,7 +150,7 @@ def _shard_windows(stream: DataFrame, window: int) -> DataFrame:
                     recurring = None
         yield from flush()
 
-    return stream.mapInArrow(run, schema)
+    return stream.mapInArrow(tidy(run), schema)
 
 
 class PhraseAutomaton:
@@ -215,7 +215,7 @@ def _located(stream: DataFrame, window: int) -> DataFrame:
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc", "text_hash", "removed", "kept_sha", "kept"])
 
-    return stream.mapInArrow(run, "doc long, text_hash long, removed long, kept_sha string, kept string")
+    return stream.mapInArrow(tidy(run), "doc long, text_hash long, removed long, kept_sha string, kept string")
 
 
 def remove_repeats(
