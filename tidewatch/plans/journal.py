@@ -3,7 +3,8 @@
 Each step reads the findings as the last finished step left them and writes what it
 yields under the run's folder; then one journal row says how it ended. A step that
 fails leaves the findings as they were, gets a row with its error, and the others
-go on. Running the same run again repeats only the steps that have not finished, on
+go on. Its findings are then not those of the whole run, which ``Run.whole`` tells.
+Running the same run again repeats only the steps that have not finished, on
 the findings as they stand. Nothing written before is replaced, so a run that was
 broken off anywhere can be repeated.
 """
@@ -31,6 +32,10 @@ JOURNAL = "sequence int, step string, status string, n long, findings_path strin
 STARTED, DONE, FAILED = "STARTED", "DONE", "FAILED"
 
 
+class StepsFailed(RuntimeError):
+    """Steps of a run have failed, so that its findings lack what these would have changed."""
+
+
 @dataclass(frozen=True)
 class StepOutput:
     """What a step yields: tables by name, of which ``counted`` gives its number, and the findings after it (None: as before)."""
@@ -71,6 +76,17 @@ class Run:
     def journal(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(r) for r in self.rows], JOURNAL)
 
+    def whole(self) -> Run:
+        """This run, if the last attempt of every step is done; otherwise ``StepsFailed``.
+
+        ``findings`` of a run with a failed step look like any others. Who takes them for the
+        result of all steps asks for ``run.whole().findings``.
+        """
+        last = {r.step: r for r in self.rows if r.status != STARTED}
+        if failed := [r for r in last.values() if r.status == FAILED]:
+            raise StepsFailed("; ".join(f"{r.step}: {r.error}" for r in failed))
+        return self
+
     def results(self) -> DataFrame:
         """The last attempt of each step."""
         last = Window.partitionBy("step").orderBy(F.desc("sequence"))
@@ -98,7 +114,10 @@ def _kind(error: Exception) -> str:
 
 
 def run_steps(spark: SparkSession, folder: str, findings: DataFrame, steps: Sequence[Step]) -> Run:
-    """Run the steps that the journal in ``folder`` does not have as done. ``findings`` is read by a new run only."""
+    """Run the steps that the journal in ``folder`` does not have as done. ``findings`` is read by a new run only.
+
+    A failed step raises nothing here: its error is in the journal, and ``Run.whole`` raises it.
+    """
     run = open_run(spark, folder)
     if not run.rows:
         path = f"{run.folder}/start-{uuid.uuid4().hex}"
