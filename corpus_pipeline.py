@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, langid, packing, simhash, substring_dedup
-from tidewatch.llm.common import keep, table
+from tidewatch.llm.common import keep, shuffles_freed, table
 from tidewatch.session import checkpoint_root
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -118,6 +118,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             path = f"{checkpoint_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
+            with shuffles_freed(spark):
+                docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

@@ -19,12 +19,13 @@ so rows grow with its members and not with its pairs. A tree can't be split by i
 members' values when a third of all documents are near copies; a first round cuts it into
 blocks that share some heads (see ``_blocks``), the last brings those members together
 that no link joins yet (see ``_crossing``). Where it holds many texts of one template,
-these meet by their rarest shingles instead.
+these meet by their rarest shingles instead; large trees of one group are then one tree (see ``_merged``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -48,6 +49,8 @@ MINIMA = 8
 BLOCK = 256
 HEADS = 32
 WEIGHT = 4096
+# Parts of the last round's shards whose texts are sent one part after the other, so that their disk is free again for the next.
+LOTS = 4
 # Counts of shingles by the first 20 bits of their hashes.
 BUCKETS = 1 << 20
 # Sides of a shard: pairs are those of two sides, or of side OWN.
@@ -204,8 +207,11 @@ def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition("shard").sortWithinPartitions("shard", "node", "fp").mapInArrow(tidy(run), "a long, b long")
 
 
-def _links(shards: DataFrame, runs: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
-    """(a, b) that join parts of a shard (see ``_joining``); ``shards`` has (shard, side, node), ``runs`` (node, runs)."""
+def _links(shards: DataFrame, runs: DataFrame, roots: DataFrame | None, similarity: float, lots: int = 1) -> DataFrame:
+    """(a, b) that join parts of a shard (see ``_joining``); ``shards`` has (shard, side, node), ``runs`` (node, runs).
+
+    With several ``lots``, shards are dealt to so many by their hash, each is shuffled after the one before is done and removed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = (
@@ -219,8 +225,15 @@ def _links(shards: DataFrame, runs: DataFrame, roots: DataFrame | None, similari
         )
         yield from _packed(links, ["a", "b"])
 
-    full = _rooted(shards, roots).join(runs, "node").select("shard", "side", "node", "root", "runs")
-    return full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(tidy(run), "a long, b long")
+    def found(rows: DataFrame) -> DataFrame:
+        full = rows.join(runs, "node").select("shard", "side", "node", "root", "runs")
+        return full.repartition("shard").sortWithinPartitions("shard", "side", "node").mapInArrow(tidy(run), "a long, b long")
+
+    rooted = _rooted(shards, roots)
+    if lots == 1:
+        return found(rooted)
+    rooted = keep(rooted, "shards")
+    return reduce(DataFrame.unionByName, [keep(found(rooted.filter(F.pmod("shard", F.lit(lots)) == lot)), "links") for lot in range(lots)])
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -437,6 +450,30 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(44)).astype(np.int64)
 
 
+def _merged(mixed_: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As from ``_mixed_trees``, with overfull trees of one group as one tree where that takes fewer comparisons.
+
+    The near copies of one text share each of its rarest shingles, so that they meet in many trees with
+    nearly the same members, and each tree costs the square of these. Trees of over BLOCK members
+    whose most members have the same root become the tree of all their members, unless its square is
+    larger than theirs in sum. Any two members of a tree still meet.
+    """
+    mark = F.xxhash64(F.lit("merged"), "most").alias("tree")
+    large = mixed_.filter(F.col("members") > BLOCK).select("tree", "most", "members")
+    rows = rooted.join(large.select("tree", "most"), "tree").groupBy("most", "node")
+    rows = keep(rows.agg(F.first("weight").alias("weight"), F.first("root").alias("root")), "merged-rows")
+    stray = F.when(F.col("root") != F.col("most"), F.col("weight")).otherwise(0.0)
+    union = rows.groupBy("most").agg(F.sum("weight").alias("members"), F.sum(stray).alias("strays"))
+    apart = large.groupBy("most").agg(F.sum(F.col("members") * F.col("members")).alias("squares"), F.count("*").alias("trees"))
+    union = keep(union.join(apart, "most").filter("trees > 1 AND members * members < squares").drop("squares", "trees"), "merged-trees")
+    gone = keep(large.join(union.select("most"), "most", "left_semi").select("tree"), "replaced-trees")
+    rows = rows.join(union.select("most"), "most", "left_semi").select(mark, "node", "weight", "root")
+    return (
+        mixed_.join(gone, "tree", "left_anti").unionByName(union.withColumn("tree", mark)),
+        rooted.join(gone, "tree", "left_anti").unionByName(rows),
+    )
+
+
 def _crossing(trees: DataFrame, roots: DataFrame) -> DataFrame:
     """(shard, side, node): shards in which any two members of a tree with different roots meet.
 
@@ -444,7 +481,7 @@ def _crossing(trees: DataFrame, roots: DataFrame) -> DataFrame:
     blocks that all hold its strays, if these are up to BLOCK; otherwise any two
     of its blocks are a shard. No shard has over about two blocks.
     """
-    mixed_, rooted = _mixed_trees(trees, roots)
+    mixed_, rooted = _merged(*_mixed_trees(trees, roots))
     dealt = rooted.join(mixed_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)), "tree").withColumn(
         "block", F.pmod(F.xxhash64("tree", "node"), "blocks")
     )
@@ -526,7 +563,7 @@ def near_duplicates(
         texts = keep(texts_of_nodes(rooted.join(shared, "tree", "left_semi").select("node")), "shared-texts")
         rare = _met(_prefix_trees(texts, shingle, similarity)).join(classes.select("node", "weight"), "node")
         trees = keep(trees.join(shared, "tree", "left_anti").unionByName(rare), "all-trees")
-    links = _links(_crossing(trees, roots), runs, roots, similarity)
+    links = _links(_crossing(trees, roots), runs, roots, similarity, LOTS)
     # The links found before go on as stars, which join the same classes.
     roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     by_class = keep(
