@@ -15,7 +15,9 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors.exceptions.captured import convert_exception
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,8 +108,16 @@ def open_run(spark: SparkSession, folder: str) -> Run:
 
 
 def _kind(error: Exception) -> str:
-    """Which error it was. Spark's messages may quote values of the data, so only their condition is kept."""
+    """Which error it was. Spark's messages may quote values of the data, so only their condition is kept.
+
+    Stages that fail at the same time come as one error of the JVM; the first of them is named.
+    """
     name = type(error).__name__
+    if isinstance(error, Py4JJavaError):
+        java = error.java_exception
+        each = [convert_exception(e) for e in (java.getCause(), *java.getSuppressed()) if e is not None]
+        known = [e for e in each if isinstance(e, PySparkException) and e.getCondition()]
+        return _kind(known[0]) if known else f"{name}: no condition"
     if isinstance(error, PySparkException):
         return f"{name}: {error.getCondition() or 'no condition'}"
     return f"{name}: {error}"
